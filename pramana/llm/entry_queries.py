@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_mixture, toxicity_cnn
+from . import byte_bpe, histogram_topk, language_mixture, simhash_anchors, toxicity_cnn
 from .common import remainder, table
 
 
@@ -26,6 +26,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and the components of those within 4 bits."""
+    return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; rows with crc32(doc_id) mod 4 = 2 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -39,14 +44,37 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of all vectors for each vector whose id is divisible by 50."""
+    return histogram_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+OP8_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM fine q JOIN fine c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_simhash": op2_simhash,
         "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
+        "op8_topk": op8_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express an operator."""
-    return {}
+    return {"op8_topk": OP8_SQL}
