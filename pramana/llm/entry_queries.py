@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, histogram_topk, language_mixture, simhash_anchors, toxicity_cnn
+from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, simhash_anchors, toxicity_cnn
 from .common import remainder, table
 
 
@@ -44,11 +44,23 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all vectors for each vector whose id is divisible by 50."""
     return histogram_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cut and packed into sequences of at most 2048 tokens."""
+    cut = genetic_packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = genetic_packing.pack(cut)
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 OP8_SQL = """
 WITH fine AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -71,7 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_order_minhash": op6_order_minhash,
         "op8_topk": op8_topk,
+        "op10_packing": op10_packing,
     }
 
 
