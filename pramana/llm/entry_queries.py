@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, simhash_anchors, toxicity_cnn
+from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, simhash_anchors, suffix_columns, toxicity_cnn
 from .common import remainder, table
 
 
@@ -54,6 +54,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes under 200-byte strings that start at two places."""
+    return suffix_columns.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of at most 2048 tokens."""
     cut = genetic_packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_order_minhash": op6_order_minhash,
         "op8_topk": op8_topk,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
     }
 
