@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, simhash_anchors, suffix_columns, toxicity_cnn
+from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, secret_forest, simhash_anchors, suffix_columns, toxicity_cnn
 from .common import remainder, table
 
 
@@ -49,6 +49,13 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of all documents with the forest's verdict; values as digests."""
+    model = secret_forest.train(secret_forest.labelled_findings(spark))
+    found = secret_forest.scan(table(spark, sf_dir, "documents"), model)
+    return found.select("doc_id", "finding", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret")
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 best of all vectors for each vector whose id is divisible by 50."""
     return histogram_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
@@ -89,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_order_minhash": op6_order_minhash,
+        "op7_secret_scan": op7_secret_scan,
         "op8_topk": op8_topk,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_packing": op10_packing,
