@@ -146,3 +146,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, kind)], schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, in which a language is found (not `und`)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theta = shared.value
+        for batch in batches:
+            yield batch.filter(pa.array([mixture(t.as_py(), theta) is not None for t in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -137,6 +137,6 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "
     """`docs` with every secret in its text replaced by MASK; all rows and columns stay."""
     secrets = scan(docs, model, key, text).where("is_secret").groupBy(F.col(key).alias("__key")).agg(F.collect_set("value").alias("__values"))
     longest_first = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
-    joined = docs.join(secrets, F.col(key) == F.col("__key"), "left")
+    joined = docs.join(secrets, F.col(key).eqNullSafe(F.col("__key")), "left")
     clean = F.when(F.col("__values").isNull(), F.col(text)).otherwise(F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))))
     return joined.withColumn(text, clean).select(*docs.columns)

@@ -198,6 +198,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bi
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of `docs` whose key is the least of its component; one row for each key."""
+    """The rows of `docs` whose key is the least of its component; one row for each key.
+
+    Rows without a key can't be named as copies, and stay.
+    """
     kept = near_duplicates(docs, key, text, bits).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(kept, key, "left_semi").dropDuplicates([key])
+    single = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    return single.unionByName(docs.where(F.col(key).isNull()))

@@ -32,10 +32,12 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import materialise
 
@@ -267,7 +269,8 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield flush(held)
 
     doc_type = kind["doc"].dataType.simpleString()
-    texts = rows.join(wanted, ["doc", "tie"]).select("doc", "data", "x")
+    wanted = wanted.toDF("w_doc", "w_tie", "x")
+    texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("tie") == F.col("w_tie"))).select("doc", "data", "x")
     parts = texts.mapInArrow(cut, f"doc {doc_type}, name long, spot long, whole boolean, part binary")
     sorted_ = parts.repartition("name").sortWithinPartitions("name").mapInArrow(sort, f"doc {doc_type}, tie int, low long, high long")
     first = F.shiftright("spot", 16).bitwiseAND(F.lit((1 << 31) - 1))
@@ -293,7 +296,7 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     spans = repeats(docs, key, text)
     spans = spans.groupBy(F.col(key).alias("__key"), F.col("tie").alias("__tie")).agg(F.collect_set(F.struct("low", "high")).alias("__spans"))
     base = docs.select(*names, F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("__t"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__data"))
-    joined = base.join(spans, (F.col(key) == F.col("__key")) & (F.col("__t") == F.col("__tie")), "left").drop("__key", "__t", "__tie")
+    joined = base.join(spans, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__tie")), "left").drop("__key", "__t", "__tie")
     schema = docs.select(*names).withColumns({"kept": F.lit(b""), "spans": F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")))}).schema
     kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
@@ -311,6 +314,12 @@ def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return joined.mapInArrow(run, schema)
 
 
+@F.pandas_udf(StringType())
+def as_text(kept: pd.Series) -> pd.Series:
+    """Bytes as text, without the parts of characters that were cut in two."""
+    return kept.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     found = strip(docs.select(key, text), key, text)
