@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, secret_forest, simhash_anchors, suffix_columns, toxicity_cnn
+from . import byte_bpe, genetic_packing, histogram_topk, language_mixture, order_minhash, secret_forest, simhash_anchors, suffix_columns, token_codec, toxicity_cnn
 from .common import remainder, table
 
 
@@ -31,6 +31,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_anchors.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to coded files and read back."""
+    path = token_codec.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), token_codec.scratch(spark))
+    return token_codec.digests(spark, path)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents; rows with crc32(doc_id) mod 4 = 2 are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -93,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
+        "op3_token_codec": op3_token_codec,
         "op4_language_id": op4_language_id,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_order_minhash": op6_order_minhash,
