@@ -1,0 +1,319 @@
+"""The training-data operators against brute force, round trips and held-out rows."""
+
+import base64
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from pramana.llm import byte_bpe, components, entry_queries, genetic_packing, histogram_topk, language_mixture, order_minhash, secret_forest, simhash_anchors, suffix_columns, token_codec, toxicity_cnn
+from pramana.llm.ordered import boundaries
+
+RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
+ODD = [None, "", " ", "a", "é", "日本語テキスト", "x" * 5000, "a b\tc\n\nd   e", "\x1c\x1d.", "12 34", "🙂" * 40, "don't we'll", "<|endoftext|>", "word " * 3000]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, kept string, component_id string"
+
+
+def table(spark, texts, parts=3):
+    rows = [(i, t, ["en", "fr", None][i % 3], None, None, 1.5, "clash", "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+@pytest.fixture(scope="module")
+def tiny(tmp_path_factory, spark):
+    """A data directory with odd texts, repeated rows and a few empty tables."""
+    place = str(tmp_path_factory.mktemp("tiny"))
+    docs = table(spark, [*ODD, *ODD, "the same words again and again " * 20, "the same words again and again " * 20])
+    docs.unionByName(docs.where("doc_id in (3, 5)")).write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    vectors = [(i, v) for i, v in enumerate([[0.5, 0.25], [0.5, 0.25], None, [float("nan"), 1.0], [None, 1.0], [float("inf"), 0.0], [], [-1.0, 2.0], [3.0]])]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").write.parquet(f"{place}/embeddings.parquet")
+    return place
+
+
+@pytest.fixture(scope="module")
+def empty(tmp_path_factory, spark, tiny):
+    place = str(tmp_path_factory.mktemp("empty"))
+    for name in ("documents", "labels", "embeddings"):
+        spark.read.parquet(f"{tiny}/{name}.parquet").limit(0).write.parquet(f"{place}/{name}.parquet")
+    return place
+
+
+@pytest.mark.parametrize("name", sorted(entry_queries.queries()))
+def test_odd_rows_and_empty_tables(spark, tiny, empty, name):
+    found = entry_queries.queries()[name](spark, tiny)
+    n = spark.read.parquet(f"{tiny}/documents.parquet").count()
+    if name not in ("op7_secret_scan", "op8_topk", "op10_packing"):
+        assert found.count() == n
+    assert entry_queries.queries()[name](spark, empty).count() == 0
+
+
+def test_byte_bpe_like_tiktoken():
+    ranks = byte_bpe.load_ranks(RANKS)
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = [t or "" for t in ODD] + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2000), 32, 10])) for _ in range(rng.randrange(400))) for _ in range(200)]
+    for text in texts:
+        ids = byte_bpe.encode_text(text, RANKS, P.PATTERN)
+        assert ids == encoding.encode_ordinary(text)
+        assert byte_bpe.decode_ids(ids, RANKS, P.PATTERN) == text.encode()
+
+
+def test_packing_ids_like_tokenizers():
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    plain.encode_special_tokens = True
+    encode = genetic_packing._encoding(RANKS, P.PATTERN).encode_ordinary
+    rng = random.Random(5)
+    texts = [t or "" for t in ODD] + ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 0x2000), 32, 9])) for _ in range(rng.randrange(300))) for _ in range(200)]
+    for text in texts:
+        assert encode(text) == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_is_whole_and_tight(spark):
+    rng = random.Random(1)
+    docs = table(spark, ["word " * rng.randrange(1, 3000) for _ in range(120)] + [None, ""])
+    rows = genetic_packing.pack(genetic_packing.pieces(docs, RANKS, P.PATTERN)).collect()
+    assert {r["doc_id"] for r in rows} == set(range(122))
+    bins = {}
+    for r in rows:
+        bins.setdefault(r["sequence_id"], []).append(r)
+    for members in bins.values():
+        at = 0
+        for r in sorted(members, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 2048
+    assert len(bins) <= -(-sum(r["length"] for r in rows) // 2048) + 2
+
+
+def test_packing_pieces():
+    assert genetic_packing.piece_bounds(1) == [(0, 1)]
+    assert genetic_packing.piece_bounds(2048) == [(0, 2048)]
+    assert genetic_packing.piece_bounds(2049) == [(0, 1), (1, 2048)]
+    assert genetic_packing.piece_bounds(4096) == [(0, 2048), (2048, 2048)]
+
+
+def test_genetic_search_keeps_pieces():
+    rng = np.random.default_rng(0)
+    lengths = rng.integers(1, 2048, 300).tolist()
+    best = genetic_packing.evolve(lengths, [], 2048, 1)[0]
+    assert sorted(i for b in best for i in b) == list(range(300)) and max(sum(lengths[i] for i in b) for b in best) <= 2048
+    assert len(best) <= len(genetic_packing.best_fit(lengths, np.argsort(-np.array(lengths)).tolist(), 2048, []))
+
+
+def plain_fingerprint(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    pieces = [b" ".join(words)] if 0 < len(words) < 4 else [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)]
+    hashes = [xxhash.xxh64_intdigest(p, 42) for p in pieces]
+    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def test_fingerprints():
+    for text in [t or "" for t in ODD]:
+        assert simhash_anchors.fingerprint(text.encode()) == plain_fingerprint(text)
+
+
+def test_links_find_all_components(spark):
+    rng = random.Random(2)
+    fps = {rng.getrandbits(64) for _ in range(300)}
+    for f in list(fps)[:60]:  # chains, each step up to 4 bits
+        for _ in range(rng.randrange(1, 6)):
+            for b in rng.sample(range(64), rng.randrange(1, 5)):
+                f ^= 1 << b
+            fps.add(f)
+    fps |= {fp ^ 1 << i for fp in list(fps)[:3] for i in range(64)}  # a crowd
+    x = np.array(sorted(fps), np.uint64)
+    root = {int(f): int(f) for f in x}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for i, f in enumerate(x):
+        for g in x[i + 1 :][np.bitwise_count(x[i + 1 :] ^ f) <= 4]:
+            a, b = find(int(f)), find(int(g))
+            root[max(a, b)] = min(a, b)
+    wanted = Counter(frozenset(m) for m in {find(f): [g for g in root if find(g) == find(f)] for f in root}.values() if len(m) > 1)
+    frame = spark.createDataFrame([(int(f.astype(np.int64)),) for f in x], "fp long").repartition(4)
+    groups = {}
+    for r in components.components(simhash_anchors.links(frame)).collect():
+        groups.setdefault(r["root"], []).append(r["node"] & 0xFFFFFFFFFFFFFFFF)
+    assert Counter(frozenset(m) for m in groups.values()) == wanted
+
+
+def test_components_of_a_chain_and_a_hub(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
+    found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+
+
+def test_keep_one(spark):
+    docs = table(spark, ["one two three four five", "ONE two three four five", None, "", "quite another text that stands alone here"])
+    kept = simhash_anchors.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
+
+
+def test_token_files_round_trip():
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    ids = [token_codec.encode_text(t or "", WORDS) for t in ODD]
+    for text, found in zip(ODD, ids, strict=True):
+        assert found.tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
+    rng = np.random.default_rng(1)
+    for stream in (np.concatenate(ids), rng.integers(0, 49408, 9000), np.zeros(5000, int), np.array([49407]), rng.integers(0, 3, 4097)):
+        data = token_codec.encode_file(np.array([-5, 7]), np.array([0, len(stream)]), stream, 3)
+        keys, counts, back, start = token_codec.decode_file(data)
+        assert (keys.tolist(), counts.tolist(), start) == ([-5, 7], [0, len(stream)], 3) and (back == stream).all()
+        with pytest.raises(ValueError):
+            token_codec.decode_file(b"x" + data[1:])
+    broken = bytearray(token_codec.encode_file(np.array([1]), np.array([9000]), rng.integers(0, 49408, 9000), 0))
+    broken[len(broken) // 2] ^= 255
+    with pytest.raises(ValueError):
+        token_codec.decode_file(bytes(broken))
+
+
+def test_token_query(spark, tiny):
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
+    found, at = sorted(entry_queries.op3_token_codec(spark, tiny).collect()), 0
+    for row, doc in zip(found, sorted(docs, key=lambda d: d["doc_id"]), strict=True):
+        ids = np.array([*tokenizer.encode(doc["text"] or "", add_special_tokens=False).ids, 2], "<u4")
+        assert tuple(row) == (doc["doc_id"], at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+
+
+def test_languages(spark):
+    texts = ["the cat and the dog were in the house with the old man", "le chat et le chien sont dans la maison avec une vieille dame"] * 60
+    rows = [(i, t, ["en", "fr"][i % 2]) for i, t in enumerate(texts)] + [(900, None, "en"), (901, "12 !?", None), (902, texts[0] * 3 + " " + texts[1] * 3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_mixture.fit(docs)
+    found = {r["doc_id"]: r for r in language_mixture.identify(docs, model).collect()}
+    assert found[0]["lang_pred"] == "en" and found[1]["lang_pred"] == "fr" and found[0]["score"] > 0.9
+    assert (found[900]["lang_pred"], found[900]["score"], found[901]["lang_pred"]) == ("und", 0.0, "und")
+    assert set(found[902]["proportions"]) == {"en", "fr"} and 0.3 < found[902]["score"] < 0.7
+    assert language_mixture.keep_identified(docs, model).count() == len(rows) - 2
+
+
+def test_toxicity_learns(spark):
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(5, 60)) + (["nastyword", "you"] if i % 3 == 0 else ["kindword"])) for i in range(400)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(400)], "doc_id long, toxic int")
+    model = toxicity_cnn.fit(docs, labels.where("doc_id % 5 <> 0"))
+    found = toxicity_cnn.score(docs, model).where("doc_id % 5 = 0").collect()
+    right = sum((r["score"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in found)
+    assert right / len(found) > 0.95 and all(0 <= r["score"] <= 1 for r in found)
+    assert "en" in model.thresholds
+
+
+def test_order_minhash(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(400)) for _ in range(7)] + ["", None, "abc"]
+    docs = table(spark, texts)
+    assert len(boundaries(docs, "doc_id")) >= 1
+    found = sorted(order_minhash.compare_with_next(docs).collect())
+    texts = [t or "" for t in texts]
+    for row, text, following in zip(found, texts, texts[1:] + texts[:1], strict=True):
+        cut = len(text) // 2
+        new = text[: len(text) - cut] + following[:cut]
+        assert row["n_chars"] == len(text) and row["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        assert row["fingerprint"] == order_minhash.as_text(order_minhash.sketch(text))
+        assert row["edited_fingerprint"] == order_minhash.as_text(order_minhash.sketch(new))
+    small = [order_minhash.likeness(order_minhash.sketch(texts[0]), order_minhash.sketch(texts[0][:-60])), found[0]["near_edited"], found[0]["near_next"]]
+    assert small == sorted(small, reverse=True) and small[0] > 0.6 > small[1] > small[2]
+    moved = texts[0][len(texts[0]) // 2 :] + texts[0][: len(texts[0]) // 2]
+    assert order_minhash.likeness(order_minhash.sketch(texts[0]), order_minhash.sketch(moved)) < 0.85  # order counts
+    assert order_minhash.likeness(order_minhash.sketch(""), order_minhash.sketch(None)) == 1.0
+
+
+def plain_repeats(texts):
+    counts = Counter(d[i : i + 200] for d in texts for i in range(len(d) - 199))
+    out = []
+    for d in texts:
+        gone = np.zeros(len(d), bool)
+        for i in range(len(d) - 199):
+            if counts[d[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        out.append(bytes(np.frombuffer(d, np.uint8)[~gone]))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_like_brute_force(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    base = [bytes(rng.choice(b"abcd ") for _ in range(600)) for _ in range(3)]
+    texts = []
+    for _ in range(40):
+        at = rng.randrange(0, 350)
+        texts.append(rng.choice(base)[at : at + 300] + bytes(rng.choice(b"xyz") for _ in range(rng.randrange(150))) + rng.choice(base)[: rng.randrange(100, 300)])
+    texts += [b"a" * 500, b"ab" * 300, b"", b"q" * 199, b"q" * 200, b"z" * 200, "é".encode() * 300, texts[0], texts[0]]
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: bytes(r["kept"]) for r in suffix_columns.strip(docs).collect()}
+    assert [found[i] for i in range(len(texts))] == plain_repeats(texts)
+
+
+def test_runs_do_not_depend_on_pieces(monkeypatch):
+    text = bytes(random.Random(3).choice(b"abc") for _ in range(3000))
+    whole = [x.tolist() for x in next(iter(suffix_columns.runs(text)))]
+    monkeypatch.setattr(suffix_columns, "CHUNK", 700)
+    starts = lambda runs: {s: int(p) for _, a, p, b in runs for i, p in enumerate(p) for s in range(a[i], b[i] + 1)}
+    cut = starts(suffix_columns.runs(text))
+    assert cut == {s: p for a, p, b in zip(*whole[1:], strict=True) for s in range(a, b + 1)}
+
+
+def test_secrets(spark):
+    texts = ['say token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and go', "call 4785380592391139 now", "at commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff today", None, "", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" twice 24be64439e3e49cf46b2d7c90f3602a3d0b907ff']
+    docs = table(spark, texts)
+    model = secret_forest.train(secret_forest.labelled_findings(spark))
+    found = secret_forest.scan(docs, model).collect()
+    for r in found:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + len(r["value"])] == r["value"]
+    by = {(r["doc_id"], r["finding"]): r["is_secret"] for r in found}
+    assert by[0, 0] and not by[1, 0] and not by[2, 0] and by[5, 0]
+    clean = {r["doc_id"]: r["text"] for r in secret_forest.redact(docs, model).collect()}
+    assert clean[0] == 'say token = "[SECRET]" and go' and clean[1] == texts[1] and clean[2] == texts[2] and clean[3] is None
+    assert "24be" not in clean[5]
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    rows = secret_forest.labelled_findings(spark)
+    model = secret_forest.train(rows.where(F.crc32("value") % 4 != 0))
+    from pyspark.ml.feature import VectorAssembler
+
+    kept = VectorAssembler(inputCols=secret_forest.FEATURES, outputCol="features").transform(secret_forest.with_features(rows.where(F.crc32("value") % 4 == 0)))
+    right = model.transform(kept).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.97
+
+
+def test_top_k_like_brute_force(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(0, 1, (400, 12)).astype(np.float32)
+    vectors[100:200] = vectors[100]  # many ties
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(450, None), (451, [float("nan")] * 12)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    whole = np.floor(vectors.astype(float) * 256).astype(np.int64)
+    scores = whole @ whole.T
+    wanted = set()
+    for q in range(0, 400, 50):
+        order = [i for i in np.lexsort((np.arange(400), -scores[q])) if i != q][:5]
+        wanted |= {(q, k + 1, int(i), int(scores[q, i])) for k, i in enumerate(order)}
+    found = {tuple(r) for r in histogram_topk.top_k(frame, lambda i: i % 50 == 0).collect()}
+    assert found == wanted
+    few = {tuple(r) for r in histogram_topk.top_k(frame.where("vec_id < 3"), lambda i: i % 50 == 0).collect()}
+    assert {r[2] for r in few} == {1, 2}
+
+
+def test_ranks_file():
+    ranks = byte_bpe.load_ranks(RANKS)
+    assert len(ranks) == 50256 and base64.b64encode(b"a") and ranks[b"a"] >= 0
