@@ -10,7 +10,7 @@ def escaped(t: Column) -> Column:
     """Text of a calendar property: backslash, semicolon, comma and line ends escaped."""
     t = F.replace(t, F.lit("\\"), F.lit("\\\\"))
     t = F.replace(F.replace(t, F.lit(";"), F.lit("\\;")), F.lit(","), F.lit("\\,"))
-    return F.regexp_replace(t, r"\r\n|\r|\n", r"\\\\n")
+    return F.regexp_replace(t, r"\r\n|\r|\n", r"\\n")
 
 
 def folded(line: Column) -> Column:
