@@ -1,6 +1,6 @@
 """Registered queries by family; importing a family registers its queries."""
 
-from . import date_queries, document_queries, feed_queries, stream_queries, text_output_queries, text_queries
+from . import date_queries, document_queries, feed_queries, result_queries, stream_queries, text_output_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "date_queries", "document_queries", "feed_queries", "stream_queries", "text_output_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "date_queries", "document_queries", "feed_queries", "result_queries", "stream_queries", "text_output_queries", "text_queries"]
