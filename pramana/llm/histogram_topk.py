@@ -81,11 +81,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     whole = whole_vectors(vectors, key, vector)
     schema = "ids binary, vs binary, width int"
     queries = whole.where(is_query(F.col("id"))).mapInArrow(lambda b: _pack(b, QUERY_BLOCK), schema)
-    queries = materialise(queries.withColumn("block", F.monotonically_increasing_id()), "queries")
-    blocks = [r["block"] for r in queries.select("block").collect()]  # numbers only: one for each QUERY_BLOCK queries
+    queries = materialise(queries.withColumn("at", F.monotonically_increasing_id()), "queries")
+    marks = sorted(r["at"] for r in queries.select("at").collect())  # numbers only: one for each QUERY_BLOCK queries
+    if not marks:
+        return whole.where("false").selectExpr("id AS query_id", "0 AS rank", "id AS vec_id", "id AS score")
+    numbers = vectors.sparkSession.createDataFrame([(at, i) for i, at in enumerate(marks)], "at long, block long")
+    queries = materialise(queries.join(numbers, "at").drop("at"), "queries")
     candidates = whole.mapInArrow(lambda b: _pack(b, CANDIDATE_BLOCK), schema)
     candidates = materialise(candidates.select(*(F.col(c).alias(f"c_{c}") for c in candidates.columns)), "candidates")
-    dealt = candidates.select("*", F.explode(F.array(*map(F.lit, blocks)) if blocks else F.array().cast("array<long>")).alias("block"))
+    dealt = candidates.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(marks) - 1).cast("long"))).alias("block"))
     bound = whole.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("n")).agg(F.max("n")).first()[0] or 0.0
     reach = float(int(bound * bound) + 1)  # no score is larger (Cauchy-Schwarz)
     width = 1.0
