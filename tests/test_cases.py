@@ -5,8 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from pramana.functions import dates, sinks, speech, text
-from pramana.operators import decoders, evidence, feed, guards, masking
+from pramana.functions import dates, deadlines, names, sinks, speech, text
+from pramana.operators import decoders, dues, evidence, feed, guards, masking, privacy, results
 
 
 def value(spark, make, *texts):
@@ -113,3 +113,51 @@ def test_other_queries_need_no_training_data_operators():
     for path in (root / "pramana").rglob("*.py"):
         if "llm" not in path.parts:
             assert not any("llm" in (getattr(n, "module", "") or "") for n in ast.walk(ast.parse(path.read_text())) if isinstance(n, ast.ImportFrom)), path
+
+
+@pytest.mark.parametrize(
+    ("words", "found"),
+    [
+        ("within 48 hours", (48, "hour")), ("Reply within forty-eight hours", (48, "hour")), ("अड़तालीस घंटे के भीतर", (48, "hour")), ("४८ घंटों के अंदर", (48, "hour")), ("48 மணி நேரத்திற்குள்", (48, "hour")), ("ஏழு நாட்களுக்குள்", (7, "day")),
+        ("48 గంటలలోపు", (48, "hour")), ("48 മണിക്കൂറിനുള്ളിൽ", (48, "hour")), ("48 ಗಂಟೆಗಳ ಒಳಗೆ", (48, "hour")), ("48 तासांच्या आत", (48, "hour")), ("48 ঘণ্টার মধ্যে", (48, "hour")), ("48 ଘଣ୍ଟା ମଧ୍ୟରେ", (48, "hour")),
+        ("open 24 hours", None), ("within the office, of late we are open for all 24 hours", None), ("within 0 days", None), ("", None), (None, None), ("2 weeks or within 3 days", (3, "day")),
+    ],
+)
+def test_deadlines_in_many_languages(words, found):
+    assert deadlines.read_span(words) == found
+
+
+def test_deadlines_as_columns(spark):
+    rows = spark.createDataFrame([(1, "within 2 weeks"), (2, "within a week"), (3, None), (4, "hello")], "i int, t string")
+    got = {r["i"]: (r["s"] and tuple(r["s"]), r["u"]) for r in rows.select("i", deadlines.span(F.col("t")).alias("s"), deadlines.unread(F.col("t")).alias("u")).collect()}
+    assert got == {1: ((2, "week"), False), 2: (None, True), 3: (None, False), 4: (None, False)}
+
+
+def test_names(spark):
+    assert value(spark, names.after_titles, "Mrs. Asha Rao met Dr. Asha Rao, திரு. ரவி and Mr bill") == ["Asha Rao", "ரவி"]
+    assert value(spark, names.after_labels, "Patient's Name: ravi kumar. नाम: रवि") == ["ravi kumar", "रवि"]
+    assert value(spark, names.after_titles, None) == []
+
+
+def test_privacy(spark):
+    assert value(spark, privacy.mask_name, "Dr. A. Asha श्री") == "Dr. A. A*** श्*" or value(spark, privacy.mask_name, "Dr. A. Asha श्री").startswith("Dr. A. A*** ")
+    checks = {"Claim no 44 of 2020": True, "Pension amount: Rs. 900": False, "AB/1234/x": True, "2026-10-01": False, "12345678": True, "": False, None: False}
+    for words, personal in checks.items():
+        assert value(spark, lambda t: privacy.personal_field(t, F.lit("")), words) is personal, words
+
+
+def test_progress_and_glance(spark):
+    row = spark.range(1)
+    stage = lambda e, x: tuple(row.select(results.progress(F.lit(e), F.lit(x)).alias("p")).first()["p"])
+    assert stage(0.0, 10.0) == ("reading", 0.0) and stage(10.0, 10.0) == ("writing", 95.0) and stage(7.0, 10.0) == ("writing", 70.0)
+    assert row.select(results.split_of_three(F.array(F.lit(60.0), F.lit(100.0), F.lit(40.0)))).first()[0]
+
+
+def test_activity_and_answers(spark):
+    assert value(spark, dues.closed_answer, "Fine. ", "Ask.") == "Fine. Ask." and value(spark, dues.closed_answer, "Ask. Fine", "Ask.") == "Ask. Fine"
+    assert value(spark, dues.last_blocks, "\n".join(f"Q: {i}\nA: x" for i in range(12))).startswith("Q: 4") and value(spark, dues.last_blocks, None) == ""
+
+
+def test_upload_bytes(spark):
+    rows = spark.createDataFrame([(b"%PDF-1.7", "application/pdf"), (b"\xff\xd8\xff\xe0", "image/jpeg"), (b"\x89PNG\r\n\x1a\n..", "image/png"), (b"", "image/png"), (b"GIF8", "image/png"), (b"GIF8", "image/gif")], "c binary, m string")
+    assert [r[0] for r in rows.select(feed.upload_kind(F.col("c"), F.col("m"))).collect()] == ["ok", "ok", "ok", "empty", "bad_magic", "ok"]
