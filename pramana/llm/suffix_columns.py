@@ -6,7 +6,8 @@ is found, and all bytes under such strings are removed.
 Dealing out. The k-grams of a string have hashes; the least (leftmost of equal
 ones) names the string's anchor. Equal strings have equal anchors, at the same
 place within them. The starts that share an anchor form a run, and the text under
-a run is a fragment. Fragments are dealt by anchor hash. An anchor with one
+a run is a fragment. Fragments are dealt by anchor hash; of equal ones met before
+the shuffle only one is dealt so, whatever a passage's share of the input. An anchor with one
 fragment holds no repeat; equal fragments repeat throughout; only the different
 fragments of an anchor, one copy of each, go on.
 
@@ -43,10 +44,12 @@ from .common import materialise
 
 WIDTH, GRAM = 200, 64
 WINDOW = WIDTH - GRAM + 1  # k-grams of a string
+COMBINED = 1 << 18  # fragments combined at a time before the shuffle
 COLLECTION = 4096  # fragments sorted together, about: an anchor's are never parted
 CHUNK = 1 << 22  # starts handled at a time
 _PLACE = np.uint64(24)
 _END = 255  # never a byte of UTF-8
+_ONE, _MANY, _SETTLED = 0, 1, 2  # a fragment alone in its window, one that stands for several, one that another stands for
 _FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 
 
@@ -167,17 +170,51 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     kind = rows.select("doc").schema
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Fragments of all runs, combined before the shuffle: of equal ones in a window, one goes on for all."""
+        names, sames, spots, owners, docs = [], [], [], [], []
+        count = 0
+
+        def combined() -> pa.RecordBatch:
+            name, same, spot = (np.concatenate(x) for x in (names, sames, spots))
+            order = np.lexsort((same, name))
+            name, same, spot = name[order], same[order], spot[order]
+            again = np.r_[False, (name[1:] == name[:-1]) & (same[1:] == same[:-1])]
+            state = np.where(again, _SETTLED, np.where(np.r_[again[1:], False], _MANY, _ONE)).astype(np.int8)
+            spread = np.arange(len(name), dtype=np.uint64) * _FACTORS[0] ^ spot.astype(np.uint64) * _FACTORS[1]
+            name = np.where(again, spread, name)  # settled rows need no meeting: any task will do
+            made = [pa.array(name.view(np.int64)), pa.array(same.view(np.int64)), pa.concat_arrays(docs).take(pa.array(order)), pa.array(spot), pa.array(state)]
+            for x in (names, sames, spots, docs):
+                x.clear()
+            return pa.RecordBatch.from_arrays(made, ["name", "same", "doc", "spot", "state"])
+
         for batch in batches:
+
+            def keep(batch: pa.RecordBatch = batch) -> None:
+                if owners:
+                    docs.append(batch.column(0).take(pa.array(np.concatenate(owners))))
+                    owners.clear()
+
             for i, (tie, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
                 data = value.as_py()
                 for name, first, place, last in runs(data):
-                    same = np.fromiter(map(xxhash.xxh3_64_intdigest, [data[a : b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64, len(first))
-                    spot = tie << 47 | first << 16 | (place - first) << 8 | (last - first)
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(same.view(np.int64)), batch.column(0).take(pa.array(np.full(len(first), i))), pa.array(spot)], ["name", "same", "doc", "spot"])
+                    names.append(name)
+                    sames.append(np.fromiter(map(xxhash.xxh3_64_intdigest, [data[a : b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64, len(first)))
+                    spots.append(tie << 47 | first << 16 | (place - first) << 8 | (last - first))
+                    owners.append(np.full(len(first), i))
+                    count += len(first)
+                    if count >= COMBINED:
+                        keep()
+                        yield combined()
+                        count = 0
+            keep()
+        if count:
+            yield combined()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (name, same): which are repeated throughout, and which stand for their equals in sorting.
 
+        Settled rows are repeated, whatever else comes, and pass through.
+
         Keeps two rows between batches, however many share an anchor: the last
         one, judged when its successor is known, and the first of an anchor
         whose second kind of fragment has not been seen yet.
@@ -199,7 +236,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             old = np.r_[before is not None and before[0] == name[0], name[1:] == name[:-1]]
             equal = old & np.r_[before is not None and before[1] == same[0], same[1:] == same[:-1]]
             ends = np.flatnonzero(~equal)  # where another kind begins
-            whole = equal[:n] | np.r_[equal[1:], False][:n]
+            whole = equal[:n] | np.r_[equal[1:], False][:n] | (_spots(rows, "state")[:n] == _MANY)
             if waiting is not None and len(ends):
                 if old[ends[0]]:
                     yield out(waiting, _spots(waiting, "whole"), np.array([True]))
@@ -216,6 +253,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield out(rows.slice(0, n), whole, sort)
 
         for batch in batches:
+            settled = _spots(batch, "state") == _SETTLED
+            if settled.any():
+                passed = batch.filter(pa.array(settled))
+                yield out(passed, np.ones(passed.num_rows, bool), np.zeros(passed.num_rows, bool))
+                batch = batch.filter(pa.array(~settled))
             if batch.num_rows:
                 rows = batch if row is None else pa.Table.from_batches([row, batch]).combine_chunks().to_batches()[0]
                 if rows.num_rows > 1:
@@ -224,7 +266,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         if row is not None:
             yield from judge(row, 1)
 
-    marked = rows.mapInArrow(mark, f"name long, same long, doc {kind['doc'].dataType.simpleString()}, spot long")
+    marked = rows.mapInArrow(mark, f"name long, same long, doc {kind['doc'].dataType.simpleString()}, spot long, state tinyint")
     dealt = marked.repartition("name").sortWithinPartitions("name", "same")
     judged = materialise(dealt.mapInArrow(meet, f"name long, doc {kind['doc'].dataType.simpleString()}, spot long, whole boolean, sort boolean"), "anchors")
 

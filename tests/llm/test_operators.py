@@ -249,6 +249,18 @@ def plain_repeats(texts):
     return out
 
 
+def test_a_passage_in_most_documents(spark):
+    """Copies that meet before the shuffle and copies that meet after it, in one partition and in several."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = letters(260)
+    texts = [letters(rng.randrange(0, 300)) + passage + letters(rng.randrange(0, 300)) if i % 3 else letters(400) for i in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n in (1, 7):
+        found = {r["doc_id"]: bytes(r["kept"]) for r in suffix_columns.strip(docs.repartition(n)).collect()}
+        assert [found[i] for i in range(len(texts))] == plain_repeats([t.encode() for t in texts])
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_like_brute_force(spark, seed, monkeypatch):
     rng = random.Random(seed)
