@@ -1,6 +1,6 @@
 """Registered queries by family; importing a family registers its queries."""
 
-from . import date_queries, document_queries, due_queries, feed_queries, privacy_queries, result_queries, stream_queries, text_output_queries, text_queries
+from . import call_queries, date_queries, document_queries, due_queries, feed_queries, privacy_queries, result_queries, stream_queries, text_output_queries, text_queries
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "date_queries", "document_queries", "due_queries", "feed_queries", "privacy_queries", "result_queries", "stream_queries", "text_output_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "call_queries", "date_queries", "document_queries", "due_queries", "feed_queries", "privacy_queries", "result_queries", "stream_queries", "text_output_queries", "text_queries"]
