@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masking, privacy
 from ..sources.tables import table
 from .registry import query
+from .text_queries import EMAIL
 
 _FIELD = (
     "CASE o_orderkey % 10 WHEN 0 THEN 'Patient ' || CAST(o_orderkey AS STRING) WHEN 1 THEN 'Monthly pension amount: Rs. 900' WHEN 2 THEN 'Policy number 12' WHEN 3 THEN 'Due 2026-10-01' WHEN 4 THEN 'Code AB/1234/x' WHEN 5 THEN 'Call 98765432' "
@@ -39,9 +40,22 @@ def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", privacy.with_names_masked(text, F.array(F.lit("Rao"), F.concat(F.lit("Dr. A. "), "c_name"))).alias("masked"))
 
 
+# Secrets of a document by its id, and the sentence that holds them.
+_SENTENCE = ["'. Call '", "planted[0]", "' or '", "planted[1]", "' of '", "planted[2]", "', case '", "planted[3]", "', date of birth: '", "planted[4]", "', born '", "planted[5]", "'. Mrs. '", "planted[6]", "', applicant: '", "planted[7]"]
+
+
+def _planted(k: Column) -> Column:
+    digits, day = F.lpad(k.cast("string"), 9, "7"), F.date_add(F.lit("1950-01-01").cast("date"), F.pmod(k, F.lit(15000)).cast("int"))
+    tag = F.translate(F.lpad(k.cast("string"), 9, "0"), "0123456789", "abcdefghij")
+    mobile, car = F.concat(F.lit("9"), digits), F.concat(F.lit("KA 05 MN "), F.right(digits, F.lit(4)))
+    spaced = F.concat(F.lit("8"), F.left(digits, F.lit(4)), F.lit(" "), F.right(digits, F.lit(5)))
+    return F.array(mobile, spaced, car, F.concat(F.lit("O.S. No. "), k.cast("string"), F.lit("/2025")), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "d MMM yyyy"), F.concat(F.lit("Asha "), F.initcap(tag)), F.concat(F.lit("Ravi "), F.initcap(F.reverse(tag))))
+
+
 @query("SELECT doc_id, CAST(0 AS BIGINT) AS leaks FROM documents WHERE false")
 def leaks_after_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans found before masking that still stand in the masked text: none may."""
-    docs = table(spark, sf_dir, "documents")
-    secrets = docs.select("doc_id", F.explode(masking.spans(F.col("text"))).alias("s")).select("doc_id", F.col("s.text").alias("secret"))
-    return privacy.leaks(secrets, docs.select("doc_id", F.lit("share").alias("channel"), masking.masked(F.col("text")).alias("text")), "doc_id")
+    """Secrets planted in every text, and long numbers and addresses found by other patterns, that still stand in the masked text: none may."""
+    docs = table(spark, sf_dir, "documents").withColumn("planted", _planted(F.col("doc_id")))
+    text = F.concat_ws(" ", "text", F.expr(f"concat({', '.join(_SENTENCE)})"))
+    secrets = docs.select("doc_id", F.explode(F.concat("planted", *(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)) for p in (EMAIL, r"\b\d{16}\b")))).alias("secret"))
+    return privacy.leaks(secrets, docs.select("doc_id", F.lit("share").alias("channel"), masking.masked(text).alias("text")), "doc_id")

@@ -86,6 +86,21 @@ def test_masking_keeps_no_span(spark):
     assert value(spark, masking.masked, "") == ""
 
 
+def test_masking_by_general_rules(spark):
+    for words, shown in {
+        "Call 9876543210, 98765 43210 or ९८७६५४३२१०; card 4952935900253052": "Call **********, ********** or **********; card *************052",
+        "Car KA 05 MN 7321, O.S. No. 214 / 2026, 45 Y / F": "Car KA ** ** *321, O.S. No. **** / 026, [hidden]",
+        "Date of Birth: 14/05/1980; 14 May 1980, 1980-05-14, १४ मई १९८० but 15/05/1980": "Date of Birth: [hidden]; [hidden], [hidden], [hidden] but 15/05/1980",
+        "Mr. Dr. Ravi  Rao and Mr bill": "Mr. Dr. R***  R** and Mr bill",
+        "Registered owner: Smt. Lakshmi Devi, Respondent Sunrise Hospital. शिकायतकर्ता रवि ने": "Registered owner: Smt. L****** D***, Respondent Sunrise Hospital. शिकायतकर्ता र** ने",
+        "Patient Name: ravi kumar, ரவி அவர்கள்": "Patient Name: r*** k****, ர** அவர்கள்",
+    }.items():
+        assert value(spark, masking.masked, words) == shown
+    later = lambda t: masking.masked(t, F.array(F.lit(19800514)))
+    assert value(spark, later, "seen 14.05.1980 and 15.05.1980") == "seen [hidden] and 15.05.1980"
+    assert value(spark, lambda t: masking.birth_keys(F.array(t)), "born on 14 May 1980, DOB 99/99/1980") == [19800514]
+
+
 def test_sinks_and_speech(spark):
     line = value(spark, sinks.folded, "SUMMARY:" + "é" * 80)
     assert all(len(row.encode()) <= 75 for row in line.split("\r\n")) and line.replace("\r\n ", "") == "SUMMARY:" + "é" * 80
