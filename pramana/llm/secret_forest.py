@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-All of it is DataFrame work. A candidate is a run of at least 16 token characters
-with a digit. Its features are length, character classes and changes between
+All of it is DataFrame work. Candidates are runs of at least 16 token characters
+with a digit or of 20 without; what follows a secret word (6 characters behind an
+assignment, 8 with a digit behind blanks) in any signs; passwords in URLs; runs
+behind known prefixes; private keys in PEM. Its features are length, character classes and changes between
 them, common letter pairs, coverage by dictionary words, whether it stands in a
 path, and the words beside it. The forest is trained on labelled findings:
 a table of (before, value, after, label); `labelled_findings` makes one by rule.
@@ -12,27 +14,39 @@ a finding for each place. Rows that share a key are scanned each.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_CHARS = "A-Za-z0-9_+/=-"
-CANDIDATE = rf"(?<![{_CHARS}])(?=[A-Za-z_+/=-]*[0-9])[{_CHARS}]{{16,}}"
 CONTEXT = 48
 TREES, DEPTH, SEED = 40, 7, 11
 LABELLED = 6000
 MASK = "[SECRET]"
 
 # Words that make a run of letters readable, letter pairs of ordinary words, and words beside findings.
-WORDS = ["version", "release", "default", "number", "object", "order", "image", "index", "model", "table", "build", "linux", "local", "share", "cache", "test", "data", "file", "name", "page", "user", "item", "code", "type", "list", "text", "main", "html", "json", "www", "com", "the", "and", "for", "ion", "ing", "ent"]
-PAIRS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "is", "it", "al", "ar", "st", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "me", "de"]
+WORDS = ["version", "release", "default", "number", "object", "order", "image", "index", "model", "table", "build", "linux", "local", "share", "cache", "test", "data", "file", "name", "page", "user", "item", "code", "type", "list", "text", "main", "html", "json", "www", "com", "the", "and", "for", "ion", "ing", "ent", "que", "est", "les", "des", "eur", "ment", "und", "der", "die", "sch", "ung", "ein", "los", "las", "del", "con", "por", "ado"]
+PAIRS = ["th", "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "is", "it", "al", "ar", "st", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "me", "de", "ch", "qu", "ue", "ei", "ie", "el", "la", "ra", "ne", "un"]
 SECRET_WORDS = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "private_key", "auth", "bearer", "credential", "key"]
 OTHER_WORDS = ["commit", "sha1", "sha256", "md5", "checksum", "digest", "hash", "uuid", "etag", "revision", "blob", "order", "invoice", "phone", "card", "isbn", "request", "session-id", "id"]
-FEATURES = ["length", "digits", "uppers", "signs", "kinds", "changes", "hex", "pairs", "words", "path", "near_secret", "near_other", "assigned", "quoted", "prefix"]
+_CHARS = "A-Za-z0-9_+/=-"
+_PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-"
+_SECRET = "|".join(sorted(SECRET_WORDS, key=len, reverse=True))
+_PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+_RUN = rf"(?<![A-Za-z0-9_+/-])(?![A-Za-z0-9_+/-]{{1,40}}=[^=\s])"  # at a name before an assignment no run begins
+CANDIDATE = "|".join(
+    [
+        rf"{_PEM}(?:[\s\S]{{0,8000}}?-----END [A-Z ]{{0,20}}PRIVATE KEY-----|[A-Za-z0-9+/=\s]{{16,}})",
+        r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]{3,}(?=@)",
+        rf"(?<=[=:>\s\"'`])(?<=(?:[=:>]|\bis)\s{{0,3}}[\"'`]?)(?<=(?i:{_SECRET})[\"'`]?\s{{0,3}}(?::=|=>|=|:|is\b)\s{{0,3}}[\"'`]?)[^\s\"'`=:>][^\s\"'`]{{5,}}",
+        rf"(?<=[\s\"'`])(?<=(?i:{_SECRET})\s{{1,3}}[\"'`]?)(?=[^\s\"'`]*[0-9])[^\s\"'`=:>][^\s\"'`]{{7,}}",
+        rf"(?<![{_CHARS}])(?:{_PREFIX})[A-Za-z0-9_-][.{_CHARS}]{{7,}}",
+        rf"{_RUN}(?=[A-Za-z_+/=-]*[0-9])[{_CHARS}]{{16,}}",
+        rf"{_RUN}[{_CHARS}]{{20,}}",
+    ]
+)
+FEATURES = ["length", "digits", "uppers", "signs", "kinds", "changes", "hex", "pairs", "words", "path", "near_secret", "near_other", "assigned", "quoted", "prefix", "others", "url", "pem", "placeholder"]
 
 
 def _any(words: list[str]) -> str:
@@ -64,13 +78,17 @@ def with_features(found: DataFrame) -> DataFrame:
             "near_other": before.rlike(rf"\b({_any(OTHER_WORDS)})[^a-z]*$").cast("double"),
             "assigned": before.rlike(r"[=:]\s*[\"'`]?$").cast("double"),
             "quoted": (before.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"),
-            "prefix": v.rlike("^(AKIA|ASIA|gh[pousr]_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-)").cast("double"),
+            "prefix": v.rlike(f"^({_PREFIX})").cast("double"),
+            "others": share(r"[^A-Za-z0-9_+/=\-]"),
+            "url": (before.rlike(r"://[^\s:/@]*:$") & F.col("after").startswith("@")).cast("double"),
+            "pem": v.rlike(_PEM).cast("double"),
+            "placeholder": v.rlike(r"^[<{$%\[(]|^(?i:your|example|changeme|xxx|none|null|true|false|env|os\.)|^\*+|\($").cast("double"),
         }
     )
 
 
 def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
-    """(before, value, after, label): findings made by rule, half of them secrets. `n` bounds the table."""
+    """(before, value, after, label): findings made by rule, half of them secrets, with and without a secret word before. `n` bounds the table."""
     i = F.col("id")
     digest = lambda salt: F.sha2(F.concat(i.cast("string"), F.lit(salt)), 256)
     mixed = F.regexp_replace(F.base64(F.unhex(digest("mixed"))), "=", "")
@@ -80,7 +98,27 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
     filler = F.concat(pick(["the ", "and with ", "see ", "on the ", "est le ", "der die ", "para la "], "f"))
     quote = pick(['"', "'", "", '"'], "q")
     equals = pick([" = ", "=", ": ", " := "], "e")
-    secret = F.when(draw(4, "s") == 0, F.substring(digest("x"), 1, 40)).when(draw(4, "s") == 1, F.substring(digest("x"), 1, 32)).when(draw(4, "s") == 2, F.substring(mixed, 1, 36)).otherwise(F.concat(pick(["AKIA1", "ghp_1", "sk_live_1", "glpat-1"], "p"), F.substring(mixed, 1, 24)))
+    letters = F.translate(mixed, "0123456789+/", "qZxWkVjYwKgH")
+    short = F.concat(F.substring(mixed, 1, 4), pick(["&", "!", "#", "@1", "$", "9", "7x", "%", "?2", "*"], "g"), F.substring(mixed, 6, 3), F.substring(mixed, 12, draw(7, "m").cast("int")))
+    prefix = pick(["AKIA", "AKIA1", "ghp_", "ghp_1", "sk_live_", "sk_live_1", "glpat-", "glpat-1", "AIza", "xoxb-", "eyJ", "github_pat_"], "p")
+    key = F.concat(prefix, F.substring(F.when(draw(3, "l") == 0, letters).otherwise(mixed), 1, 24))
+    told = F.concat(filler, pick(SECRET_WORDS, "t"), equals, quote)
+    spaced = F.concat(filler, pick(SECRET_WORDS, "t"), pick([" ", " is ", " "], "sp"))
+    closed, plain = F.concat(quote, F.lit(" ")), pick([" ", ", ", ". "], "pl")
+    pem = F.concat(F.lit("-----BEGIN "), pick(["", "RSA ", "EC "], "pk"), F.lit("PRIVATE KEY-----\n"), mixed, mixed, F.lit("\n-----END PRIVATE KEY-----"))
+    secrets = [
+        (told, F.substring(digest("x"), 1, 40), closed),
+        (told, F.substring(digest("x"), 1, 32), closed),
+        (told, F.substring(mixed, 1, 36), closed),
+        (told, key, closed),
+        (filler, key, plain),
+        (told, short, closed),
+        (F.concat(filler, pick(["https://", "postgres://", "ftp://"], "u"), pick(["admin:", "root:", "me:"], "us")), short, pick(["@host", "@db.example.com/x"], "ho")),
+        (told, F.substring(letters, 1, F.lit(24) + draw(16, "le").cast("int")), closed),
+        (filler, F.substring(letters, 1, F.lit(28) + draw(14, "le").cast("int")), plain),
+        (spaced, short, plain),
+        (filler, pem, plain),
+    ]
     kinds = [
         (F.concat(filler, pick(OTHER_WORDS, "o"), pick([" ", ": ", "="], "n")), F.substring(digest("c"), 1, 40), F.lit(" ")),
         (F.concat(filler, F.lit("/usr/")), F.concat(word, F.lit("/lib"), draw(1000, "v").cast("string"), F.lit("/"), pick(WORDS, "d")), F.lit(".html")),
@@ -89,16 +127,19 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (F.concat(pick(SECRET_WORDS, "t"), equals), F.concat(F.lit("your_"), F.translate(word, "-", "_"), F.lit("_0"), draw(10, "y").cast("string")), F.lit(" ")),
         (filler, F.concat_ws("-", F.substring(digest("u"), 1, 8), F.substring(digest("u"), 9, 4), F.substring(digest("u"), 13, 4), F.substring(digest("u"), 17, 12)), F.lit(" ")),
         (filler, F.repeat(F.concat(pick(["=", "-", "x", "0", "ab"], "r"), draw(10, "z").cast("string")), 12), F.lit(" ")),
+        (told, pick(["required", "optional", "missing", "string,", "unknown", "contraseña", "Passwort", "obligatoire", "the-name", "deleted", "accepted.", "richtig", "nombre", "valeur"], "w1"), closed),
+        (told, F.concat(pick(["<", "${", "{{", "%(", "os.environ[", "getenv("], "ph"), F.translate(word, "-", "_"), pick([">", "}", "}}", ")s", "]", ")"], "ph")), closed),
+        (filler, F.concat(pick(["fahrzeug", "bundes", "ent", "anti", "über"], "c1"), F.translate(word, "-", ""), pick(["schaftung", "mentalisation", "lichkeit", "amiento", "izations"], "c2"), pick(["", "en", "que"], "c3")), plain),
+        (filler, F.concat(pick(["get", "set", "make", "is"], "d1"), F.translate(F.initcap(F.translate(word, "-", " ")), " ", ""), pick(["Listener", "Handler", "FromCache", "ForOrder"], "d2")), plain),
+        (F.concat(filler, F.lit("https://user:")), pick(["<password>", "{password}", "${PASSWORD}", "password"], "up"), F.lit("@host")),
+        (spaced, F.concat(pick(["version", "number", "order", "page-", "chapter"], "v1"), draw(100, "v2").cast("string")), plain),
     ]
-    kind = draw(len(kinds), "kind")
-    chosen = lambda j: reduce(lambda a, k: F.when(kind == k, kinds[k][j]).otherwise(a), range(1, len(kinds)), kinds[0][j])
+    made = lambda of, salt: F.get(F.array(*(F.struct(x.alias("before"), y.alias("value"), z.alias("after")) for x, y, z in of)), draw(len(of), salt).cast("int"))
     label = (i % 2).cast("double")
-    return spark.range(n).select(
-        F.when(label == 1, F.concat(filler, pick(SECRET_WORDS, "t"), equals, quote)).otherwise(chosen(0)).alias("before"),
-        F.when(label == 1, secret).otherwise(chosen(1)).alias("value"),
-        F.when(label == 1, F.concat(quote, F.lit(" "))).otherwise(chosen(2)).alias("after"),
-        label.alias("label"),
-    )
+    one = F.when(label == 1, made(secrets, "s")).otherwise(made(kinds, "kind"))
+    # Exploded, so that Spark does not write the expression of a value into each of its features.
+    rows = spark.range(n).select(label.alias("label"), F.explode(F.array(one)).alias("x"))
+    return rows.select("x.before", "x.value", "x.after", "label")
 
 
 def train(labelled: DataFrame) -> RandomForestClassificationModel:
