@@ -9,6 +9,7 @@ packing of an island moves to the next. A block is finished when it uses as few
 bins as its tokens allow. Pieces in loosely filled bins of all blocks are then
 packed again together, until they fit in one block.
 
+Ids are those of a plain call of the tokenizers library: the added token in a text is one id.
 Full pieces are sequences of their own. Repeated rows are packed each. Null and
 empty texts are pieces with the end id alone. No piece is dropped.
 """
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 CAPACITY = 2048
+# Fixed value: the added token of the vocabulary.
+ADDED = {"<|endoftext|>": 50256}
 BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2000, 3, 5, 2, 12
 LOOSE = 0.985
 
@@ -38,7 +41,12 @@ LOOSE = 0.985
 def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
+
+
+def encode_text(text: str, path: str, pattern: str) -> list[int]:
+    """Ids of a text; the text between added tokens is encoded by itself."""
+    return _encoding(path, pattern).encode(text, allowed_special="all")
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -52,11 +60,10 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 0, capacity:
     schema = docs.select(F.col(key)).withColumns({"piece": F.lit(0), "start": F.lit(0).cast("long"), "length": F.lit(0).cast("long"), "ids_crc32": F.lit(0).cast("long")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path, pattern).encode_ordinary
         for batch in batches:
             owner, rows = [], []
             for i, value in enumerate(batch.column(1)):
-                ids = np.array([*encode(value.as_py() or ""), end_id], "<u4")
+                ids = np.array([*encode_text(value.as_py() or "", path, pattern), end_id], "<u4")
                 for p, (s, n) in enumerate(piece_bounds(len(ids), capacity)):
                     owner.append(i)
                     rows.append((p, s, n, zlib.crc32(ids[s : s + n].tobytes())))

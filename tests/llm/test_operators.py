@@ -77,6 +77,13 @@ def test_packing_ids_like_tokenizers():
         assert encode(text) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_packing_ids_with_added_tokens():
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    for text in [*(t or "" for t in ODD), "end <|endoftext|> of", "<|endoftext|><|endoftext|>\n a", "a<|endoftext|", "x <|startoftext|> y"]:
+        assert genetic_packing.encode_text(text, RANKS, P.PATTERN) == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in genetic_packing.encode_text("end <|endoftext|> of", RANKS, P.PATTERN)
+
+
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(1)
     docs = table(spark, ["word " * rng.randrange(1, 3000) for _ in range(120)] + [None, ""])
