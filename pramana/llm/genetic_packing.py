@@ -4,14 +4,17 @@ Documents become pieces of at most `capacity` tokens. Pieces are dealt by a hash
 to blocks of bounded size, and each block is evolved on several islands, each
 with a population of packings. A crossover injects whole well-filled bins of one
 parent into the other, drops the bins that hold their pieces twice, and puts the
-displaced pieces back by best fit, largest first. After each epoch the best
-packing of an island moves to the next. A block is finished when it uses as few
-bins as its tokens allow. Pieces in loosely filled bins of all blocks are then
-packed again together, until they fit in one block.
+displaced pieces back: first in exchange for smaller ones where that fills a bin
+better, then by best fit, largest first. After each epoch the best packing of an
+island moves to the next. Pieces in loosely filled bins of all blocks are then
+packed again together, until they fit in one block (or no more can be gained,
+after MOST_ROUNDS at the latest).
 
 Ids are those of a plain call of the tokenizers library: the added token in a text is one id.
-Full pieces are sequences of their own. Repeated rows are packed each. Null and
-empty texts are pieces with the end id alone. No piece is dropped.
+Full pieces are sequences of their own. Repeated rows are packed each, and rows
+without an id like any. Null and empty texts are pieces with the end id alone.
+Texts of any length are encoded whole. Among equal lengths, any may come first. No
+piece is dropped. An empty table has no sequences. Other columns are not kept.
 """
 
 from __future__ import annotations
@@ -28,13 +31,14 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_arrow, materialise
 
 CAPACITY = 2048
 # Fixed value: the added token of the vocabulary.
 ADDED = {"<|endoftext|>": 50256}
-BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2000, 3, 5, 2, 12
-LOOSE = 0.985
+#: Pieces of a block, islands of a block, packings of an island, epochs, and generations of an epoch: all of them always run.
+BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2000, 3, 6, 2, 30
+LOOSE, MOST_ROUNDS = 0.985, 60
 
 
 @lru_cache(maxsize=4)
@@ -71,7 +75,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, end_id: int = 0, capacity:
             made = [pa.array(columns[0].astype(np.int32)), *(pa.array(c) for c in columns[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *made], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(key, text), run, schema)
 
 
 def best_fit(lengths: list[int], order: list[int], capacity: int, bins: list[list[int]]) -> list[list[int]]:
@@ -100,58 +104,126 @@ def best_fit(lengths: list[int], order: list[int], capacity: int, bins: list[lis
     return bins
 
 
-def fitness(bins: list[list[int]], lengths: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then uneven filling."""
-    return -len(bins), sum((sum(lengths[i] for i in b) / capacity) ** 2 for b in bins)
-
-
-def crossover(one: list[list[int]], two: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Well-filled bins of `two` injected into `one`."""
-    fill = np.array([sum(lengths[i] for i in b) for b in two])
-    full = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    start = int(rng.integers(len(full)))
-    chosen = np.take(full, range(start, start + max(1, len(full) // 3)), mode="wrap")
-    injected = [two[b] for b in dict.fromkeys(chosen.tolist())]
-    held = {i for b in injected for i in b}
-    kept, displaced = [list(b) for b in injected], []
-    for b in one:
-        if held.isdisjoint(b):
-            kept.append(list(b))
+class Packing:
+    """A packing as arrays: the bin of each piece, and how full each bin is."""
+
+    def __init__(self, of: np.ndarray, size: np.ndarray):
+        self.of = np.unique(of, return_inverse=True)[1]
+        self.fill = np.bincount(self.of, weights=size).astype(np.int64)
+
+    @classmethod
+    def from_bins(cls, bins: list[list[int]], size: np.ndarray) -> Packing:
+        of = np.zeros(len(size), np.int64)
+        for b, members in enumerate(bins):
+            of[members] = b
+        return cls(of, size)
+
+    def bins(self) -> list[list[int]]:
+        order = np.argsort(self.of, kind="stable")
+        return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(self.of[order])) + 1)]
+
+    def fitness(self, capacity: int) -> tuple[int, float]:
+        """Fewer bins first, then uneven filling."""
+        return -len(self.fill), float(((self.fill / capacity) ** 2).sum())
+
+
+def refill(of: np.ndarray, size: np.ndarray, free: np.ndarray, capacity: int) -> np.ndarray:
+    """Place the `free` pieces (their bin is -1) again.
+
+    A piece first takes the place of a smaller one where that fills a bin better
+    (most of all, to the brim); the smaller one becomes free. What is left then
+    goes by best fit, largest first, into the open bins or new ones.
+    """
+    left = sorted(free.tolist(), key=lambda i: -size[i])
+    if (of >= 0).any():
+        slack = capacity - np.bincount(of[of >= 0], weights=size[of >= 0]).astype(np.int64)
+        placed = np.flatnonzero(of >= 0)
+        placed = placed[slack[of[placed]] > 0]
+        place, room = size[placed], size[placed] + slack[of[placed]]
+        for n, i in enumerate(left):
+            gain = np.where((place < size[i]) & (room >= size[i]), np.where(room == size[i], capacity, 0) + size[i] - place, 0)
+            best = int(gain.argmax()) if len(gain) else 0
+            if len(gain) and gain[best] > 0:
+                j = placed[best]
+                b = of[j]
+                of[i], of[j], left[n] = b, -1, int(j)
+                slack[b] -= size[i] - size[j]
+                placed[best], place[best] = i, size[i]
+                mates = of[placed] == b
+                room[mates] = place[mates] + slack[b]
+    used = int(of.max()) + 1 if (of >= 0).any() else 0
+    fills = np.bincount(of[of >= 0], weights=size[of >= 0], minlength=used).astype(np.int64).tolist()
+    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
+    mask = 0
+    for b, fill in enumerate(fills):
+        rooms[capacity - fill].append(b)
+        mask |= 1 << capacity - fill
+    for i in sorted(left, key=lambda i: -size[i]):
+        need = int(size[i])
+        fits = mask >> need
+        if fits:
+            room = need + (fits & -fits).bit_length() - 1
+            b = rooms[room].pop()
+            if not rooms[room]:
+                mask ^= 1 << room
         else:
-            displaced += [i for i in b if i not in held]
-    displaced.sort(key=lambda i: -lengths[i])
-    return best_fit(lengths, displaced, capacity, kept)
-
-
-def mutate(bins: list[list[int]], lengths: list[int], capacity: int, rng: np.random.Generator) -> list[list[int]]:
-    """Empty the loosest bin and a few others, and put their pieces back."""
-    loosest = min(range(len(bins)), key=lambda b: sum(lengths[i] for i in bins[b]))
-    gone = {loosest, *rng.integers(len(bins), size=3).tolist()}
-    free = [i for b in gone for i in bins[b]]
-    rng.shuffle(free)
-    return best_fit(lengths, free, capacity, [list(b) for k, b in enumerate(bins) if k not in gone])
+            room, b, used = capacity, used, used + 1
+        of[i] = b
+        rooms[room - need].append(b)
+        mask |= 1 << room - need
+    return of
+
+
+def crossover(one: Packing, two: Packing, size: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """A few neighbouring well-filled bins of `two` injected whole into `one`; what they displace is placed again."""
+    order = np.argsort(-two.fill, kind="stable")
+    order = order[: max(1, len(order) // 2)]
+    start, n = int(rng.integers(len(order))), int(rng.integers(1, max(2, len(order) // 6 + 1)))
+    chosen = np.zeros(len(two.fill), bool)
+    chosen[np.take(order, range(start, start + n), mode="wrap")] = True
+    came = chosen[two.of]
+    broken = np.zeros(len(one.fill), bool)
+    broken[one.of[came]] = True  # these hold a piece twice now
+    free = broken[one.of] & ~came
+    of = np.where(came, two.of + len(one.fill), np.where(free, -1, one.of))
+    return _settled(of, size, np.flatnonzero(free), capacity)
+
+
+def mutate(packing: Packing, size: np.ndarray, capacity: int, rng: np.random.Generator) -> Packing:
+    """The loosest bin and a few others emptied, and their pieces placed again."""
+    gone = np.zeros(len(packing.fill), bool)
+    gone[packing.fill.argmin()] = True
+    gone[rng.integers(len(packing.fill), size=int(rng.integers(1, 5)))] = True
+    free = gone[packing.of]
+    return _settled(np.where(free, -1, packing.of), size, np.flatnonzero(free), capacity)
+
+
+def _settled(of: np.ndarray, size: np.ndarray, free: np.ndarray, capacity: int) -> Packing:
+    kept = of >= 0
+    of[kept] = np.unique(of[kept], return_inverse=True)[1]
+    return Packing(refill(of, size, free, capacity), size)
 
 
 def evolve(lengths: list[int], population: list[list[list[int]]], capacity: int, seed: int, generations: int = GENERATIONS) -> list[list[list[int]]]:
-    """A population after some generations, best first; an empty one is set up first."""
-    rng, least = np.random.default_rng(seed), -(-sum(lengths) // capacity)
-    rank = lambda bins: fitness(bins, lengths, capacity)
-    size = np.array(lengths)
-    if not population:
-        population.append(best_fit(lengths, np.argsort(-size, kind="stable").tolist(), capacity, []))
-    while len(population) < POPULATION and len(population[0]) > least:
-        noisy = size * rng.uniform(0.8, 1.25, len(size))
-        population.append(best_fit(lengths, np.argsort(-noisy, kind="stable").tolist(), capacity, []))
-    population.sort(key=rank, reverse=True)
+    """A population after `generations`, best first; an empty one is set up first, from best fit in several orders.
+
+    Every generation runs, whether or not the bound on the bins is met already: a
+    better filling leaves the loose bins emptier for the next round.
+    """
+    rng, size = np.random.default_rng(seed), np.array(lengths, np.int64)
+    found = [Packing.from_bins(p, size) for p in population]
+    while len(found) < POPULATION:
+        noisy = size * (rng.uniform(0.8, 1.25, len(size)) if found else 1)
+        found.append(Packing.from_bins(best_fit(lengths, np.argsort(-noisy, kind="stable").tolist(), capacity, []), size))
+    rank = lambda p: p.fitness(capacity)
+    found.sort(key=rank, reverse=True)
     for _ in range(generations):
-        if len(population[0]) <= least:
-            break
-        a, b = population[int(rng.integers(len(population)))], population[int(rng.integers(len(population)))]
-        child = mutate(crossover(a, b, lengths, capacity, rng), lengths, capacity, rng)
-        population.append(child)
-        population.sort(key=rank, reverse=True)
-        population.pop()
-    return population
+        a, b = (min(rng.integers(len(found), size=2).tolist()) for _ in range(2))  # tournaments: the list is in order
+        child = mutate(crossover(found[a], found[b], size, capacity, rng), size, capacity, rng)
+        found.append(child)
+        found.sort(key=rank, reverse=True)
+        found.pop()
+    return [p.bins() for p in found]
 
 
 def _coded(bins: list[list[int]], n: int) -> bytes:
@@ -175,6 +247,7 @@ def _pack_blocks(items: DataFrame, n_blocks: int, capacity: int, round_: int) ->
     state = blocks.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumn("population", F.array().cast("array<binary>"))
     schema = "block long, items array<long>, lengths array<long>, island int, population array<binary>"
 
+    spent: list[DataFrame] = []
     for epoch in range(EPOCHS):
 
         def run(frames: Iterator[pd.DataFrame], epoch: int = epoch) -> Iterator[pd.DataFrame]:
@@ -187,7 +260,8 @@ def _pack_blocks(items: DataFrame, n_blocks: int, capacity: int, round_: int) ->
                 yield frame.assign(population=made)
 
         state = state.select("block", "items", "lengths", "island", "population").mapInPandas(run, schema)
-        state = materialise(state, "islands")
+        state = materialise(state, "islands", *spent)
+        spent = [state]
         if epoch < EPOCHS - 1:  # the elite of each island moves to the next
             elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.slice("population", 1, 1).alias("guest"))
             state = state.join(elite, ["block", "island"]).withColumn("population", F.concat("guest", F.slice("population", 1, POPULATION - 1)))
@@ -215,7 +289,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         packed = packed.withColumn("sequence_id", (F.col("block") * 64 + round_) * (1 << 12) + F.col("bin"))  # a block has under 4096 bins
         fill = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
         packed = packed.join(fill, "sequence_id")
-        if n_blocks == 1 or left == before:
+        if n_blocks == 1 or left == before or round_ == MOST_ROUNDS:
             done.append(packed.select("item", "length", "sequence_id"))
             break
         tight = F.col("fill") >= capacity * LOOSE
