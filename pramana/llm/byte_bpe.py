@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 #: Pieces remembered by a worker before it starts afresh: bounds its memory.
 MEMO_PIECES = 400_000
 _NONE = 1 << 62
@@ -128,7 +130,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
             made = pa.array([encode_text(t or "", path, pattern) for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep), run, schema)
 
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -141,7 +143,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
             made = pa.array([decode_ids(x or [], path, pattern) for x in batch.column(ids).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, out])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return in_arrow(docs.select(*keep), run, schema)
 
 
 def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -160,4 +162,4 @@ def digests(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
                 decoded.append(hashlib.sha256(b"".join(map(tokens.__getitem__, rows))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(key, text), run, schema)

@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of an Arrow batch, about, where the session sets no bound of its own: a batch of long texts stays small.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table of a data directory."""
@@ -23,15 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches bounded by bytes, not by rows alone."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def materialise(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     """Cut the lineage: write `df` as a table in the shared folder and read it back.
 
-    The written files survive the loss of any executor.
+    The written files survive the loss of any executor. `spent`: tables made by this
+    function that nothing reads once this one is written; their files go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for table_ in spent:
+        old = spark._jvm.org.apache.hadoop.fs.Path(table_._written)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written = path
+    return found
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores behind it until `df` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def remainder(column: str, n: int) -> Column:

@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = materialise(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges", now)
         seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == (seen["n"], seen["s"]):
             break

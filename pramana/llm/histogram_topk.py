@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_arrow, materialise
 
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 4096
 CELLS = 1024
@@ -80,14 +80,14 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
     """query_id, rank, vec_id, score: the k candidates of highest inner product of each query, ties to smaller ids."""
     whole = whole_vectors(vectors, key, vector)
     schema = "ids binary, vs binary, width int"
-    queries = whole.where(is_query(F.col("id"))).mapInArrow(lambda b: _pack(b, QUERY_BLOCK), schema)
+    queries = in_arrow(whole.where(is_query(F.col("id"))), lambda b: _pack(b, QUERY_BLOCK), schema)
     queries = materialise(queries.withColumn("at", F.monotonically_increasing_id()), "queries")
     marks = sorted(r["at"] for r in queries.select("at").collect())  # numbers only: one for each QUERY_BLOCK queries
     if not marks:
         return whole.where("false").selectExpr("id AS query_id", "0 AS rank", "id AS vec_id", "id AS score")
     numbers = vectors.sparkSession.createDataFrame([(at, i) for i, at in enumerate(marks)], "at long, block long")
     queries = materialise(queries.join(numbers, "at").drop("at"), "queries")
-    candidates = whole.mapInArrow(lambda b: _pack(b, CANDIDATE_BLOCK), schema)
+    candidates = in_arrow(whole, lambda b: _pack(b, CANDIDATE_BLOCK), schema)
     candidates = materialise(candidates.select(*(F.col(c).alias(f"c_{c}") for c in candidates.columns)), "candidates")
     dealt = candidates.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(len(marks) - 1).cast("long"))).alias("block"))
     bound = whole.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("n")).agg(F.max("n")).first()[0] or 0.0
@@ -141,7 +141,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector:
                 yield pa.RecordBatch.from_arrays([pa.array([row["block"]]), pa.array([np.full(n, -reach).tobytes()]), pa.array([np.zeros(n, np.int64).tobytes()])], ["block", "low", "above"])
 
     state_schema = "block long, low binary, above binary"
-    state = queries.select("ids", "block").mapInArrow(start, state_schema)
+    state = in_arrow(queries.select("ids", "block"), start, state_schema)
     while width >= 1:
         now = queries.join(state, "block").withColumn("w", F.lit(width))
         found = dealt.join(now, "block").mapInArrow(histogram, "block long, q long, cell int, n long")

@@ -10,7 +10,9 @@ it can add (the log-likelihood is concave), so most documents need no
 second estimate, without loss.
 
 Null texts and texts without a letter are `und` with score 0. Ties go to the
-language first in order. With nothing to learn from, all is `und`.
+language first in order. With nothing to learn from, all is `und`. Texts of any
+length count whole; equal rows have equal results; rows without an id are handled
+like any, and other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, in_arrow
 
 BUCKETS = 1 << 14
 #: Documents of each language that the distributions are fitted on (about).
@@ -31,6 +33,8 @@ SAMPLE_PER_LANGUAGE = 3000
 SMOOTHING = 0.5
 STEPS = 25
 UNKNOWN = "und"
+#: Share that a document's main language has at least, to be kept by `keep_identified`.
+LEAST_SHARE = 0.5
 
 
 @lru_cache(maxsize=1)
@@ -56,14 +60,14 @@ def trigram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, counts[found].astype(np.float64)
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, key: str = "doc_id") -> tuple[list[str], np.ndarray]:
     """The languages in order and their distributions (buckets x languages).
 
     Learns from rows that have both text and language; at most about
     `per_language` documents of each, chosen by a hash of the id.
     """
-    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select("doc_id", F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    chosen = bounded_sample(known, "l", per_language)
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
+    chosen = bounded_sample(known, "l", per_language, "k")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -75,7 +79,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["l", "bucket", "n"])
 
-    parts = chosen.select("t", "l").mapInArrow(count, "l string, bucket int, n double")
+    parts = in_arrow(chosen.select("t", "l"), count, "l string, bucket int, n double")
     rows = parts.groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most languages x buckets rows
     names = sorted(rows["l"].unique())
     theta = np.full((BUCKETS, len(names)), SMOOTHING)
@@ -145,16 +149,27 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "d
                 parts.append([] if best is None else [(names[j], float(share[j])) for j in np.flatnonzero(share)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, kind)], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(key, text), run, schema)
 
 
-def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, in which a language is found (not `und`)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model[1])
+def keep_identified(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", lang: str = "lang", least: float = LEAST_SHARE) -> DataFrame:
+    """The rows of `docs` that have a main language, which becomes their `lang`.
+
+    Rejected are texts that are `und`, and mixtures in which no language has a share of `least`.
+    All columns stay; `lang` is filled or corrected, where `docs` has that column.
+    """
+    names, theta = model
+    shared = docs.sparkSession.sparkContext.broadcast(theta)
+    place = docs.columns.index(lang) if lang in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theta = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([mixture(t.as_py(), theta) is not None for t in batch.column(text)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            shares = [mixture(t.as_py(), theta) for t in batch.column(text)]
+            keep = [s is not None and s.max() >= least for s in shares]
+            columns = list(batch.columns)
+            if place is not None:
+                columns[place] = pa.array([names[int(np.argmax(s))] if k else None for s, k in zip(shares, keep, strict=True)], pa.string()).cast(batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return in_arrow(docs, run, docs.schema)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
 from .ordered import boundaries, dealt, first_keys, with_range
 
 K, SLOTS, KEPT = 8, 64, 2
@@ -107,7 +108,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             made = [as_text(sketch(t.as_py())) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return in_arrow(docs.select(key, text), run, schema)
 
 
 def edited(text: str, following: str) -> str:
@@ -123,7 +124,7 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
     of their text; after the last row comes the first. Ranges of keys are dealt
     to partitions, and each range also gets the first row of the range after it.
     """
-    cuts = boundaries(docs, key)
+    cuts = boundaries(docs, key, text)
     firsts = first_keys(docs, key, cuts)
     parts = sorted(firsts)
     ahead = {firsts[p]: (p, parts[i - 1]) for i, p in enumerate(parts)}  # i = 0: the last range wraps around
@@ -164,5 +165,5 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)], out.names)
 
-    lent = ranged.mapInArrow(lend, kind)
-    return dealt(lent, len(cuts) + 1, "extra", "key", "tie").mapInArrow(walk, out)
+    lent = in_arrow(ranged, lend, kind)
+    return in_arrow(dealt(lent, len(cuts) + 1, "extra", "key", "tie"), walk, out)

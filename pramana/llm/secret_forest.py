@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import unused
+
 CONTEXT = 48
 TREES, DEPTH, SEED = 40, 7, 11
 LABELLED = 6000
@@ -114,6 +116,7 @@ def labelled_findings(spark: SparkSession, n: int = LABELLED) -> DataFrame:
         (filler, key, plain),
         (told, short, closed),
         (F.concat(filler, pick(["https://", "postgres://", "ftp://"], "u"), pick(["admin:", "root:", "me:"], "us")), short, pick(["@host", "@db.example.com/x"], "ho")),
+        (told, F.concat(pick(WORDS, "h1"), draw(90, "h2").cast("string"), pick(WORDS, "h3"), pick(["!", "#", "$", "!!", "?"], "h4")), closed),
         (told, F.substring(letters, 1, F.lit(24) + draw(16, "le").cast("int")), closed),
         (filler, F.substring(letters, 1, F.lit(28) + draw(14, "le").cast("int")), plain),
         (spaced, short, plain),
@@ -176,8 +179,9 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with every secret in its text replaced by MASK; all rows and columns stay."""
-    secrets = scan(docs, model, key, text).where("is_secret").groupBy(F.col(key).alias("__key")).agg(F.collect_set("value").alias("__values"))
-    longest_first = F.array_sort("__values", lambda a, b: F.length(b) - F.length(a))
-    joined = docs.join(secrets, F.col(key).eqNullSafe(F.col("__key")), "left")
-    clean = F.when(F.col("__values").isNull(), F.col(text)).otherwise(F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))))
+    k, values = unused(docs, "k", "values")
+    secrets = scan(docs, model, key, text).where("is_secret").groupBy(F.col(key).alias(k)).agg(F.collect_set("value").alias(values))
+    longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
+    joined = docs.join(secrets, F.col(key).eqNullSafe(F.col(k)), "left")
+    clean = F.when(F.col(values).isNull(), F.col(text)).otherwise(F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))))
     return joined.withColumn(text, clean).select(*docs.columns)

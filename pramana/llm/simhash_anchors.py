@@ -14,7 +14,10 @@ different fingerprints, and is searched breadth-first over those not yet
 reached, so dense groups cost little. Stars are merged into components.
 
 Null and blank texts have fingerprint zero and are linked like any other. Rows
-that share an id count as one document for the component.
+that share an id count as one document for the component; a component of rows
+without an id alone has a null component_id. Texts of any length are taken whole.
+Equal rows are in one component. An empty table gives an empty result. Other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_arrow, materialise, unused
 from .components import components
 
 BITS = 4
@@ -59,16 +62,17 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(pieces), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and its fingerprint `fp` as a signed long."""
-    schema = docs.select(key).withColumn("fp", F.lit(0).cast("long")).schema
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", tie: str = "tie") -> DataFrame:
+    """key, a hash `tie` of the text, and its fingerprint `fp` as a signed long."""
+    rows = docs.select(F.col(key), F.xxhash64(text).alias(tie), F.col(text).cast("binary").alias("fp"))
+    schema = rows.withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], schema.names)
+            made = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made.view(np.int64))], schema.names)
 
-    return docs.select(key, F.col(text).cast("binary").alias("t")).mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)
 
 
 def _syndromes() -> np.ndarray:
@@ -179,29 +183,35 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         if kept:
             yield flush(kept)
 
-    copies = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long, own boolean")
+    copies = in_arrow(distinct.select("fp"), replicate, "anchor int, fp long, own boolean")
     dealt = copies.repartition("anchor").sortWithinPartitions("anchor", F.col("own").desc())
-    return dealt.mapInArrow(compare, "a long, b long")
+    return in_arrow(dealt, compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """key, fingerprint (16 hex digits) and component_id (least key reachable) for each row."""
-    marked = materialise(fingerprints(docs, key, text), "fingerprints")
+def _grouped(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
+    """key, tie, fp, root (names the component) and component_id (its least key) of each row."""
+    marked = materialise(fingerprints(docs.select(key, text), key, text), "fingerprints")
     distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
     groups = components(links(distinct.select("fp"), bits))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = rooted.join(named, "root").select("fp", "component_id")
-    found = marked.join(of, "fp")
-    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return marked.join(rooted.join(named, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
+    """key, fingerprint (16 hex digits) and component_id (least key reachable) for each row."""
+    return _grouped(docs, key, text, bits).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of `docs` whose key is the least of its component; one row for each key.
+    """One row of each component: one with its least key; of several such texts, that of the least hash.
 
-    Rows without a key can't be named as copies, and stay.
+    Different texts under one key stay both, unless they are near-copies of each other
+    or of a row with a smaller key. Rows without a key can't be named as copies, and stay.
     """
-    kept = near_duplicates(docs, key, text, bits).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    single = docs.join(kept, key, "left_semi").dropDuplicates([key])
-    return single.unionByName(docs.where(F.col(key).isNull()))
+    tie = unused(docs, "tie")[0]
+    firsts = _grouped(docs, key, text, bits).where(F.col(key) == F.col("component_id"))
+    firsts = firsts.groupBy("root").agg(F.min(F.struct(key, "tie")).alias("x")).select(F.col(f"x.{key}").alias(key), F.col("x.tie").alias(tie))
+    single = docs.withColumn(tie, F.xxhash64(text)).join(firsts, [key, tie], "left_semi").dropDuplicates([key, tie])
+    return single.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

@@ -21,8 +21,10 @@ round before. Transform and common prefixes pass from round to round through
 files, which are read and written from front to back. A suffix is repeated if
 it shares WIDTH bytes with a neighbour.
 
-Null texts are empty. Texts under WIDTH bytes keep all. Rows that share an id
-count as documents of their own.
+Null texts are empty. Texts under WIDTH bytes keep all; longer ones of any length
+are handled in pieces of CHUNK starts. Rows that share an id count as documents of
+their own; equal rows repeat each other. Rows without an id are handled like any.
+An empty table gives an empty result. Other columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -40,13 +42,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import materialise
+from .common import in_arrow, materialise, unused
 
 WIDTH, GRAM = 200, 64
 WINDOW = WIDTH - GRAM + 1  # k-grams of a string
 COMBINED = 1 << 18  # fragments combined at a time before the shuffle
 COLLECTION = 4096  # fragments sorted together, about: an anchor's are never parted
-CHUNK = 1 << 22  # starts handled at a time
+CHUNK = 1 << 20  # starts handled at a time
 _PLACE = np.uint64(24)
 _END = 255  # never a byte of UTF-8
 _ONE, _MANY, _SETTLED = 0, 1, 2  # a fragment alone in its window, one that stands for several, one that another stands for
@@ -158,20 +160,20 @@ def _spots(table: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
 
 def _unpack(spot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First start, anchor and last start relative to it, of a packed place."""
-    return spot >> 16 & ((1 << 31) - 1), spot >> 8 & 255, spot & 255
+    return spot >> 16, spot >> 8 & 255, spot & 255
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, tie, low, high: byte ranges under repeated strings (they may overlap).
 
-    tie (16 bits of a hash of the text) tells apart rows that share a key.
+    tie (a hash of the text) tells apart rows that share a key.
     """
-    rows = docs.select(F.col(key).alias("doc"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("tie"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("tie"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"))
     kind = rows.select("doc").schema
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fragments of all runs, combined before the shuffle: of equal ones in a window, one goes on for all."""
-        names, sames, spots, owners, docs = [], [], [], [], []
+        names, sames, spots, owners, docs, ties = [], [], [], [], [], []
         count = 0
 
         def combined() -> pa.RecordBatch:
@@ -182,24 +184,26 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             state = np.where(again, _SETTLED, np.where(np.r_[again[1:], False], _MANY, _ONE)).astype(np.int8)
             spread = np.arange(len(name), dtype=np.uint64) * _FACTORS[0] ^ spot.astype(np.uint64) * _FACTORS[1]
             name = np.where(again, spread, name)  # settled rows need no meeting: any task will do
-            made = [pa.array(name.view(np.int64)), pa.array(same.view(np.int64)), pa.concat_arrays(docs).take(pa.array(order)), pa.array(spot), pa.array(state)]
-            for x in (names, sames, spots, docs):
+            made = [pa.array(name.view(np.int64)), pa.array(same.view(np.int64)), pa.concat_arrays(docs).take(pa.array(order)), pa.concat_arrays(ties).take(pa.array(order)), pa.array(spot), pa.array(state)]
+            for x in (names, sames, spots, docs, ties):
                 x.clear()
-            return pa.RecordBatch.from_arrays(made, ["name", "same", "doc", "spot", "state"])
+            return pa.RecordBatch.from_arrays(made, ["name", "same", "doc", "tie", "spot", "state"])
 
         for batch in batches:
 
             def keep(batch: pa.RecordBatch = batch) -> None:
                 if owners:
-                    docs.append(batch.column(0).take(pa.array(np.concatenate(owners))))
+                    rows = pa.array(np.concatenate(owners))
+                    docs.append(batch.column(0).take(rows))
+                    ties.append(batch.column(1).take(rows))
                     owners.clear()
 
-            for i, (tie, value) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2), strict=True)):
+            for i, value in enumerate(batch.column(2)):
                 data = value.as_py()
                 for name, first, place, last in runs(data):
                     names.append(name)
                     sames.append(np.fromiter(map(xxhash.xxh3_64_intdigest, [data[a : b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]), np.uint64, len(first)))
-                    spots.append(tie << 47 | first << 16 | (place - first) << 8 | (last - first))
+                    spots.append(first << 16 | (place - first) << 8 | (last - first))
                     owners.append(np.full(len(first), i))
                     count += len(first)
                     if count >= COMBINED:
@@ -219,14 +223,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         one, judged when its successor is known, and the first of an anchor
         whose second kind of fragment has not been seen yet.
         """
-        names = ["name", "doc", "spot", "whole", "sort"]
+        names = ["name", "doc", "tie", "spot", "whole", "sort"]
         before: tuple[int, int] | None = None  # of the row judged last
         row: pa.RecordBatch | None = None  # not judged yet
         waiting: pa.RecordBatch | None = None  # judged, but for sorting
 
         def out(rows: pa.RecordBatch, whole: np.ndarray, sort: np.ndarray) -> pa.RecordBatch:
             keep = pa.array(whole | sort)
-            made = [*(rows.column(c) for c in ("name", "doc", "spot")), pa.array(whole), pa.array(sort)]
+            made = [*(rows.column(c) for c in ("name", "doc", "tie", "spot")), pa.array(whole), pa.array(sort)]
             return pa.RecordBatch.from_arrays(made, names).filter(keep)
 
         def judge(rows: pa.RecordBatch, n: int) -> Iterator[pa.RecordBatch]:
@@ -266,20 +270,25 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         if row is not None:
             yield from judge(row, 1)
 
-    marked = rows.mapInArrow(mark, f"name long, same long, doc {kind['doc'].dataType.simpleString()}, spot long, state tinyint")
+    doc_type = kind["doc"].dataType.simpleString()
+    marked = in_arrow(rows, mark, f"name long, same long, doc {doc_type}, tie long, spot long, state tinyint")
     dealt = marked.repartition("name").sortWithinPartitions("name", "same")
-    judged = materialise(dealt.mapInArrow(meet, f"name long, doc {kind['doc'].dataType.simpleString()}, spot long, whole boolean, sort boolean"), "anchors")
+    judged = materialise(in_arrow(dealt, meet, f"name long, doc {doc_type}, tie long, spot long, whole boolean, sort boolean"), "anchors")
 
-    wanted = judged.where("sort").groupBy("doc", F.shiftright("spot", 47).cast("int").alias("tie")).agg(F.collect_list(F.struct("name", "spot", "whole")).alias("x"))
+    wanted = judged.where("sort").groupBy("doc", "tie").agg(F.collect_list(F.struct("name", "spot", "whole")).alias("x"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, (value, spots) in enumerate(zip(batch.column(1), batch.column(2).to_pylist(), strict=True)):
+            lists = batch.column(3)
+            sizes, found = lists.value_lengths().to_numpy(), lists.flatten()
+            first, _, last = _unpack(found.field("spot").to_numpy())
+            at, parts = 0, []
+            for value, n in zip(batch.column(2), sizes.tolist(), strict=True):
                 data = value.as_py()
-                spot = np.array([s["spot"] for s in spots], np.int64)
-                first, _, last = _unpack(spot)
-                parts = [data[a : a + b + WIDTH] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(spot), i))), pa.array([s["name"] for s in spots], pa.int64()), pa.array(spot), pa.array([s["whole"] for s in spots]), pa.array(parts, pa.binary())], ["doc", "name", "spot", "whole", "part"])
+                parts += [data[a : a + b + WIDTH] for a, b in zip(first[at : at + n].tolist(), last[at : at + n].tolist(), strict=True)]
+                at += n
+            owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), batch.column(1).take(owner), *(found.field(c) for c in ("name", "spot", "whole")), pa.array(parts, pa.binary())], ["doc", "tie", "name", "spot", "whole", "part"])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -293,7 +302,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             edge = np.zeros((len(found), 1), np.int8)
             steps = np.diff(np.concatenate([edge, found, edge], axis=1).astype(np.int8), axis=1)
             (who, low), (_, high) = np.nonzero(steps == 1), np.nonzero(steps == -1)
-            return pa.RecordBatch.from_arrays([table.column("doc").take(pa.array(who)).combine_chunks(), pa.array((spot[who] >> 47).astype(np.int32)), pa.array(first[who] + low), pa.array(first[who] + high - 1 + WIDTH)], ["doc", "tie", "low", "high"])
+            return pa.RecordBatch.from_arrays([*(table.column(c).take(pa.array(who)).combine_chunks() for c in ("doc", "tie")), pa.array(first[who] + low), pa.array(first[who] + high - 1 + WIDTH)], ["doc", "tie", "low", "high"])
 
         count = 0
         for batch in batches:
@@ -310,14 +319,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         if held:
             yield flush(held)
 
-    doc_type = kind["doc"].dataType.simpleString()
     wanted = wanted.toDF("w_doc", "w_tie", "x")
-    texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("tie") == F.col("w_tie"))).select("doc", "data", "x")
-    parts = texts.mapInArrow(cut, f"doc {doc_type}, name long, spot long, whole boolean, part binary")
-    sorted_ = parts.repartition("name").sortWithinPartitions("name").mapInArrow(sort, f"doc {doc_type}, tie int, low long, high long")
-    first = F.shiftright("spot", 16).bitwiseAND(F.lit((1 << 31) - 1))
+    texts = rows.join(wanted, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("tie") == F.col("w_tie"))).select("doc", "tie", "data", "x")
+    parts = in_arrow(texts, cut, f"doc {doc_type}, tie long, name long, spot long, whole boolean, part binary")
+    sorted_ = in_arrow(parts.repartition("name").sortWithinPartitions("name"), sort, f"doc {doc_type}, tie long, low long, high long")
+    first = F.shiftright("spot", 16)
     last = F.col("spot").bitwiseAND(F.lit(255))
-    whole = judged.where("whole").select("doc", F.shiftright("spot", 47).cast("int").alias("tie"), first.alias("low"), (first + last + WIDTH).alias("high"))
+    whole = judged.where("whole").select("doc", "tie", first.alias("low"), (first + last + WIDTH).alias("high"))
     return whole.unionByName(sorted_).withColumnRenamed("doc", key)
 
 
@@ -332,28 +340,36 @@ def merged(low: list[int], high: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def strip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All rows and columns of `docs`, with `kept` (the remaining bytes) and `spans` (removed byte ranges)."""
-    names = [c for c in docs.columns if c not in ("kept", "spans")]
-    spans = repeats(docs, key, text)
-    spans = spans.groupBy(F.col(key).alias("__key"), F.col("tie").alias("__tie")).agg(F.collect_set(F.struct("low", "high")).alias("__spans"))
-    base = docs.select(*names, F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("__t"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__data"))
-    joined = base.join(spans, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__t") == F.col("__tie")), "left").drop("__key", "__t", "__tie")
-    schema = docs.select(*names).withColumns({"kept": F.lit(b""), "spans": F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")))}).schema
+def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", kept: str = "kept", spans: str = "spans") -> DataFrame:
+    """All rows and columns of `docs`, with `kept` (the remaining bytes) and `spans` (removed byte ranges).
+
+    A column of `docs` that has one of these two names gives way; name them otherwise to keep it.
+    """
+    names = [c for c in docs.columns if c not in (kept, spans)]
+    k, t, own, data, found = unused(docs, "k", "t", "own", "data", "found")
+    ranges = repeats(docs.select(key, text), key, text)
+    ranges = ranges.groupBy(F.col(key).alias(k), F.col("tie").alias(t)).agg(F.collect_set(F.struct("low", "high")).alias(found))
+    base = docs.select(*names, F.xxhash64(text).alias(own), F.coalesce(F.col(text), F.lit("")).cast("binary").alias(data))
+    joined = base.join(ranges, F.col(key).eqNullSafe(F.col(k)) & (F.col(own) == F.col(t)), "left").select(*names, data, found)
+    schema = docs.select(*names).withColumns({kept: F.lit(b""), spans: F.array(F.struct(F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high")))}).schema
     kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept, removed = [], []
-            for value, found in zip(batch.column(len(names)), batch.column(len(names) + 1).to_pylist(), strict=True):
+            lists = batch.column(len(names) + 1)
+            sizes, flat = lists.value_lengths().fill_null(0).to_numpy(), lists.flatten()
+            low, high = flat.field("low").to_numpy(), flat.field("high").to_numpy()
+            left, removed, at = [], [], 0
+            for value, n in zip(batch.column(len(names)), sizes.tolist(), strict=True):
                 data = value.as_py()
-                ranges = merged([s["low"] for s in found or []], [s["high"] for s in found or []])
-                ends = [0, *(b for _, b in ranges)]
-                kept.append(b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in ranges), len(data)], strict=True)))
-                removed.append([{"low": a, "high": b} for a, b in ranges])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(removed, kind)], schema.names)
-
-    return joined.mapInArrow(run, schema)
+                gone = merged(low[at : at + n].tolist(), high[at : at + n].tolist())
+                at += n
+                ends = [0, *(b for _, b in gone)]
+                left.append(b"".join(data[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(data)], strict=True)))
+                removed.append([{"low": a, "high": b} for a, b in gone])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(left, pa.binary()), pa.array(removed, kind)], schema.names)
+
+    return in_arrow(joined, run, schema)
 
 
 @F.pandas_udf(StringType())
