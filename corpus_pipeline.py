@@ -3,8 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each
 result as Parquet in the shared folder and reads it back for the next stage. All
 but the last stage return the columns of documents. Only these change: rows that
-language ID rejects and near-copies go, repeated bytes and secrets leave texts,
-n_chars follows the text.
+language ID rejects and near-copies go, `lang` is the language found, repeated
+bytes and secrets leave texts, n_chars follows the text.
+
+Columns that `documents` has besides stay as they are, whatever their names. Rows
+without an id stay in every stage. Rows that share an id are documents of their
+own; equal rows are copies, of which near_dedup keeps one. An empty table gives
+empty results. Texts are handled whole, however long.
 """
 
 from __future__ import annotations
@@ -14,12 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pramana.llm import genetic_packing, language_mixture, secret_forest, simhash_anchors, suffix_columns
-from pramana.llm.common import materialise, table
-
+from pramana.llm.common import materialise, table, unused
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in which a language is found; null texts and texts without a letter go."""
+    """Keeps documents that have a main language, and names it in `lang`; null texts, texts without a letter and even mixtures go."""
     return language_mixture.keep_identified(docs, language_mixture.fit(docs))
 
 
@@ -30,8 +34,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated 200-byte strings out of the texts; a character that is cut in two goes as a whole."""
-    found = suffix_columns.strip(docs)
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(suffix_columns.as_text("kept"))
+    kept, spans = unused(docs, "kept", "spans")
+    found = suffix_columns.strip(docs, kept=kept, spans=spans)
+    text = F.when(F.size(spans) == 0, F.col("text")).otherwise(suffix_columns.as_text(kept))
     return _with_text(found, docs, text)
 
 
@@ -66,7 +71,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data directory."""
-    docs = table(spark, sf_dir, "documents")
+    docs, spent = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", *spent)
+        spent = [docs]
     return docs
