@@ -17,12 +17,14 @@ MASKING_DIGITS = [*EVIDENCE_DIGITS, "০১২৩৪৫৬৭৮৯", "୦୧୨
 # Code points of the scripts of the languages with a script check.
 SCRIPTS = {"ta": (0x0B80, 0x0BFF), "hi": (0x0900, 0x097F), "mr": (0x0900, 0x097F), "te": (0x0C00, 0x0C7F), "ml": (0x0D00, 0x0D7F), "kn": (0x0C80, 0x0CFF), "bn": (0x0980, 0x09FF)}
 # Words of offices and posts that are no names by themselves.
-OFFICE_WORDS = (
-    "department cell manager officer office division clause section desk team dept claim claims grievance grievances redressal complaint complaints "
-    "service services support care customer helpdesk helpline unit branch center centre committee board group bureau wing agency council admin administration "
-    "executive supervisor lead head director assistant associate coordinator representative agent specialist advisor clerk staff operations audit billing legal "
-    "finance accounts underwriting subclause part page and of the for in at to"
-).split()
+OFFICE_WORDS = [
+    "department", "cell", "manager", "officer", "office", "division", "clause", "section", "desk", "team", "dept", "claim", "claims", "grievance",
+    "grievances", "redressal", "complaint", "complaints", "service", "services", "support", "care", "customer", "helpdesk", "helpline", "unit",
+    "branch", "center", "centre", "committee", "board", "group", "bureau", "wing", "agency", "council", "admin", "administration", "executive",
+    "supervisor", "lead", "head", "director", "assistant", "associate", "coordinator", "representative", "agent", "specialist", "advisor", "clerk",
+    "staff", "operations", "audit", "billing", "legal", "finance", "accounts", "underwriting", "subclause", "part", "page", "and", "of", "the", "for",
+    "in", "at", "to",
+]
 # Patterns of amounts, dates and phone numbers in running text (Java syntax).
 AMOUNT = r"(?i)(?:Rs\.?|₹|INR)\s*[\p{Nd},]+(?:\.\p{Nd}+)?"
 DATE_IN_TEXT = r"(?i)(?:\b\d{1,2}[./-]\d{1,2}[./-]\d{2,4}\b|\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{4}\b)"
@@ -50,15 +52,20 @@ def fold_masking_digits(t: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _decimal_digits() -> tuple[str, str]:
-    found = [c for i in range(128, 0x10000) if unicodedata.category(c := chr(i)) == "Nd"]
+    found = [c for i in range(128, 0x110000) if unicodedata.category(c := chr(i)) == "Nd"]
     return "".join(found), "".join(str(unicodedata.decimal(c)) for c in found)
 
 
 def fold_all_digits(t: Column) -> Column:
-    """Every decimal digit of the basic plane to 0-9."""
+    """Every decimal digit of Unicode to 0-9."""
     return F.translate(t, *_decimal_digits())
 
 
+def bind(make, **values: Column) -> Column:
+    """make(x), where x holds the values by name: each is computed once, also if `make` uses it inside a function of array elements."""
+    return F.get(F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), make), F.lit(0))
+
+
 def strip_grouping(t: Column) -> Column:
     """Commas between digits removed."""
     return F.regexp_replace(t, r"(?<=\d),(?=\d)", "")
@@ -136,6 +143,11 @@ def protected_terms(terms: Column) -> Column:
     return F.transform(F.filter(F.coalesce(terms, F.array().cast("array<string>")), kept), lambda x: F.trim(x))
 
 
+def terms_form(terms: Column) -> Column:
+    """An array of terms, each in the form in which terms are compared."""
+    return F.split(term_form(F.array_join(terms, "\u0001")), " ?\u0001 ?")
+
+
 def script_share(t: Column, lang: str) -> Column:
     """Share of letters in the script of `lang`; 1 without letters or without a script to check."""
     if lang not in SCRIPTS:

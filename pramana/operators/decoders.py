@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 # Frequency codes, their words and dose times, in the order of precedence.
 FREQUENCIES = [
     ("SOS", "SOS|PRN|AS NEEDED|WHEN REQUIRED", []),
@@ -118,20 +120,29 @@ def lab_value(value: Column, range_: Column, flag: Column) -> Column:
         .when(mark.isin("low", "l", "↓", "⬇"), made(F.lit("Low"), F.lit(True)))
         .when(mark.rlike(r"^in\s*range$"), made(F.lit("In range"), F.lit(False)))
     )
-    v, text = _number(value), F.trim(F.coalesce(range_, F.lit("")))
     prose = lambda t: t.rlike("(?i)impairment|indicative|suggestive") & ~t.rlike(f"(?i){_BAND}")
     pattern = F.lit(rf"(?i)({_BAND})\s*:?\s*([^\n;]+)")
-    pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("name"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("clause"))
-    bands = F.transform(F.filter(pairs, lambda x: ~prose(x["clause"])), lambda x: F.struct(F.initcap(F.trim(x["name"])).alias("name"), _bound(x["clause"]).alias("b")))
-    bands = F.filter(bands, lambda x: x["b"].isNotNull())
     width = lambda b: F.coalesce(F.greatest(b["high"] - b["low"], F.lit(0.0)) + (b["low"] * 0), F.lit(1e6))
-    fitting = F.filter(F.transform(bands, lambda x, i: F.struct(width(x["b"]).alias("w"), i.alias("i"), x["name"].alias("name"), x["b"].alias("b"))), lambda x: ~_over(v, x["b"]) & ~_under(v, x["b"]))
-    best = F.array_min(F.transform(fitting, lambda x: F.struct(x["w"].alias("w"), x["i"].alias("i"), x["name"].alias("name"))))
-    odd = best["name"].rlike("(?i)high|low|deficien|insufficien|toxic|borderline") & ~best["name"].rlike("(?i)near")
-    banded = F.when((F.size(bands) >= 2) & (F.size(fitting) > 0), made(best["name"], odd))
-    b = _bound(text)
-    plain = F.when(~prose(text) & b.isNotNull(), F.when(_over(v, b), made(F.lit("Above range"), F.lit(True))).when(_under(v, b), made(F.lit("Below range"), F.lit(True))).otherwise(made(F.lit(""), F.lit(False))))
-    return F.coalesce(printed, F.when((text != "") & v.isNotNull(), F.coalesce(banded, plain)))
+
+    def by_band(x: Column) -> Column:
+        """x: the value v and the bands (name, b)."""
+        fitting = F.filter(x["bands"], lambda y: ~_over(x["v"], y["b"]) & ~_under(x["v"], y["b"]))
+        best = F.array_min(F.transform(fitting, lambda y: F.struct(width(y["b"]).alias("w"), y["i"].alias("i"), y["name"].alias("name"))))
+        odd = lambda name: name.rlike("(?i)high|low|deficien|insufficien|toxic|borderline") & ~name.rlike("(?i)near")
+        return bind(lambda y: F.when(y["best"].isNotNull() & (F.size(x["bands"]) >= 2), made(y["best"]["name"], odd(y["best"]["name"]))), best=best)
+
+    def by_range(x: Column) -> Column:
+        """x: the value v, the text of the range, and its bound b."""
+        decided = F.when(_over(x["v"], x["b"]), made(F.lit("Above range"), F.lit(True))).when(_under(x["v"], x["b"]), made(F.lit("Below range"), F.lit(True))).otherwise(made(F.lit(""), F.lit(False)))
+        return F.when(~prose(x["text"]) & x["b"].isNotNull(), decided)
+
+    def decide(x: Column) -> Column:
+        pairs = F.arrays_zip(F.regexp_extract_all(x["text"], pattern, F.lit(1)).alias("name"), F.regexp_extract_all(x["text"], pattern, F.lit(2)).alias("clause"))
+        bands = F.transform(F.filter(pairs, lambda y: ~prose(y["clause"])), lambda y, i: F.struct(F.initcap(F.trim(y["name"])).alias("name"), i.alias("i"), _bound(y["clause"]).alias("b")))
+        found = F.coalesce(bind(by_band, v=x["v"], bands=F.filter(bands, lambda y: y["b"].isNotNull())), bind(by_range, v=x["v"], text=x["text"], b=_bound(x["text"])))
+        return F.coalesce(x["printed"], F.when((x["text"] != "") & x["v"].isNotNull(), found))
+
+    return bind(decide, printed=printed, v=_number(value), text=F.trim(F.coalesce(range_, F.lit(""))))
 
 
 def _cue(text: Column, word: str) -> Column:

@@ -1,7 +1,8 @@
 """Evidence: does a quoted item, with its numbers, stand on the cited page?
 
-Pages are normalised once and joined by document and page; the whole document is
-joined only for items that its page does not settle.
+Pages are normalised once and joined by document and page. The whole document is
+joined only for items that their page does not settle: the others go round that
+join, so document text is not copied to them.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import critical_tokens, evidence_form
+from ..functions.text import bind, critical_tokens, evidence_form, guard_form
 
 
 def document_text(pages: DataFrame) -> DataFrame:
@@ -34,17 +35,17 @@ def verify(items: DataFrame, pages: DataFrame, unicode_forms: bool = True) -> Da
     by_doc = document_text(pages).select("doc_id", form(F.col("text")).alias("doc_text"))
     tokens = F.concat(critical_tokens(F.col("quote")), critical_tokens(F.col("text")))
     joined_tokens = form(F.array_join(tokens, "\u0001"))
+    known = by_doc.select("doc_id", F.lit(True).alias("has_pages"))
     asked = items.withColumn("q", form(F.col("quote"))).withColumn("tokens", F.split(joined_tokens, "\\s?\u0001\\s?"))
-    asked = asked.join(by_page, ["doc_id", "page"], "left").join(by_doc, "doc_id", "left")
-    page_text = F.coalesce("page_text", "doc_text")
-    target = F.when(F.contains(page_text, F.col("q")), page_text).when(F.contains(F.col("doc_text"), F.col("q")), F.col("doc_text"))
-    label = (
-        F.when(F.col("is_calculated"), "calculated")
-        .when(F.col("doc_text").isNull() | (F.trim(F.coalesce("quote", F.lit(""))) == "") | (F.col("q") == "") | target.isNull(), "check_original")
-        .when(_all_in(F.col("tokens"), target), "matched")
-        .otherwise("check_original")
-    )
-    return asked.select(*items.columns, label.alias("evidence"))
+    asked = asked.join(by_page, ["doc_id", "page"], "left").join(known, "doc_id", "left")
+    blank = F.col("has_pages").isNull() | (F.trim(F.coalesce("quote", F.lit(""))) == "") | (F.col("q") == "")
+    on_page = F.coalesce(F.contains("page_text", F.col("q")), F.lit(False))
+    verdict = lambda text: F.when(_all_in(F.col("tokens"), text), "matched").otherwise("check_original")
+    settled = F.coalesce(F.col("is_calculated"), F.lit(False)) | blank | on_page
+    first = asked.where(settled).select(*items.columns, F.when(F.col("is_calculated"), "calculated").when(blank, "check_original").otherwise(verdict(F.col("page_text"))).alias("evidence"))
+    rest = asked.where(~settled).join(by_doc, "doc_id")
+    rest = rest.select(*items.columns, F.when(F.contains("doc_text", F.col("q")), verdict(F.col("doc_text"))).otherwise("check_original").alias("evidence"))
+    return first.unionByName(rest)
 
 
 def summary(checked: DataFrame, *by: str) -> DataFrame:
@@ -63,6 +64,39 @@ def lab_row(label: Column, value: Column, text: Column) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), "matched").otherwise("check_original")
 
 
+def place(address: Column, quote: Column, text: Column) -> Column:
+    """matched if address or quote stands in the text (all three in the form of evidence)."""
+    fine = ((address != "") & F.contains(text, address)) | ((quote != "") & F.contains(text, quote))
+    return F.when(F.coalesce(fine, F.lit(False)), "matched").otherwise("check_original")
+
+
+def glance(value: Column, kind: Column, text: Column, unicode_forms: bool = True) -> Column:
+    """matched if a value stands in the text; an amount also by the digits of one of its tokens, a date also inside one."""
+
+    def decide(x: Column) -> Column:
+        amount = (kind == "amount") & (x["digits"] != "") & F.exists(x["tokens"], lambda t: F.regexp_replace(guard_form(t), r"\D", "") == x["digits"])
+        day = (kind == "date") & (x["v"] != "") & F.exists(x["tokens"], lambda t: F.contains(evidence_form(t, False), x["v"]))
+        fine = ((x["v"] != "") & F.contains(x["t"], x["v"])) | amount | day
+        return F.when(F.coalesce(fine, F.lit(False)), "matched").otherwise("check_original")
+
+    forms = {"v": evidence_form(value, unicode_forms), "t": evidence_form(text, unicode_forms)}
+    return bind(decide, **forms, digits=F.regexp_replace(guard_form(value), r"\D", ""), tokens=critical_tokens(text))
+
+
+def part_glance(value: Column, text: Column) -> Column:
+    """matched if the printed value stands in the text as it is."""
+    return F.when(F.coalesce(F.contains(text, value), F.lit(False)), "matched").otherwise("check_original")
+
+
+def quoted_lab_rows(rows: DataFrame, pages: DataFrame, unicode_forms: bool = True) -> DataFrame:
+    """rows (doc_id, pos, label, value, quote, page) with `evidence`: by quote and value where there is a quote, else by label and value on the page."""
+    quoted = F.trim(F.coalesce("quote", F.lit(""))) != ""
+    asked = rows.where(quoted).select(*rows.columns, F.coalesce("value", F.lit("")).alias("text"), F.lit(False).alias("is_calculated"))
+    by_quote = verify(asked, pages, unicode_forms).select(*rows.columns, "evidence")
+    plain = rows.where(~quoted).join(pages.select("doc_id", "page", F.col("text").alias("page_text")), ["doc_id", "page"], "left")
+    return by_quote.unionByName(plain.select(*rows.columns, lab_row(F.col("label"), F.col("value"), F.col("page_text")).alias("evidence")))
+
+
 def contact(value: Column, quote: Column, text: Column) -> Column:
     """matched if value or quote stands in the text, or seven digits or more do among its digits."""
     digits = F.regexp_replace(value, r"\D", "")
@@ -80,8 +114,10 @@ def glance_amount(value: Column, tokens: Column) -> Column:
 def owning_part(pages: DataFrame, parts: DataFrame) -> DataFrame:
     """doc_id, page and the first part whose range covers it (-1 if none).
 
-    Ranges are opened into pages, so the match is an equality join.
+    Ranges are opened into pages no further than the document goes, so the match is an equality join.
     """
-    covered = parts.select("doc_id", "pos", F.explode(F.sequence(F.least("first", "last"), F.greatest("first", "last"))).alias("page"))
+    ends = pages.groupBy("doc_id").agg(F.min("page").alias("least"), F.max("page").alias("most"))
+    bounded = parts.join(ends, "doc_id").select("doc_id", "pos", F.greatest(F.least("first", "last"), "least").alias("a"), F.least(F.greatest("first", "last"), "most").alias("b"))
+    covered = bounded.where("a <= b").select("doc_id", "pos", F.explode(F.sequence("a", "b")).alias("page"))
     first = covered.groupBy("doc_id", "page").agg(F.min("pos").alias("part"))
     return pages.select("doc_id", "page").join(first, ["doc_id", "page"], "left").withColumn("part", F.coalesce("part", F.lit(-1)))

@@ -52,10 +52,14 @@ def _planted(k: Column) -> Column:
     return F.array(mobile, spaced, car, F.concat(F.lit("O.S. No. "), k.cast("string"), F.lit("/2025")), F.date_format(day, "dd/MM/yyyy"), F.date_format(day, "d MMM yyyy"), F.concat(F.lit("Asha "), F.initcap(tag)), F.concat(F.lit("Ravi "), F.initcap(F.reverse(tag))))
 
 
-@query("SELECT doc_id, CAST(0 AS BIGINT) AS leaks FROM documents WHERE false")
+@query(
+    r"""SELECT doc_id, CAST(8 + len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) + len(regexp_extract_all(coalesce(text, ''), '\b\d{16}\b')) AS BIGINT) AS secrets, CAST(0 AS BIGINT) AS leaks FROM documents"""
+)
 def leaks_after_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets planted in every text, and long numbers and addresses found by other patterns, that still stand in the masked text: none may."""
+    """Secrets planted in every text, and long numbers and addresses found by other patterns: how many there are, and how many still stand in the masked text (none may)."""
     docs = table(spark, sf_dir, "documents").withColumn("planted", _planted(F.col("doc_id")))
     text = F.concat_ws(" ", "text", F.expr(f"concat({', '.join(_SENTENCE)})"))
     secrets = docs.select("doc_id", F.explode(F.concat("planted", *(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)) for p in (EMAIL, r"\b\d{16}\b")))).alias("secret"))
-    return privacy.leaks(secrets, docs.select("doc_id", F.lit("share").alias("channel"), masking.masked(text).alias("text")), "doc_id")
+    found = privacy.leaks(secrets, docs.select("doc_id", F.lit("share").alias("channel"), masking.masked(text).alias("text")), "doc_id")
+    sums = secrets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("secrets"))
+    return sums.join(found, "doc_id", "left").select("doc_id", "secrets", F.coalesce("leaks", F.lit(0)).cast("long").alias("leaks"))

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -21,3 +24,33 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return run
 
     return add
+
+
+def cases(name: str, fields: str, rows: list[tuple], make: Callable[..., Column], doc: str = "") -> None:
+    """Register a query that puts literal cases through `make`, one case for each order by its number.
+
+    rows: the inputs of a case and, last, the result that the rules of the operator
+    give for it, as text. The SQL states these results; the inputs are seen by Spark only.
+    """
+    n, names = len(rows), [f.split()[0] for f in _split(fields)]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        given = spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(rows)], f"case_number int, {fields}")
+        asked = table(spark, sf_dir, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(n)).cast("int").alias("case_number"))
+        return asked.join(F.broadcast(given), "case_number").select("o_orderkey", make(*(F.col(c) for c in names)).cast("string").alias("result"))  # `given` has a row for each case
+
+    run.__name__, run.__doc__ = name, doc or f"Literal cases of {name}."
+    quoted = [("NULL" if r[-1] is None else "'" + str(r[-1]).replace("'", "''") + "'") for r in rows]
+    sql = f"SELECT o_orderkey, CASE o_orderkey % {n} " + " ".join(f"WHEN {i} THEN {q}" for i, q in enumerate(quoted)) + " END AS result FROM orders"
+    query(sql)(run)
+
+
+def _split(fields: str) -> list[str]:
+    """Fields of a DDL at its outermost commas."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(fields):
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            out.append(fields[start:i].strip())
+            start = i + 1
+    return [*out, fields[start:].strip()]

@@ -14,14 +14,15 @@ from .feed_queries import rate_limits
 from .registry import SQL, query
 
 
-def _scratch(spark: SparkSession) -> str:
+def scratch(spark: SparkSession, label: str = "stream") -> str:
+    """A fresh path in the shared folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pramana-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all input that there is, into Parquet files."""
-    place = _scratch(spark)
+    place = scratch(spark)
     stream.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
@@ -39,7 +40,10 @@ def rate_limits_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _finished(spark, limiter.limit_stream(calls, 2, 86400)).select("endpoint", "ip", "id", "allowed")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events)
+SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM d, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY ALL"""
+)
 def windowed_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed daily windows; those that the watermark has not passed stay open and are not written."""
     found = _finished(spark, limiter.windowed_counts(_events(spark, sf_dir)))
