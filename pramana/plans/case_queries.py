@@ -132,8 +132,13 @@ cases("question_families", "kind string", [("lab_report", "lab"), ("receipt", "b
 cases("parts_alone", "title string, kind string", [("Part 1", "loan", "bank|loan|Part 1|ta|2026-10-01|a,b"), ("Part 2", None, "bank|Part 2|ta|2026-10-01|a,b")],
       lambda t, k: bind(lambda x: F.concat_ws("|", x["r"]["doc_type"], x["r"]["document_kind"], x["r"]["title"], x["r"]["language"], x["r"]["letter_date"], F.array_join(x["r"]["summary"], ",")),
                         r=blocks.part_as_result(F.struct(t.alias("title"), F.lit(None).cast("string").alias("document_type"), k.alias("document_kind"), F.lit("2026-10-01").alias("date_iso"), F.array(F.lit("a"), F.lit("b")).alias("summary_lines")), F.lit("ta"), F.lit("bank"))))
-_DAY = F.lit("2026-10-06").cast("date")
-cases("calendar_eligible", "due string, status string, rec string", [("2026-10-07", "upcoming", None, "true"), ("2026-10-05", "upcoming", None, "false"), (None, "recurring", "monthly", "true"), (None, "none", None, "false"), ("2026-10-07", "passed", None, "false")], lambda d, s, r: calendar.eligible(d, s, r, _DAY))
+
+
+def _day():
+    return F.lit("2026-10-06").cast("date")
+
+
+cases("calendar_eligible", "due string, status string, rec string", [("2026-10-07", "upcoming", None, "true"), ("2026-10-05", "upcoming", None, "false"), (None, "recurring", "monthly", "true"), (None, "none", None, "false"), ("2026-10-07", "passed", None, "false")], lambda d, s, r: calendar.eligible(d, s, r, _day()))
 cases("calendar_drafts", "title string, date string, time string, alert string", [("  Pay   the bill ", "2026-10-07T00:00", "09:30:00", "1d", "Pay the bill|2026-10-07T09:30:00|false|-P1D|Reminder."), ("Pay", "2026-10-07", "", "x", "Pay|2026-10-07|true|PT9H|Reminder."), ("x" * 70, "2026-10-07", "9:30", "0", "x" * 59 + "…|2026-10-07|true|-PT0S|Reminder.")],
       lambda t, d, h, a: bind(lambda x: F.concat_ws("|", x["e"]["title"], x["e"]["start"], x["e"]["all_day"].cast("string"), x["e"]["alarm"], x["e"]["description"]), e=calendar.draft(F.lit("u"), t, F.lit(None).cast("string"), d, h, a)))
 _HEAD = "BEGIN:VCALENDAR\r\nVERSION:2.0\r\nPRODID:-//pramana//EN\r\nCALSCALE:GREGORIAN\r\nMETHOD:PUBLISH\r\n"
@@ -144,7 +149,7 @@ cases("calendar_files", "time string, rule string", [
 ], lambda t, r: calendar.calendar_file(F.array(calendar.draft(F.lit("u"), F.lit("Pay; now"), F.lit(""), F.lit("2026-10-07"), t, F.lit("1w"), r)), F.lit("20261006T000000Z"), "pramana", "example.org"))
 cases("action_events", "single boolean", [(True, "t-act-0:Pay:2026-11-01T09:00:00:|t-act-1:Rent:2026-10-06T09:00:00:FREQ=MONTHLY"), (False, "t-act-all-0:Pay:2026-11-01T09:00:00:|t-act-all-1:Rent:2026-10-06T09:00:00:")],
       lambda s: bind(lambda x: F.array_join(F.transform(F.when(s, x["one"]).otherwise(x["all"]), lambda e: F.concat_ws(":", e["uid"], e["title"], e["start"], F.coalesce(e["rrule"], F.lit("")))), "|"), **{
-          k: calendar.action_events(F.array(*(F.struct(F.lit(a).alias("text"), F.lit(b).cast("string").alias("due"), F.lit(c).alias("status"), F.lit(d).cast("string").alias("recurrence")) for a, b, c, d in [("Pay", "2026-11-01", "upcoming", None), ("Late", "2026-09-01", "passed", None), ("Rent", None, "recurring", "monthly")])), F.lit("t"), F.lit("1d"), _DAY, lambda c: c, single=v) for k, v in (("one", True), ("all", False))}))
+          k: calendar.action_events(F.array(*(F.struct(F.lit(a).alias("text"), F.lit(b).cast("string").alias("due"), F.lit(c).alias("status"), F.lit(d).cast("string").alias("recurrence")) for a, b, c, d in [("Pay", "2026-11-01", "upcoming", None), ("Late", "2026-09-01", "passed", None), ("Rent", None, "recurring", "monthly")])), F.lit("t"), F.lit("1d"), _day(), lambda c: c, single=v) for k, v in (("one", True), ("all", False))}))
 cases("dose_calendars", "days int", [(5, "r-med-0-night:2026-10-06T21:00:00:FREQ=DAILY;COUNT=5"), (None, "r-med-0-night:2026-10-06T21:00:00:")],
       lambda n: F.array_join(F.transform(calendar.dose_calendar(F.array(F.struct(F.lit(0).alias("medicine"), F.lit("night").alias("slot"), F.lit("21:00").alias("time"))), F.array(F.struct(n.alias("duration_days"))), F.lit("Take it"), F.lit("2026-10-06"), F.lit("1d"), F.lit("r")), lambda e: F.concat_ws(":", e["uid"], e["start"], F.coalesce(e["rrule"], F.lit("")))), "|"))
 cases("dates_lists", "note string", [("now", "• Pay: 2026-10-07 (now)\n• Rent: 2026-11-01"), ("", "• Pay: 2026-10-07\n• Rent: 2026-11-01")],
