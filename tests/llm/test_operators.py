@@ -519,6 +519,10 @@ def test_top_k_like_brute_force(spark):
         wanted |= {(q, k + 1, int(i), int(scores[q, i])) for k, i in enumerate(order)}
     found = {tuple(r) for r in histogram_topk.top_k(frame, lambda i: i % 50 == 0).collect()}
     assert found == wanted
+    groups = {tuple(r) for r in histogram_topk.top_k(frame, lambda i: i % 50 == 0, group_bytes=200).collect()}
+    assert groups == wanted  # queries in several groups
+    with pytest.raises(ValueError):
+        histogram_topk.top_k(spark.createDataFrame([(0, [3e9]), (1, [1.0])], "vec_id long, embedding array<double>"), lambda i: i == 0)
     few = {tuple(r) for r in histogram_topk.top_k(frame.where("vec_id < 3"), lambda i: i % 50 == 0).collect()}
     assert {r[2] for r in few} == {1, 2}
 
