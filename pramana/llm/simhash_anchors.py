@@ -9,9 +9,11 @@ and is copied to every anchor within covering radius plus one: the home of
 anything one bit away is among them. Pairs are compared per anchor, and each
 anchor gives a star for each group that it finds, never its pairs.
 
-Equal fingerprints are collapsed before the join. A crowded anchor holds only
-different fingerprints, and is searched breadth-first over those not yet
-reached, so dense groups cost little. Stars are merged into components.
+Equal fingerprints are collapsed before the join. The number of anchors follows
+the number of fingerprints (SEGMENTS, PAIRED), and an anchor that is crowded none
+the less is parted by a second covering code over other bits. An anchor is
+searched breadth-first over fingerprints not yet reached, so dense groups cost
+little. Stars are merged into components.
 
 Null and blank texts have fingerprint zero and are linked like any other. Rows
 that share an id count as one document for the component; a component of rows
@@ -37,8 +39,15 @@ from .components import components
 
 BITS = 4
 SHINGLE = 4
-SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Segments as ranges of bits (start, width): of two linked fingerprints, one segment differs in at most one bit.
+SEGMENTS = (((0, 22),), ((22, 21),), ((43, 21),))
+#: For more fingerprints than FEW: of five parts at least two differ in one bit at most when taken together, so each pair of parts is a segment, and anchors are 32 times as many.
+_FIVE = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
+PAIRED = tuple((_FIVE[i], _FIVE[j]) for i in range(5) for j in range(i))
+FEW = 1 << 24
 HAMMING = 15
+#: Copies at an anchor beyond which they are dealt again, to anchors of the other bits; crowded anchors up to SENT are sent to all tasks, more are joined.
+CROWD, SENT = 1 << 13, 100_000
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -93,16 +102,25 @@ def _pairs() -> np.ndarray:
 _SYNDROME, _PAIR = _syndromes(), _pairs()
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _part(fp: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, int]:
+    """The bits of the ranges side by side, and how many they are."""
+    out, width = np.zeros(len(fp), np.int64), 0
+    for low, n in ranges:
+        out |= ((fp >> np.uint64(low)).astype(np.int64) & ((1 << n) - 1)) << width
+        width += n
+    return out, width
+
+
+def anchors(fp: np.ndarray, segments: tuple = SEGMENTS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For unsigned fingerprints: anchor, index of the fingerprint, whether it is the home."""
     found = []
     index = np.arange(len(fp))
-    for number, (low, width) in enumerate(SEGMENTS):
-        part = (fp >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
+    for number, ranges in enumerate(segments):
+        part, width = _part(fp, ranges)
         block, rest = part & ((1 << HAMMING) - 1), part >> HAMMING
         s = _SYNDROME[block]
         home = block ^ np.where(s, 1 << np.maximum(s - 1, 0), 0)
-        base = number << 24
+        base = number << 32
 
         def add(code: np.ndarray, free: np.ndarray, who: np.ndarray, own: bool, base: int = base) -> None:
             found.append((base | free << HAMMING | code, who, np.full(len(who), own)))
@@ -116,6 +134,15 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+_SPREAD = np.argsort(np.arange(64) % 3, kind="stable")
+
+
+def spread(fp: np.ndarray) -> np.ndarray:
+    """Fingerprints with every third bit side by side: a segment of these takes two thirds of its bits from outside each segment of those."""
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, _SPREAD]
+    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little")).view(np.uint64).ravel()
+
+
 def _stars(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Groups of linked fingerprints as (member, least member) pairs; breadth-first."""
     left, members, roots = np.unique(fps), [], []
@@ -151,16 +178,30 @@ def _links(anchor: np.ndarray, fp: np.ndarray, own: np.ndarray, bits: int) -> tu
     return np.concatenate(members), np.concatenate(roots)
 
 
-def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
-    """Edges (a, b) that connect every two of the distinct fingerprints `fp` within `bits` bits."""
+def links(distinct: DataFrame, bits: int = BITS, segments: tuple = SEGMENTS, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) that connect every two of the distinct fingerprints `fp` within `bits` bits.
+
+    Copies at an anchor that holds more than `crowd` of them are dealt once more,
+    to anchors of the spread bits: fingerprints that share one segment part there.
+    """
+
+    def batches_of(anchor: np.ndarray, fp: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(anchor), 1 << 18):
+            cut = slice(at, at + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[cut]), pa.array(fp[cut].view(np.int64)), pa.array(own[cut])], ["anchor", "fp", "own"])
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            anchor, who, own = anchors(fp)
-            for at in range(0, len(anchor), 1 << 18):
-                cut = slice(at, at + (1 << 18))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[cut].astype(np.int32)), pa.array(fp[who[cut]].view(np.int64)), pa.array(own[cut])], ["anchor", "fp", "own"])
+            anchor, who, own = anchors(fp, segments)
+            yield from batches_of(anchor, fp[who], own)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            anchor, who, own = anchors(spread(fp))
+            name = (first[who].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (anchor.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            yield from batches_of((name | np.uint64(1 << 63)).view(np.int64), fp[who], own)  # first anchors are never negative
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -183,16 +224,22 @@ def links(distinct: DataFrame, bits: int = BITS) -> DataFrame:
         if kept:
             yield flush(kept)
 
-    copies = in_arrow(distinct.select("fp"), replicate, "anchor int, fp long, own boolean")
-    dealt = copies.repartition("anchor").sortWithinPartitions("anchor", F.col("own").desc())
-    return in_arrow(dealt, compare, "a long, b long")
+    schema = "anchor long, fp long, own boolean"
+    copies = in_arrow(distinct.select("fp"), replicate, schema)
+    crowded = materialise(copies.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("anchor"), "crowded")
+    n = crowded.count()
+    if n:
+        marked = F.broadcast(crowded) if n <= SENT else crowded
+        copies = copies.join(marked, "anchor", "left_anti").unionByName(in_arrow(copies.join(marked, "anchor"), again, schema))
+    return in_arrow(copies.repartition("anchor").sortWithinPartitions("anchor", F.col("own").desc()), compare, "a long, b long")
 
 
 def _grouped(docs: DataFrame, key: str, text: str, bits: int) -> DataFrame:
     """key, tie, fp, root (names the component) and component_id (its least key) of each row."""
     marked = materialise(fingerprints(docs.select(key, text), key, text), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min(key).alias("least"))
-    groups = components(links(distinct.select("fp"), bits))
+    distinct = materialise(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
+    segments = SEGMENTS if distinct.count() <= FEW else PAIRED
+    groups = components(links(distinct.select("fp"), bits, segments))
     rooted = distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

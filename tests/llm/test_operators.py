@@ -151,10 +151,11 @@ def test_links_find_all_components(spark):
             root[max(a, b)] = min(a, b)
     wanted = Counter(frozenset(m) for m in {find(f): [g for g in root if find(g) == find(f)] for f in root}.values() if len(m) > 1)
     frame = spark.createDataFrame([(int(f.astype(np.int64)),) for f in x], "fp long").repartition(4)
-    groups = {}
-    for r in components.components(simhash_anchors.links(frame)).collect():
-        groups.setdefault(r["root"], []).append(r["node"] & 0xFFFFFFFFFFFFFFFF)
-    assert Counter(frozenset(m) for m in groups.values()) == wanted
+    for given in ({}, {"segments": simhash_anchors.PAIRED}, {"crowd": 5}):  # few anchors, many, and most of them parted again
+        groups = {}
+        for r in components.components(simhash_anchors.links(frame, **given)).collect():
+            groups.setdefault(r["root"], []).append(r["node"] & 0xFFFFFFFFFFFFFFFF)
+        assert Counter(frozenset(m) for m in groups.values()) == wanted
 
 
 def test_components_of_a_chain_and_a_hub(spark):
