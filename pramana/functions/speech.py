@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import MONTHS
+from .languages import SPOKEN_MONTHS, natural_dates, replace_each
+
 # Short forms whose full stop ends no sentence.
 SHORT_FORMS = ["Dr", "Mr", "Mrs", "Ms", "Rs", "No", "St", "Prof", "Shri", "Smt", "vs", "etc"]
 _DOT = "\u0001"
@@ -45,8 +48,35 @@ def chunks(t: Column, n: int = 180) -> Column:
     return F.aggregate(words, start, add, lambda a: F.filter(F.concat(a["done"], F.array(a["open"])), lambda x: x != ""))
 
 
-def spoken(t: Column) -> Column:
-    """Titles, amounts and currency in full words."""
-    t = F.regexp_replace(t, r"\bDr\.?\s+(?=[A-Z])", "Doctor ")
-    t = F.regexp_replace(t, r"(?i)(?:₹|\bRs\.?|\bINR)\s*([\d,]+(?:\.\d+)?)\s*(lakh|crore)?", "$1 $2 rupees")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+# Words for rupees, lakh, crore and doctor, by language.
+RUPEES = {"en": "rupees", "ta": "ரூபாய்", "hi": "रुपये", "te": "రూపాయలు", "ml": "രൂപ", "kn": "ರೂಪಾಯಿ"}
+LAKH = {"en": "lakh", "ta": "லட்சம்", "hi": "लाख", "te": "లక్ష", "ml": "ലക്ഷം", "kn": "ಲಕ್ಷ"}
+CRORE = {"en": "crore", "ta": "கோடி", "hi": "करोड़", "te": "కోటి", "ml": "കോടി", "kn": "ಕೋಟಿ"}
+DOCTOR = {"en": "Doctor", "ta": "டாக்டர்", "hi": "डॉक्टर", "te": "డాక్టర్", "ml": "ഡോക്ടർ", "kn": "ಡಾಕ್ಟರ್"}
+_SIGN = r"(?:Rs\.?|INR|₹|ரூ\.?|रु\.?)"
+
+
+def spoken(t: Column, lang: str = "en") -> Column:
+    """Titles, amounts and dates in full words of a language; dates keep their digits where months are not spoken."""
+    code = lang.lower().split("-")[0]
+    word = lambda words: words.get(code, words["en"])
+    rupees = word(RUPEES)
+    t = F.regexp_replace(t, r"\bDr\.?(?=\s+\p{L})", word(DOCTOR))
+    t = F.regexp_replace(t, r"\b([A-Z])\.(?=\s+[A-Z][a-z])", "$1")
+    for unit, name in (("lacs?|lakhs?", word(LAKH)), (r"crores?|cr\b", word(CRORE))):
+        t = F.regexp_replace(t, rf"(?i){_SIGN}\s*(\b\d+(?:\.\d+)?)\s*(?:{unit})", f"$1 {name} {rupees}")
+    for unit, name in (("lacs?|lakhs?", word(LAKH)), ("crores?", word(CRORE))):
+        t = F.regexp_replace(t, rf"(?i)\b(\d+(?:\.\d+)?)\s*(?:{unit})\b(?! {rupees})", f"$1 {name} {rupees}")
+    t = F.regexp_replace(t, rf"(?i){_SIGN}\s*([\d,]+(?:\.\d+)?)", f"$1 {rupees}")
+    t = F.regexp_replace(t, r"(?i)([\d,]+(?:\.\d+)?)\s*(?:Rs\.?|INR|ரூ\.?|रु\.?)(?!\p{L})", f"$1 {rupees}")
+    months = {"en": [m.capitalize() for m in MONTHS]} | {k: SPOKEN_MONTHS[k] for k in ("ta", "hi")}
+
+    def day(m: Column) -> Column:
+        part = lambda i: F.get(F.split(m, "[./-]"), F.lit(i)).cast("int")
+        fine = part(0).between(1, 31) & part(1).between(1, 12) & part(2).between(1900, 2100)
+        named = F.concat_ws(" ", part(0).cast("string"), F.get(F.array(*map(F.lit, months.get(code, months["en"]))), part(1) - 1), part(2).cast("string"))
+        plain = F.format_string("%02d-%02d-%d", part(0), part(1), part(2))
+        return F.when(fine, named if code in months else plain).otherwise(m)
+
+    t = replace_each(t, r"\b\d{1,2}[./-]\d{1,2}[./-]\d{4}\b", day)
+    return F.trim(F.regexp_replace(natural_dates(t, code), r"[ \t]+", " "))

@@ -152,8 +152,15 @@ def _cue(text: Column, word: str) -> Column:
     return text.rlike(rf"(?:^|[^a-z0-9]){plain}(?:[^a-z0-9]|$)")
 
 
-def document_kind(given: Column, text: Column, medicines: Column, sections: Column) -> Column:
-    """The kind of a document: as given, else by what it holds, else by its words in order, else other."""
+# The kind that a coarse document type stands for.
+TYPE_KINDS = {
+    "utility_bill": "utility_bill", "telecom_bill": "telecom_bill", "tax_receipt": "tax_notice", "insurance": "insurance", "bank": "bank_statement", "government_notice": "government_notice", "court_legal": "court_legal", "challan": "challan",
+    "medical": "lab_report", "lab_report": "lab_report", "receipt": "receipt", "agreement": "agreement", "corporate": "corporate", "school": "school", "form": "form", "prescription": "prescription", "investment": "investment",
+}
+
+
+def document_kind(given: Column, text: Column, medicines: Column, sections: Column, type_: Column | None = None) -> Column:
+    """The kind of a document: as given, else by what it holds, else by its words in order, else by its coarse type, else other."""
     text = F.lower(F.coalesce(text, F.lit("")))
     known = F.lower(F.coalesce(given, F.lit("")))
     kind = (
@@ -167,6 +174,11 @@ def document_kind(given: Column, text: Column, medicines: Column, sections: Colu
         for word in words[1:]:
             hit = hit | _cue(text, word)
         kind = kind.when(hit, name)
+    if type_ is not None:
+        coarse = F.lower(F.coalesce(type_, F.lit("")))
+        kind = kind.when((medicines > 0) & (coarse == "medical"), "prescription")
+        for name, found in TYPE_KINDS.items():
+            kind = kind.when(coarse == name, found)
     return kind.otherwise("other")
 
 

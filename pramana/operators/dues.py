@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import money_value, shorten
 from .decoders import medicine_frequency
+from .results import DOSE_TIMES, next_dose
 
 # Labels of amounts to pay, of rents, and of amounts paid.
 DUE = "(?i)total due|amount due|total payable|to pay|net payable|grand total|amount payable|premium|emi|fine|balance"
@@ -27,6 +28,12 @@ def amount_due(pairs: Column, fallbacks: list[Column]) -> Column:
     return F.coalesce(labelled, *other, _first(pairs, lambda p: ~p["label"].rlike(RENT) & money(p)), F.lit(""))
 
 
+def due_day(profile_due: Column, next_instalment: Column, actions: Column) -> Column:
+    """The day by which to pay: printed, of the next instalment, or of the first action (due, status) that has a day and has not passed."""
+    open_ = F.filter(actions, lambda a: (F.coalesce(a["due"], F.lit("")) != "") & (F.coalesce(a["status"], F.lit("")) != "passed"))
+    return F.coalesce(F.nullif(profile_due, F.lit("")), F.nullif(next_instalment, F.lit("")), F.get(open_, F.lit(0))["due"], F.lit(""))
+
+
 def paid_amounts(pairs: Column) -> Column:
     """Values of pairs labelled as paid or received, each once, in order."""
     return F.array_distinct(F.transform(F.filter(pairs, lambda p: p["label"].rlike(PAID) & (F.trim(p["value"]) != "")), lambda p: p["value"]))
@@ -58,6 +65,34 @@ def reminder_rows(results: DataFrame, today: str) -> DataFrame:
     return rows.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$") & (F.col("summary") != ""))
 
 
+def activity_with(current: Column, patch: Column, has: Column) -> Column:
+    """Activity (done, added, slots, times, durations, rating, lang, report) with a patch of the same fields; `has` names the fields that the patch states.
+
+    A map that is stated replaces the old one; the three of medicines go together. A stated text or number counts even if it is null.
+    """
+    medicine = ["slots", "times", "durations"]
+    stated = lambda name: F.array_contains(has, "medicine" if name in medicine else name)
+    maps = [F.when(stated(n) & patch[n].isNotNull(), patch[n]).otherwise(F.when(stated(n), F.map_filter(current[n], lambda k, v: F.lit(False))).otherwise(current[n])).alias(n) for n in ("done", "added", *medicine)]
+    texts = [F.when(stated(n), F.coalesce(patch[n], F.lit(""))).otherwise(F.coalesce(current[n], F.lit(""))).alias(n) for n in ("rating", "lang")]
+    return F.struct(*maps, *texts, F.when(stated("report"), patch["report"]).otherwise(current["report"]).alias("report"))
+
+
+def medicine_reminders(results: DataFrame, today: Column, now_minutes: Column) -> DataFrame:
+    """id, key, summary, date, time of selected doses (results: id, names, slots, times); one row for all medicines where none is selected."""
+    usual = F.create_map(*(F.lit(x) for pair in DOSE_TIMES.items() for x in pair))
+    chosen = F.map_keys(F.map_filter("slots", lambda k, on: on))
+    doses = results.select("id", "names", "times", F.explode_outer(chosen).alias("key"))
+    part = F.split("key", "-")
+    time = F.coalesce(F.try_element_at("times", F.col("key")), F.try_element_at(usual, F.get(part, F.lit(1))), F.lit("08:00"))
+    all_ = F.array_join(F.transform(F.filter("names", lambda n: F.coalesce(n, F.lit("")) != ""), lambda n: F.concat(F.lit("Take "), n)), ", ")
+    one = F.concat(F.lit("Take "), F.coalesce(F.get("names", F.get(part, F.lit(0)).try_cast("int")), F.lit("")))
+    rows = doses.select(
+        "id", F.coalesce("key", F.lit("added")).alias("key"), shorten(F.when(F.col("key").isNull(), all_).otherwise(one)).alias("summary"),
+        F.when(F.col("key").isNull(), today).otherwise(next_dose(today, now_minutes, time)).alias("date"), F.when(F.col("key").isNull(), "").otherwise(time).alias("time"),
+    )
+    return rows.where("summary <> ''")
+
+
 def merged_activity(rows: DataFrame, patches: DataFrame, key: str) -> DataFrame:
     """Activity (done map, rating) with patches: a map given replaces the old one; a rating counts if `has_rating`, null then blanks it."""
     other = patches.select(key, F.col("done").alias("__done"), F.col("rating").alias("__rating"), F.col("has_rating").alias("__has"))

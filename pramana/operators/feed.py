@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapse, fold_evidence_digits
+from .admission import contact_valid, email_valid
+
 
 def newest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group in the given order."""
@@ -105,6 +108,51 @@ def source_kind(pages: DataFrame, has_pdf: Column) -> DataFrame:
     return pages.groupBy("doc_id").agg(n.alias("n"), F.max(has_pdf).alias("pdf")).select("doc_id", F.when(~F.col("pdf"), "photo").when(F.col("n") < 50, "scanned_pdf").otherwise("text_pdf").alias("kind"))
 
 
+def retry_after(calls: DataFrame, seconds: int) -> DataFrame:
+    """Judged calls (endpoint, ip, id, t, allowed) with `wait`: whole seconds, one at least, until the oldest call that still counts has left the window; null for allowed ones."""
+    kept = Window.partitionBy("endpoint", "ip").orderBy("t").rangeBetween(-seconds, 0)
+    counted = F.when(F.col("allowed"), F.col("t"))
+    alive = F.array_min(F.filter(F.collect_list(counted).over(kept), lambda t: F.col("t") - t < seconds))  # at most `limit` calls of a window are allowed
+    return calls.withColumn("wait", F.when(~F.col("allowed"), F.greatest(F.lit(1), F.floor(seconds - (F.col("t") - alive))).cast("int")))
+
+
+def owner_runs(pages: DataFrame) -> DataFrame:
+    """Runs of pages (doc_id, page, part) that follow each other under one owner; pages without one (part below 0) belong to none and end a run."""
+    owned = pages.where("part >= 0")
+    run = F.col("page") - F.row_number().over(Window.partitionBy("doc_id", "part").orderBy("page"))
+    return owned.withColumn("run", run).groupBy("doc_id", "part", "run").agg(F.min("page").alias("first"), F.max("page").alias("last")).drop("run")
+
+
+def library_totals(rows: DataFrame, group: Column) -> DataFrame:
+    """How many rows each filter group has, and all; rows without a group count in all only."""
+    counts = rows.groupBy(group.alias("filter_group")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.explode(F.array(F.col("filter_group"), F.lit("all"))).alias("filter_group"), "n").where("filter_group IS NOT NULL").groupBy("filter_group").agg(F.sum("n").alias("n"))
+
+
+def searched(rows: DataFrame, words: str, name: str, kind: str, kind_names: dict[str, str], group: Column | None = None, wanted: str = "all") -> DataFrame:
+    """Rows of a filter group whose name, type or localised type holds the words, in any case."""
+    localised = F.col(kind)
+    for code, shown in kind_names.items():
+        localised = F.when(F.col(kind) == code, shown).otherwise(localised)
+    hay = F.lower(F.concat_ws("\n", F.col(name), localised, F.col(kind)))
+    kept = rows if group is None or wanted == "all" else rows.where(group == wanted)
+    return kept.where(F.contains(hay, F.lit(words.strip().lower())))
+
+
+def distinct_places(places: DataFrame, most: int = 5) -> DataFrame:
+    """The first places (doc_id, pos, address) of each document, each address once (white space and case aside); blank ones left out."""
+    key = F.lower(collapse(F.coalesce("address", F.lit(""))))
+    return first_seen(places.withColumn("__k", key).where("__k <> ''"), ["doc_id"], "__k", "pos", most).drop("__k")
+
+
+def distinct_contacts(contacts: DataFrame, most: int = 6) -> DataFrame:
+    """The first valid contacts (doc_id, pos, value) of each document, each once: phones by digits, addresses in any case."""
+    trimmed = F.trim("value")
+    key = F.when(email_valid(F.col("value")), F.lower(trimmed)).otherwise(F.regexp_replace(fold_evidence_digits(F.col("value")), r"\D", ""))
+    kept = contacts.where(contact_valid(F.col("value"))).withColumn("__k", key).where("__k <> ''")
+    return first_seen(kept, ["doc_id"], "__k", "pos", most).withColumn("value", trimmed).drop("__k")
+
+
 def fair_calls(calls: DataFrame, limit: int, seconds: int) -> DataFrame:
     """calls (endpoint, ip, id, t) with `allowed`: at most `limit` allowed calls of each caller in any `seconds`.
 

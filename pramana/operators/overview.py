@@ -19,6 +19,12 @@ def flagged_values(values: DataFrame) -> DataFrame:
     return rows.where(F.col("found.outside")).select("doc_id", "section", "pos", "label", "value", F.col("found.label").alias("flag"), "page")
 
 
+def ranges(values: DataFrame, found: str, *by: str) -> DataFrame:
+    """Decided values (found: label, outside) of each group: how many are outside, how many there are, whether all are in range; groups without one are left out."""
+    decided = values.where(F.col(found).isNotNull())
+    return decided.groupBy(*by).agg(F.count_if(F.col(found)["outside"]).alias("outside"), F.count(F.lit(1)).alias("decided"), F.bool_and(~F.col(found)["outside"]).alias("all_in_range"))
+
+
 def section_order(sections: DataFrame) -> DataFrame:
     """Sections (doc_id, pos, page) with their place by page; those without a page first, equal pages as they came."""
     return sections.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("page", F.lit(0)), "pos")))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import SHORT_MONTHS
+from ..functions.dates import SHORT_MONTHS, is_passed
 from ..functions.text import digit_runs
 
 # Span types, languages and reasons that payloads may hold.
@@ -80,6 +80,39 @@ def action_chip(evidence: Column, quote: Column, photo: Column) -> Column:
     return F.when(evidence.isin("calculated", "matched"), evidence).when(~photo & (F.coalesce(quote, F.lit("")) != ""), "check_original")
 
 
+def presented_date(due: Column, status: Column, recurrence: Column, evidence: Column, quote: Column, photo: Column, today: Column) -> Column:
+    """(passed, chip, in_calendar) of an action's date."""
+    passed = F.coalesce(status == "passed", F.lit(False)) | is_passed(due, today)
+    some = (F.coalesce(due, F.lit("")) != "") | (F.coalesce(recurrence, F.lit("")) != "")
+    return F.struct(passed.alias("passed"), action_chip(evidence, quote, photo).alias("chip"), (~passed & some).alias("in_calendar"))
+
+
+def headline(t: Column, most: int = 12) -> Column:
+    """The first words of a headline."""
+    return F.array_join(F.slice(F.split(F.trim(F.coalesce(t, F.lit(""))), r"\s+"), 1, most), " ")
+
+
+PAGE_CHUNK = 5
+
+
+def chunk_of(page: Column) -> Column:
+    """The chunk of five pages that a page is read in, from 0."""
+    return F.floor((page - 1) / PAGE_CHUNK).cast("int")
+
+
+def merged_chunks(items: DataFrame) -> DataFrame:
+    """Items (doc_id, chunk, pos, page, length) of the chunks of long documents as one list: pages shifted, by page (none first), chunk and place."""
+    page = shifted_page(F.col("page"), F.col("chunk") * PAGE_CHUNK + 1, F.col("length"))
+    rows = items.withColumn("page", page)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("page", F.lit(0)), "chunk", "pos"))
+    return rows.withColumn("place", place)
+
+
+def feedback_reasons(rating: Column, reasons: Column) -> Column:
+    """The reasons of a bad rating, each once, in order."""
+    return F.when(rating == "down", F.array_distinct(reasons))
+
+
 def shifted_page(page: Column, start: Column, length: Column) -> Column:
     """The page of a chunk's item in the whole document."""
     return F.when((page > 0) & (start > 1) & (page <= length), page + start - 1).otherwise(page)

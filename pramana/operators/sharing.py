@@ -64,16 +64,41 @@ def redacted(summary: Column, actions: Column, facts: Column, terms: Column, fal
     return bind(decide, t=F.when(F.size(all_) > 0, masked_texts(all_, terms)).otherwise(all_), d=dates_and_amounts(all_))
 
 
-def share_text(title: Column, kind: Column, lang: Column, result: Column, hide: Column) -> Column:
-    """The text of a shared result (summary, actions, facts, dates_and_amounts): sections in order, those without lines left out.
+#: Sections of a shared result in order: the field, its heading, and whether lines are numbered.
+SECTIONS = [
+    ("summary", "📌 In simple words:", False), ("actions", "✅ What you need to do:", True), ("warnings", "⚠️ Watch out:", False), ("facts", "📋 Key facts:", False), ("conflicts", "⚠️ Conflicting details:", False),
+    ("medicines", "💊 Prescribed medicines:", False), ("places", "📍 Locations:", False), ("contacts", "📞 Contacts:", False), ("dates", "📅 Dates:", False), ("amounts", "💰 Amounts:", False),
+]
+PARTS = "📑 Documents:"
 
-    With personal details hidden, the title is that of the document's type.
+
+def share_text(title: Column, result: Column, fields: list[str], parts: Column | None = None) -> Column:
+    """The text of a result whose lists of lines are the named fields of SECTIONS: sections in order, empty ones left out, parts (title, lines) at the end.
+
+    Personal details are masked before, by `redacted` and `masked_texts`.
     """
-    section = lambda head, lines: F.when(F.size(lines) > 0, F.concat(F.lit(f"\n\n{head}\n"), F.array_join(lines, "\n")))
-    numbered = F.transform(result["actions"], lambda a, i: F.concat((i + 1).cast("string"), F.lit(". "), a))
-    dotted = lambda lines: F.transform(lines, lambda x: F.concat(F.lit("• "), x))
-    head = F.concat(F.lit("📄 "), F.when(hide, document_title(kind, lang)).otherwise(F.coalesce(F.nullif(title, F.lit("")), F.lit("Document"))))
-    return F.concat_ws("", head, section("📝 In short:", dotted(result["summary"])), section("✅ What you need to do:", numbered), section("📅 Dates and amounts:", dotted(result["dates_and_amounts"])), section("📌 Facts:", dotted(result["facts"])))
+
+    def section(name: str, head: str, numbered: bool) -> Column:
+        lines = F.transform(result[name], lambda x, i: F.concat(F.concat((i + 1).cast("string"), F.lit(". ")) if numbered else F.lit("• "), x))
+        return F.when(F.size(result[name]) > 0, F.concat(F.lit(f"\n\n{head}\n"), F.array_join(lines, "\n")))
+
+    shown = [section(*s) for s in SECTIONS if s[0] in fields]
+    if parts is not None:
+        one = lambda p: F.concat(F.lit("\n--- "), p["title"], F.lit(" ---\n"), F.array_join(F.transform(p["lines"], lambda x: F.concat(F.lit("• "), x, F.lit("\n"))), ""))
+        shown.append(F.when(F.size(parts) > 0, F.concat(F.lit(f"\n\n{PARTS}\n"), F.array_join(F.transform(parts, one), ""))))
+    return F.concat_ws("", F.lit("📄 "), title, *shown)
+
+
+def shared_title(title: Column, kind: Column, lang: Column, hide: Column) -> Column:
+    """The title of a shared result; that of the document's type if personal details are hidden."""
+    return F.when(hide, document_title(kind, lang)).otherwise(F.coalesce(F.nullif(title, F.lit("")), F.lit("Document")))
+
+
+def medicine_line(m: Column) -> Column:
+    """A medicine (name, strength, instruction, frequency) as a line."""
+    some = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    more = F.coalesce(F.concat(F.lit(" — "), some(m["instruction"])), F.concat(F.lit(" ("), some(m["frequency"]), F.lit(")")), F.lit(""))
+    return F.concat(F.concat_ws(" ", m["name"], some(m["strength"])), more)
 
 
 def checked_share(checked: Column, spans: Column, text: Column, closed_text: Column, lang: Column) -> Column:

@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import dates, languages, names
+from ..functions import dates, languages, names, speech
 from ..functions.text import bind
-from ..operators import admission, answers, blocks, calendar, evidence, guards, masking, overview, privacy, sharing, stores
+from ..operators import admission, answers, blocks, calendar, decoders, dues, evidence, guards, masking, overview, privacy, results, sharing, stores
 from .registry import cases
 
 _STR = "array<string>"
+
+
+def _activity(key, done, rating, lang, report):
+    some = lambda kind: F.create_map(F.lit(key), F.lit(done).cast(kind))
+    flags = [some("boolean").alias(n) for n in ("done", "added", "slots")]
+    return F.struct(*flags, some("string").alias("times"), some("int").alias("durations"), F.lit(rating).cast("string").alias("rating"), F.lit(lang).alias("lang"), F.lit(report).cast("int").alias("report"))
+
+
 _ENV = "Amount Rs. 31,200 on 30.11.2026. ID 4401."
 
 # Admission and predicates
@@ -114,8 +122,23 @@ cases("outside_spans", "t string", [("Ravi Kumar called 98765 43210 twice, Ravi
       lambda t: sharing.with_spans_masked(t, F.array(*(F.struct(F.lit(a).alias("text"), F.lit(b).alias("type")) for a, b in [("Kumar", "person"), ("Ravi Kumar", "person"), ("98765 43210", "phone"), ("Main Road", "address"), ("called", "verb")])), F.lit("en")))
 cases("redacted_results", "fallback boolean, lang string", [(False, "en", "Asha's bill; born [hidden]|Pay Rs. 500 to R*** K****|on [hidden] and 15/05/1980|"), (True, "en", "Some details were removed to protect privacy.|Pay Rs. 500 to R*** K****||14/05/1980,Rs. 500,14.05.1980,15/05/1980"), (None, "xx", "Asha's bill; born [hidden]|Pay Rs. 500 to R*** K****|on [hidden] and 15/05/1980|")],
       lambda f, l: bind(lambda x: F.concat_ws("|", *(F.array_join(x["r"][c], ",") for c in ("summary", "actions", "facts", "dates_and_amounts"))), r=sharing.redacted(F.array(F.lit("Asha's bill; born 14/05/1980")), F.array(F.lit("Pay Rs. 500 to Ravi Kumar")), F.array(F.lit("on 14.05.1980 and 15/05/1980")), F.array(F.lit("Ravi Kumar")), f, l)))
-cases("share_texts", "hide boolean", [(True, "📄 Insurance letter\n\n📝 In short:\n• s\n\n✅ What you need to do:\n1. a\n2. b"), (False, "📄 My letter\n\n📝 In short:\n• s\n\n✅ What you need to do:\n1. a\n2. b")],
-      lambda h: sharing.share_text(F.lit("My letter"), F.lit("insurance"), F.lit("en"), F.struct(F.array(F.lit("s")).alias("summary"), F.array(F.lit("a"), F.lit("b")).alias("actions"), F.array().cast(_STR).alias("facts"), F.array().cast(_STR).alias("dates_and_amounts")), h))
+cases("share_texts", f"actions {_STR}, instruction string", [
+    (["a", "b"], "after food", "📄 T\n\n📌 In simple words:\n• s\n\n✅ What you need to do:\n1. a\n2. b\n\n💊 Prescribed medicines:\n• M 5 mg — after food\n\n📑 Documents:\n\n--- P ---\n• l\n"), ([], None, "📄 T\n\n📌 In simple words:\n• s\n\n💊 Prescribed medicines:\n• M 5 mg (OD)\n\n📑 Documents:\n\n--- P ---\n• l\n"),
+], lambda a, i: sharing.share_text(F.lit("T"), F.struct(F.array(F.lit("s")).alias("summary"), a.alias("actions"), F.array(sharing.medicine_line(F.struct(F.lit("M").alias("name"), F.lit("5 mg").alias("strength"), i.alias("instruction"), F.lit("OD").alias("frequency")))).alias("medicines")), ["summary", "actions", "medicines"],
+                                   F.array(F.struct(F.lit("P").alias("title"), F.array(F.lit("l")).alias("lines")))))
+cases("shared_titles", "title string, hide boolean", [("Mine", True, "Insurance letter"), ("Mine", False, "Mine"), ("", False, "Document")], lambda t, h: sharing.shared_title(t, F.lit("insurance"), F.lit("en"), h))
+cases("spoken_texts", "t string", [("Dr. Rao paid Rs. 1,200 on 30.11.2026", "Doctor Rao paid 1,200 rupees on 30 November 2026"), ("Rs.5 Lac or 2 crore and ₹ 31,200", "5 lakh rupees or 2 crore rupees and 31,200 rupees"), ("A. Rao owes 500 INR by 2026-10-01, 31.13.2026", "A Rao owes 500 rupees by 1 October 2026, 31.13.2026"), ("", "")], speech.spoken)
+cases("spoken_texts_in_telugu", "t string", [("₹ 500 on 5.1.2026", "500 రూపాయలు on 05-01-2026")], lambda t: speech.spoken(t, "te-IN"))
+cases("presented_dates", "due string, status string, rec string, evidence string, quote string, photo boolean", [("2026-10-05", "upcoming", None, "matched", "q", False, "true|matched|false"), ("2026-10-07", "upcoming", None, None, "q", False, "false|check_original|true"), (None, "recurring", "monthly", "calculated", None, True, "false|calculated|true"), ("2026-11-01", "passed", None, None, "q", True, "true|false")],
+      lambda d, s, r, e, q, p: bind(lambda x: F.concat_ws("|", x["d"]["passed"].cast("string"), x["d"]["chip"], x["d"]["in_calendar"].cast("string")), d=results.presented_date(d, s, r, e, q, p, _day())))
+cases("typed_kinds", "t string, medicines int, type string", [("", 0, "tax_receipt", "tax_notice"), ("", 0, "medical", "lab_report"), ("", 0, "zzz", "other"), ("the premium", 0, "bank", "insurance"), ("", 0, None, "other"), ("", 2, "medical", "prescription")], lambda t, m, y: decoders.document_kind(F.lit(None).cast("string"), t, m, F.lit(0), y))
+cases("due_days", "printed string, emi string, status string", [("2026-10-01", "x", "upcoming", "2026-10-01"), ("", "2026-11-05", "upcoming", "2026-11-05"), (None, None, "upcoming", "2026-12-01"), (None, "", "passed", "")], lambda p, e, s: dues.due_day(p, e, F.array(F.struct(F.lit(None).cast("string").alias("due"), F.lit("none").alias("status")), F.struct(F.lit("2026-12-01").alias("due"), s.alias("status")))))
+cases("headlines", "t string", [("one two three four five six seven eight nine ten eleven twelve thirteen", "one two three four five six seven eight nine ten eleven twelve"), (" a  b ", "a b"), (None, "")], results.headline)
+cases("feedback_reasons", f"rating string, reasons {_STR}", [("down", ["other", "wrong_date", "other"], "[other, wrong_date]"), ("up", ["other"], None), ("down", [], "[]")], results.feedback_reasons)
+cases("activity_patches", f"has {_STR}", [([], "d=true|up|en|3"), (["done", "rating"], "x=false||en|3"), (["medicine", "report", "lang"], "d=true|up|ta|")],
+      lambda h: bind(lambda x: F.concat_ws("|", F.array_join(F.transform(F.map_entries(x["r"]["done"]), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","), x["r"]["rating"], x["r"]["lang"], F.coalesce(x["r"]["report"].cast("string"), F.lit(""))), r=dues.activity_with(_activity("d", True, "up", "en", 3), _activity("x", False, None, "ta", None), h)))
+
+
 cases("checked_shares", "ok boolean", [(True, "R*** pays|false"), (False, "closed|true"), (None, "closed|true")], lambda ok: bind(lambda x: F.concat_ws("|", x["r"]["text"], x["r"]["closed"].cast("string")), r=sharing.checked_share(ok, F.array(F.struct(F.lit("Ravi").alias("text"), F.lit("person").alias("type"))), F.lit("Ravi pays"), F.lit("closed"), F.lit("en"))))
 cases("check_keys", "id string, lang string", [("a", "ta", "a|ta|hide"), (None, None, "|en|hide"), ("b", "", "b|en|hide")], sharing.check_key)
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import admission, evals, evidence, feed, guards, overview, stores
+from ..operators import admission, decoders, dues, evals, evidence, feed, guards, overview, results, stores
 from ..sources.tables import table
 from .registry import query
 from .stream_queries import scratch
@@ -253,3 +253,80 @@ def originals_within_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumn("b", F.floor("o_totalprice"))
     kept = feed.within_bytes(rows, ["o_custkey"], [F.col("o_orderdate").desc(), F.col("o_orderkey")], "b", 300_000)
     return kept.groupBy("o_custkey").agg(F.sum("o_orderkey").alias("kept"))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey AS pos, lower(a) AS address FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM (SELECT o_custkey, min(o_orderkey) AS o_orderkey, a FROM (SELECT o_custkey, o_orderkey, 'road ' || CAST(o_orderkey % 9 AS VARCHAR) AS a FROM orders WHERE o_orderkey % 9 > 0) GROUP BY o_custkey, a)) WHERE n <= 5")
+def distinct_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five places, each address once."""
+    text = "CASE WHEN o_orderkey % 9 = 0 THEN ' ' WHEN o_orderkey % 2 = 0 THEN 'Road  ' ELSE 'road ' END || CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE CAST(o_orderkey % 9 AS STRING) END"
+    found = feed.distinct_places(table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS pos", f"{text} AS address"))
+    return found.select("doc_id", "pos", F.lower(F.regexp_replace("address", r"\s+", " ")).alias("address"))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey AS pos, CASE WHEN v < 10 THEN 'M' || CAST(v AS VARCHAR) || '@x.co' ELSE '98765 4321' || CAST(v % 10 AS VARCHAR) END AS value FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM (SELECT o_custkey, v, min(o_orderkey) AS o_orderkey FROM (SELECT o_custkey, o_orderkey, o_orderkey % 17 AS v FROM orders WHERE o_orderkey % 17 < 14) GROUP BY o_custkey, v)) WHERE n <= 6")
+def distinct_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first six valid contacts, each once."""
+    v = "o_orderkey % 17"
+    text = f"CASE WHEN {v} < 10 THEN ' M' || CAST({v} AS STRING) || '@x.co' WHEN {v} < 14 THEN '98765 4321' || CAST({v} % 10 AS STRING) ELSE 'call me' END"
+    return feed.distinct_contacts(table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS pos", f"{text} AS value")).select("doc_id", "pos", "value")
+
+
+@query("SELECT coalesce(g, 'all') AS filter_group, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'money' WHEN 1 THEN 'health' WHEN 2 THEN 'bills' END AS g, count(*) AS n FROM events GROUP BY 1) GROUP BY GROUPING SETS ((g), ()) HAVING g IS NOT NULL OR grouping(g) = 1")
+def library_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of filter groups and of all; rows without a group count in all only."""
+    k = F.col("event_id") % 4
+    return feed.library_totals(table(spark, sf_dir, "events"), F.when(k == 0, "money").when(k == 1, "health").when(k == 2, "bills"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 3 = 0 AND (event_type LIKE '%ic%' OR event_type = 'view')")
+def searched_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a group whose type, by its own or its localised name, holds the words."""
+    rows = table(spark, sf_dir, "events").withColumn("name", F.lit("x"))
+    return feed.searched(rows, " IC", "name", "event_type", {"view": "Basics"}, F.when(F.col("event_id") % 3 == 0, "money"), "money").select("event_id")
+
+
+@query("SELECT doc_id, part, min(page) AS first, max(page) AS last FROM (SELECT *, page - row_number() OVER (PARTITION BY doc_id, part ORDER BY page) AS r FROM (SELECT DISTINCT l_orderkey AS doc_id, CAST(l_linenumber AS INTEGER) AS page, CASE WHEN l_linenumber = 3 THEN -1 ELSE l_orderkey % 2 END AS part FROM lineitem) WHERE part >= 0) GROUP BY doc_id, part, r")
+def owner_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of pages under one owner; a page without an owner ends a run."""
+    pages = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "CAST(l_linenumber AS INT) AS page", "CASE WHEN l_linenumber = 3 THEN -1 ELSE l_orderkey % 2 END AS part").distinct()
+    return feed.owner_runs(pages)
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, chunk, pos, page, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(page, 0), chunk, pos) AS INTEGER) AS place
+FROM (SELECT l_orderkey, CAST(l_linenumber % 2 AS INTEGER) AS chunk, l_linenumber AS pos, CASE WHEN l_partkey % 7 = 0 THEN NULL WHEN l_linenumber % 2 = 1 AND l_partkey % 7 <= 5 THEN CAST(l_partkey % 7 + 5 AS INTEGER) ELSE CAST(l_partkey % 7 AS INTEGER) END AS page FROM lineitem)"""
+)
+def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of chunks of five pages as one list, pages shifted."""
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS doc_id", "CAST(l_linenumber % 2 AS INT) AS chunk", "l_linenumber AS pos", "CAST(nullif(l_partkey % 7, 0) AS INT) AS page", "5 AS length")
+    return results.merged_chunks(items).select("doc_id", "chunk", "pos", "page", "place")
+
+
+@query(
+    """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN '0-night' ELSE '1-morning' END AS key, CASE o_orderkey % 3 WHEN 0 THEN 'Take A, Take B' WHEN 1 THEN 'Take A' ELSE 'Take B' END AS summary,
+  CASE o_orderkey % 3 WHEN 2 THEN DATE '2026-10-07' ELSE DATE '2026-10-06' END AS date, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '22:15' ELSE '08:00' END AS time FROM orders"""
+)
+def medicine_reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reminders of selected doses; one for all medicines where no dose is selected."""
+    k, none = F.col("o_orderkey") % 3, F.lit(None).cast("string")
+    slots = F.when(k == 1, F.create_map(F.lit("0-night"), F.lit(True), F.lit("1-night"), F.lit(False))).when(k == 2, F.create_map(F.lit("1-morning"), F.lit(True))).otherwise(F.create_map(F.lit("0-night"), F.lit(False)))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.lit("A"), F.lit("B"), none).alias("names"), slots.alias("slots"), F.create_map(F.lit("0-night"), F.lit("22:15")).alias("times"))
+    return dues.medicine_reminders(rows, F.lit("2026-10-06").cast("date"), F.lit(9 * 60))
+
+
+@query(
+    """SELECT event_type AS endpoint, user_id AS ip, event_id AS id, CASE WHEN NOT ok THEN CAST(greatest(1, floor(60 - (t - first))) AS INTEGER) END AS wait
+FROM (SELECT event_type, user_id, event_id, (n - 1) * 10.0 AS t, n % 4 = 1 AS ok, (n - 1 - (n - 1) % 4) * 10.0 AS first, n FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS n FROM events)) WHERE n <= 4"""
+)
+def retry_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long a rejected caller has to wait: four calls, ten seconds apart, of which the first is allowed."""
+    n = F.row_number().over(Window.partitionBy("event_type", "user_id").orderBy("event_id"))
+    calls = table(spark, sf_dir, "events").withColumn("n", n).where("n <= 4").select(F.col("event_type").alias("endpoint"), F.col("user_id").alias("ip"), F.col("event_id").alias("id"), ((F.col("n") - 1) * 10.0).cast("double").alias("t"), (F.col("n") % 4 == 1).alias("allowed"))
+    return feed.retry_after(calls, 60).select("endpoint", "ip", "id", "wait")
+
+
+@query("SELECT l_orderkey, count(*) FILTER (WHERE q > 40 OR q < 10) AS outside, count(*) AS decided, bool_and(q BETWEEN 10 AND 40) AS all_in_range FROM (SELECT l_orderkey, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_linenumber % 3 > 0) GROUP BY l_orderkey")
+def sections_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many values of a section are decided and outside, and whether all are in range."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", decoders.lab_value(F.col("l_quantity").cast("bigint").cast("string"), F.when(F.col("l_linenumber") % 3 > 0, "10 - 40").otherwise(""), F.lit("")).alias("v"))
+    return overview.ranges(rows, "v", "l_orderkey")
