@@ -60,6 +60,7 @@ PATTERNS = [
     ("spoken", rf"{_BEFORE}(?i:{_LABEL})\s*:?\s*(?:{_TITLE})*(?=({_ANY}(?:\s+{_ANY}){{0,2}}))", 1),
 ]
 HIDDEN = "[hidden]"
+_PIECES = ArrayType(StructType([StructField("before", StringType()), StructField("text", StringType()), StructField("kind", StringType())]))
 _SPANS = ArrayType(StructType([StructField("start", IntegerType()), StructField("text", StringType()), StructField("kind", StringType())]))
 NAMES = ("titled", "role", "honorific", "spoken")
 _INDIC, _DIGITS = re.compile(r"[\u0900-\u0D7F]"), re.compile(rf"[0-9]{{4}}|[{_NATIVE}]{{10}}")
@@ -157,6 +158,27 @@ def _spans_knowing(texts: pd.Series, births: pd.Series) -> pd.Series:
     return pd.Series([None if t is None else [{"start": a, "text": x, "kind": k} for a, x, k in spans_in(t, set() if b is None else {*map(int, b)})] for t, b in zip(texts, births, strict=True)])
 
 
+def _cut(text: str | None, births: set[int] | None = None) -> list[dict] | None:
+    """A text as pieces: what stands before each span, and the span; the last piece has no span."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for a, x, kind in spans_in(text, births):
+        out.append({"before": text[at:a], "text": x, "kind": kind})
+        at = a + len(x)
+    return [*out, {"before": text[at:], "text": None, "kind": None}]
+
+
+@F.pandas_udf(_PIECES)
+def _pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(_cut)
+
+
+@F.pandas_udf(_PIECES)
+def _pieces_knowing(texts: pd.Series, births: pd.Series) -> pd.Series:
+    return pd.Series([_cut(t, set() if b is None else {*map(int, b)}) for t, b in zip(texts, births, strict=True)])
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def birth_keys(texts: pd.Series) -> pd.Series:
     """Keys of all labelled birth dates in an array of texts, each once."""
@@ -176,11 +198,6 @@ def mask(kind: Column, value: Column) -> Column:
 
 
 def masked(t: Column, births: Column | None = None) -> Column:
-    """The text with all accepted spans replaced."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def add(a: Column, s: Column) -> Column:
-        gap = F.substring(t, a["at"] + 1, s["start"] - a["at"])
-        return F.struct(F.concat(a["out"], gap, mask(s["kind"], s["text"])).alias("out"), (s["start"] + F.length(s["text"])).cast("int").alias("at"))
-
-    return F.aggregate(spans(t, births), start, add, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1)))
+    """The text with all accepted spans replaced; it is cut at the spans once, so the work grows with its length."""
+    pieces = _pieces(t) if births is None else _pieces_knowing(t, births)
+    return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], F.coalesce(mask(p["kind"], p["text"]), F.lit("")))), "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dues
@@ -69,7 +69,9 @@ def closed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT conv_id, substr(string_agg('Q: ' || CAST(turn AS VARCHAR), chr(10) ORDER BY turn), 1, 4000) AS history FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE n <= 8 GROUP BY conv_id"""
 )
 def question_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
+    newest = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))  # no more turns than the history keeps are gathered
+    last = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct().withColumn("n", newest).where("n <= 8")
+    turns = last.groupBy("conv_id").agg(F.array_sort(F.collect_list("turn")).alias("t"))
     history = F.array_join(F.transform("t", lambda t: F.concat(F.lit("Q: "), t.cast("string"))), "\n")
     return turns.select("conv_id", dues.last_blocks(history).alias("history"))
 

@@ -24,6 +24,12 @@ def results_json(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", "true").json(folder).where("title IS NOT NULL")
 
 
+def feedback_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Saved feedback, one JSON object in each line; empty objects give rows of nulls."""
+    schema = "rating string, lang string, docType string, reasons array<string>, sample boolean, appVersion string, createdAt timestamp"
+    return spark.read.schema(schema).json(folder)
+
+
 _ISO = "CAST(CAST(o_orderdate AS DATE) AS STRING)"
 DAY, MONTH, YEAR = f"substr({_ISO}, 9, 2)", f"substr({_ISO}, 6, 2)", f"substr({_ISO}, 1, 4)"
 WHOLE = "CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING)"

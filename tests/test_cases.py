@@ -178,3 +178,55 @@ def test_activity_and_answers(spark):
 def test_upload_bytes(spark):
     rows = spark.createDataFrame([(b"%PDF-1.7", "application/pdf"), (b"\xff\xd8\xff\xe0", "image/jpeg"), (b"\x89PNG\r\n\x1a\n..", "image/png"), (b"", "image/png"), (b"GIF8", "image/png"), (b"GIF8", "image/gif")], "c binary, m string")
     assert [r[0] for r in rows.select(feed.upload_kind(F.col("c"), F.col("m"))).collect()] == ["ok", "ok", "ok", "empty", "bad_magic", "ok"]
+
+
+def test_sources(spark, tmp_path):
+    from pramana.sources import tables
+
+    for name, content in {"a.PDF": b"%PDF-1.7", "b.jpeg": b"\xff\xd8\xff", "c.txt": b"no", "d.png": b"x"}.items():
+        (tmp_path / name).write_bytes(content)
+    assert {r["path"].rsplit("/", 1)[1] for r in tables.uploads(spark, str(tmp_path)).collect()} == {"a.PDF", "b.jpeg", "d.png"}
+    for folder, lines in {"results": ['{"title": "T", "n": 1}', '{"n": 2}'], "feedback": ['{"rating": "down", "reasons": ["other"], "sample": false}\n{}']}.items():
+        (tmp_path / folder).mkdir()
+        for i, text in enumerate(lines):
+            (tmp_path / folder / f"{i}.json").write_text(text)
+    assert [r["title"] for r in tables.results_json(spark, str(tmp_path / "results"), "title string, n int").collect()] == ["T"]
+    rows = tables.feedback_json(spark, str(tmp_path / "feedback"))
+    assert sorted((r["what"], r["value"], r["n"]) for r in feed.feedback_counts(rows.withColumnRenamed("docType", "doc_type"), ["bank"]).collect()) == [("doc_type", "unknown", 2), ("language", "unknown", 2), ("rating", "down", 1), ("rating", "unknown", 1), ("reason", "other", 1)]
+
+
+def test_number_guard_counts(spark):
+    """Runs are used up; a run inside a longer one counts as kept."""
+    kept = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(guards.translation_keeps_numbers(F.col("a"), F.col("b"))).first()[0]
+    assert not kept("05 and 05", "5") and kept("05 and 05", "5 5") and kept("5 pages", "15 pages") and not kept("05", "15 and 6") and kept("", None)
+
+
+def test_terms_in_one_form(spark):
+    kept = lambda a, b, *terms: spark.createDataFrame([(a, b, list(terms))], "a string, b string, t array<string>").select(guards.translation_keeps_terms(F.col("a"), F.col("b"), F.col("t"))).first()[0]
+    assert kept("claim  no 4", "see claim no 4", "Claim no  4") and not kept("Asha", None, "absent") and kept("The Claims Department", "x", "Claims Department") and kept("x", None)
+
+
+def test_consumer_label(spark):
+    assert value(spark, names.after_labels, "Name of consumer: Ravi, name of the customer: Asha Rao") == ["Ravi", "Asha Rao"]
+
+
+def test_oversize_rows_are_left_out(spark):
+    rows = spark.createDataFrame([("a", 3, 50), ("a", 2, 4), ("a", 1, 5), ("a", 0, 6)], "k string, t int, b int")
+    assert [r["t"] for r in feed.within_bytes(rows, ["k"], [F.col("t").desc()], "b", 10).orderBy("t").collect()] == [1, 2]
+
+
+def test_part_of_any_range(spark):
+    pages = spark.createDataFrame([(1, p) for p in (1, 2, 3)], "doc_id long, page int")
+    parts = spark.createDataFrame([(1, 0, 2, 2**31 - 1), (1, 1, 1, 1)], "doc_id long, pos int, first int, last int")
+    assert [r["part"] for r in evidence.owning_part(pages, parts).orderBy("page").collect()] == [1, 0, 0]
+
+
+def test_long_texts_in_proportion(spark):
+    """Thousands of spans or dates in one text."""
+    import time
+
+    mails, days = " ".join(f"user{i}@mail.example.com" for i in range(8000)), " ".join(f"pay by {1 + i % 28}.10.2026" for i in range(4000))
+    began = time.time()
+    assert value(spark, masking.masked, mails).count("***@****.com") == 8000
+    assert value(spark, dates.payment_conflict, days).count(" and ") == 27
+    assert time.time() - began < 30
