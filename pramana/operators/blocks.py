@@ -29,6 +29,19 @@ def ask_family(kind: Column) -> Column:
     return found
 
 
+def starter_chips(kind: Column) -> Column:
+    """The three starter questions of a kind, as keys of words: askLab1 and so on."""
+    family = F.concat(F.lit("ask"), F.initcap(ask_family(kind)))
+    return F.transform(F.array(*map(F.lit, "123")), lambda i: F.concat(family, i))
+
+
+def reading_variant(photo: Column, files: Column, lang: Column, before: Column, forced: Column) -> Column:
+    """Which reading screen (A to D) is shown: the forced one, else by upload and language, and never the one shown last."""
+    pick = F.when(photo | (files > 1), "B").when(~F.coalesce(lang, F.lit("")).isin("", "en", "auto"), "C").otherwise(F.when(before == "A", "D").otherwise("A"))
+    following = F.translate(pick, "ABCD", "BCDA")
+    return F.when(forced.isin("A", "B", "C", "D"), forced).when(before == pick, following).otherwise(pick)
+
+
 def block_shown(block: str, has: Column, kind: Column, section_values: Column, dated_action: Column) -> Column:
     """Whether a block has something to show. has: names of the fields that are not empty (of TEXTS and LISTS)."""
     any_of = lambda *names: F.arrays_overlap(has, F.array(*map(F.lit, names)))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bind
 
+# When a medicine is taken.
+FOOD_TIMINGS = ["before_food", "after_food", "at_bedtime"]
 # Frequency codes, their words and dose times, in the order of precedence.
 FREQUENCIES = [
     ("SOS", "SOS|PRN|AS NEEDED|WHEN REQUIRED", []),
@@ -44,8 +46,8 @@ CUES = [
 ]
 
 
-def medicine_frequency(raw: Column) -> Column:
-    """(code, slots, food, days, decoded) of a printed frequency."""
+def medicine_frequency(raw: Column, printed_food: Column | None = None, printed_days: Column | None = None) -> Column:
+    """(code, slots, food, days, decoded) of a printed frequency; food and days that are printed elsewhere may be given."""
     text, upper = F.trim(raw), F.upper(F.trim(raw))
     texts = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     food = (
@@ -53,9 +55,13 @@ def medicine_frequency(raw: Column) -> Column:
         .when(text.rlike(r"(?i)\b(after\s+(food|meals?)|pc)\b"), "after_food")
         .when(text.rlike(r"(?i)\b(at\s+bedtime|bedtime)\b"), "at_bedtime")
     )
+    if printed_food is not None:
+        food = F.when(printed_food.isin(FOOD_TIMINGS), printed_food).when(F.contains(F.lower(printed_food), F.lit("bedtime")), "at_bedtime").otherwise(food)
     span = r"(?i)(?:x\s*|for\s*)(\d+)\s*(days?|d\b|weeks?|w\b|months?|m\b)"
     n, unit = F.regexp_extract(text, span, 1).try_cast("int"), F.lower(F.substring(F.regexp_extract(text, span, 2), 1, 1))
     days = F.when(unit == "w", n * 7).when(unit == "m", n * 30).otherwise(n)
+    if printed_days is not None:
+        days = F.coalesce(days, printed_days)
     doses = [F.regexp_extract(text, DOSES, i) for i in range(1, 5)]
     taken = [d.try_cast("int") > 0 for d in doses]
     last = F.when(text.rlike(r"(?i)\b(bedtime|hs)\b") | (food == "at_bedtime"), "bedtime").otherwise("night")
@@ -73,7 +79,7 @@ def medicine_frequency(raw: Column) -> Column:
         F.when(blank, "").otherwise(code.otherwise(text)).alias("code"),
         F.when(blank, texts([])).otherwise(slots.otherwise(texts([]))).alias("slots"),
         F.when(~blank, food).alias("food"),
-        F.when(~blank, days).alias("days"),
+        (F.when(~blank, days) if printed_days is None else F.when(blank, printed_days).otherwise(days)).alias("days"),
         F.when(blank, False).otherwise(decoded.otherwise(False)).alias("decoded"),
     )
 

@@ -75,6 +75,18 @@ def default_name(kind: Column, issuer: Column, iso: Column) -> Column:
     return F.substring(F.array_join(bits, " · "), 1, 60)
 
 
+def renamed(name: Column, fallback: Column) -> Column:
+    """A new name of a document, 60 characters; a blank one gives the fallback."""
+    cut = F.left(F.trim(F.coalesce(name, F.lit(""))), F.lit(60))
+    return F.when(cut != "", cut).otherwise(F.trim(F.coalesce(fallback, F.lit(""))))
+
+
+def visible_title(name: Column, title: Column) -> Column:
+    """The name that was given to a document, 60 characters, else its title."""
+    own = F.trim(F.coalesce(name, F.lit("")))
+    return F.when(own != "", F.left(own, F.lit(60))).otherwise(F.coalesce(title, F.lit("")))
+
+
 def action_chip(evidence: Column, quote: Column, photo: Column) -> Column:
     """calculated, matched or check_original; none for photos without either."""
     return F.when(evidence.isin("calculated", "matched"), evidence).when(~photo & (F.coalesce(quote, F.lit("")) != ""), "check_original")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.languages import HIDDEN, REMOVED, by_language, document_title
 from ..functions.text import bind, mask_email, mask_id
@@ -109,3 +113,51 @@ def checked_share(checked: Column, spans: Column, text: Column, closed_text: Col
 def check_key(doc_id: Column, lang: Column) -> Column:
     """The key under which the privacy check of a document in a language is kept."""
     return F.concat_ws("|", F.coalesce(doc_id, F.lit("")), F.coalesce(F.nullif(lang, F.lit("")), F.lit("en")), F.lit("hide"))
+
+
+def _walk(value, visit):
+    """A JSON value with every text put through `visit`, in the order of its fields."""
+    if isinstance(value, str):
+        return visit(value)
+    if isinstance(value, list):
+        return [_walk(v, visit) for v in value]
+    return {k: _walk(v, visit) for k, v in value.items()} if isinstance(value, dict) else value
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _texts_of(results: pd.Series) -> pd.Series:
+    def texts(result: str | None) -> list[str] | None:
+        found: list[str] = []
+        _walk(json.loads(result) if result else None, lambda t: found.append(t) or t)
+        return found
+
+    return results.map(texts)
+
+
+@F.pandas_udf(StringType())
+def _with_texts(results: pd.Series, texts: pd.Series) -> pd.Series:
+    def put(result: str | None, new) -> str | None:
+        if not result:
+            return result
+        left = iter(new)
+        return json.dumps(_walk(json.loads(result), lambda t: next(left)), ensure_ascii=False)
+
+    return pd.Series([put(r, t) for r, t in zip(results, texts, strict=True)])
+
+
+def all_texts(result: Column) -> Column:
+    """Every text of a nested result, whatever its fields, in their order."""
+    return _texts_of(F.to_json(result))
+
+
+def birth_keys_of(result: Column) -> Column:
+    """Keys of the birth dates that any text of a nested result states."""
+    return birth_keys(all_texts(result))
+
+
+def masked_result(result: Column, schema: StructType, terms: Column) -> Column:
+    """A nested result of a schema with every text masked: names, the general rules, and every date equal to a birth date stated anywhere in it."""
+    as_json = F.to_json(result)
+    texts = _texts_of(as_json)
+    new = F.when(F.size(texts) > 0, masked_texts(texts, terms)).otherwise(texts)
+    return F.from_json(_with_texts(as_json, new), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import dates, languages, names, speech
 from ..functions.text import bind
@@ -12,6 +13,10 @@ from .registry import cases
 _STR = "array<string>"
 
 
+def _parse(ddl):
+    return StructType.fromDDL(ddl.removeprefix("struct<").removesuffix(">"))
+
+
 def _activity(key, done, rating, lang, report):
     some = lambda kind: F.create_map(F.lit(key), F.lit(done).cast(kind))
     flags = [some("boolean").alias(n) for n in ("done", "added", "slots")]
@@ -182,3 +187,12 @@ cases("calendar_links", "note string", [("by me", "https://calendar.example.org/
 cases("result_titles", "kind string, issuer string, day string, title string", [("Lab report", "Green Leaf, City", "2026-10-01", "T", "Lab report · Green Leaf · 1 Oct"), ("", "", "", "T", "T"), ("", "Dr. Rao", "", "", "Document")], overview.result_title)
 cases("asks_kept", "n int", [(3, "4:1,4"), (39, "40:1,40"), (45, "40:7,46")], lambda n: bind(lambda x: F.concat(F.size(x["a"]).cast("string"), F.lit(":"), F.get(x["a"], F.lit(0)).cast("string"), F.lit(","), F.element_at(x["a"], -1).cast("string")), a=stores.asks_appended(F.sequence(F.lit(1), n), F.array(n + 1))))
 cases("translations_put", "lang string", [("ta", "hi=a,ta=new"), ("hi", "hi=new")], lambda l: F.array_join(F.transform(F.array_sort(F.map_entries(stores.translation_put(F.create_map(F.lit("hi"), F.lit("a")), l, F.lit("new")))), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+cases("starter_questions", "kind string", [("lab_report", "askLab1,askLab2,askLab3"), ("school", "askGeneric1,askGeneric2,askGeneric3"), ("loan", "askMoney1,askMoney2,askMoney3")], lambda k: F.array_join(blocks.starter_chips(k), ","))
+cases("reading_variants", "photo boolean, files int, lang string, before string, forced string", [(True, 1, "en", None, None, "B"), (False, 3, "en", "B", None, "C"), (False, 1, "ta", None, None, "C"), (False, 1, "en", "A", None, "D"), (False, 1, "auto", None, None, "A"), (False, 1, "en", "D", "B", "B"), (False, 1, None, "D", "x", "A")], blocks.reading_variant)
+cases("document_names", "name string, title string", [(" Mine ", "T", "Mine|Mine"), ("", " T ", "T| T "), (None, None, "|"), ("x" * 70, "T", "x" * 60 + "|" + "x" * 60)], lambda n, t: F.concat_ws("|", results.renamed(n, t), results.visible_title(n, t)))
+_NESTED = "struct<title:string,n:int,parts:array<struct<heading:string,lines:array<string>>>,notes:map<string,string>>"
+cases("masked_results", "born string", [("DOB: 14/05/1980", "Mr. R***|7|DOB: [hidden]|on [hidden], call **********|kept"), ("no date", "Mr. R***|7|no date|on 14 May 1980, call **********|kept")],
+      lambda b: bind(lambda x: F.concat_ws("|", x["r"]["title"], x["r"]["n"].cast("string"), x["r"]["parts"][0]["heading"], x["r"]["parts"][0]["lines"][0], x["r"]["notes"]["k"]),
+                     r=sharing.masked_result(F.struct(F.lit("Mr. Ravi").alias("title"), F.lit(7).alias("n"), F.array(F.struct(b.alias("heading"), F.array(F.lit("on 14 May 1980, call 9876543210")).alias("lines"))).alias("parts"), F.create_map(F.lit("k"), F.lit("kept")).alias("notes")), _parse(_NESTED), F.array(F.lit("Ravi")))))
+cases("printed_medicine_times", "raw string, food string, days int", [("1-0-1", "after_food", 5, "morning,night|after_food|5"), ("0-0-1 x 2 weeks", "At Bedtime", 5, "bedtime|at_bedtime|14"), ("BD before food", "unknown", None, "morning,night|before_food"), ("", "after_food", 3, "|3"), ("OD", None, None, "morning")],
+      lambda r, f, d: bind(lambda x: F.concat_ws("|", F.array_join(x["m"]["slots"], ","), x["m"]["food"], x["m"]["days"].cast("string")), m=decoders.medicine_frequency(r, f, d)))
