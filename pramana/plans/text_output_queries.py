@@ -43,7 +43,12 @@ def sentences_that_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_SAY} AS t").select("p_partkey", speech.up_to(speech.sentences(F.col("t")), 60).alias("spoken"))
 
 
-@query()
+@query(
+    r"""WITH RECURSIVE w AS (SELECT row_number() OVER () AS id, conv_id, turn, list_filter(string_split_regex(text, '[\s\x0B]+'), lambda x: x <> '') AS words FROM conversations WHERE text IS NOT NULL),
+r(id, i, chunk, used) AS (SELECT id, 1, 0, length(words[1]) FROM w WHERE len(words) > 0
+  UNION ALL SELECT r.id, i + 1, CASE WHEN used + 1 + length(words[i + 1]) <= 180 THEN chunk ELSE chunk + 1 END, CASE WHEN used + 1 + length(words[i + 1]) <= 180 THEN used + 1 + length(words[i + 1]) ELSE length(words[i + 1]) END FROM r JOIN w ON w.id = r.id WHERE i < len(words))
+SELECT conv_id, turn, CAST(chunk AS INTEGER) AS chunk, CAST(max(used) AS INTEGER) AS length FROM r JOIN w ON w.id = r.id GROUP BY r.id, conv_id, turn, chunk"""
+)
 def speech_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns in chunks of at most 180 characters."""
     found = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.posexplode(speech.chunks(F.col("text"))).alias("chunk", "part"))
