@@ -18,6 +18,7 @@ FREQUENCIES = [
     ("BD", "BD|BID|TWICE DAILY|TWICE A DAY|2 TIMES A DAY", ["morning", "night"]),
     ("OD", "OD|QD|ONCE DAILY|ONCE A DAY|1 TIME A DAY", ["morning"]),
 ]
+# Frequencies that are not daily, and doses written as 1-0-1.
 NOT_DAILY = r"\b(ONCE\s+A\s+WEEK|WEEKLY|ALTERNATE\s+DAYS?|EVERY\s+OTHER\s+DAY)\b"
 DOSES = r"\b(\d+)\s*[-/]\s*(\d+)\s*[-/]\s*(\d+)(?:\s*[-/]\s*(\d+))?\b"
 # Words of each kind of document, in the order in which they are tried.
@@ -84,6 +85,7 @@ def medicine_frequency(raw: Column, printed_food: Column | None = None, printed_
     )
 
 
+# Numbers, names of bands and bounds of printed ranges.
 _NUMBER = r"\d[\d,]*(?:\.\d+)?"
 _BAND = r"very\s+high|borderline(?:\s+high)?|near(?:\s+to)?(?:\s+above)?\s*optimal|desirable|optimal|normal|sufficiency|sufficient|deficiency|deficient|insufficiency|toxicity|toxic|high|low"
 _UPPER, _LOWER = r"(?i)(<=|≤|<|below|less than)\s*(" + _NUMBER + ")", r"(?i)(>=|≥|>|above|more than)\s*(" + _NUMBER + ")"

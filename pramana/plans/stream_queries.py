@@ -36,8 +36,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_limits_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The limiter over a stream of calls; one file is one micro-batch here, so its order is that of time."""
     events = _events(spark, sf_dir)
-    calls = events.select(F.col("event_type").alias("endpoint"), F.col("user_id").alias("ip"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("t"))
-    return _finished(spark, limiter.limit_stream(calls, 2, 86400)).select("endpoint", "ip", "id", "allowed")
+    calls = events.select(F.col("event_type").alias("endpoint"), F.col("user_id").alias("ip"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("t"), "ts")
+    return _finished(spark, limiter.limit_stream(calls, 2, 86400, "ts")).select("endpoint", "ip", "id", "allowed")
 
 
 @query(

@@ -12,18 +12,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 COLUMNS = "endpoint string, ip long, id long, t double, allowed boolean"
 
 
-def limit_stream(calls: DataFrame, limit: int, seconds: int) -> DataFrame:
+def limit_stream(calls: DataFrame, limit: int, seconds: int, event_time: str | None = None, late: str = "1 day") -> DataFrame:
     """calls (endpoint, ip, id, t) with `allowed`: as in the batch form, call by call.
 
-    State is at most `limit` times for each caller. Calls are taken in order of
-    time within a micro-batch; those that come in later batches than their time
-    are judged on arrival. This order is ours: a single process sees calls as
-    they come.
+    State is at most `limit` times for each caller; with a timestamp column
+    `event_time` it goes once the watermark (`late` behind) has passed a caller's
+    window, and later calls than that are dropped. Calls are taken in order of
+    time within a micro-batch, which the source should bound (maxFilesPerTrigger);
+    those that come in later batches than their time are judged on arrival. This
+    order is ours: a single process sees calls as they come.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        frame = pd.concat(list(frames)).sort_values(["t", "id"])
+        frame = pd.concat([f[["endpoint", "ip", "id", "t"]] for f in frames]).sort_values(["t", "id"])
         out = []
         for t in frame["t"]:
             kept = [x for x in kept if t - x < seconds]
@@ -31,9 +36,13 @@ def limit_stream(calls: DataFrame, limit: int, seconds: int) -> DataFrame:
             if out[-1]:
                 kept.append(t)
         state.update((kept,))
-        yield frame.assign(allowed=out)[["endpoint", "ip", "id", "t", "allowed"]]
+        if event_time:
+            state.setTimeoutTimestamp(max(int((kept[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield frame.assign(allowed=out)
 
-    return calls.groupBy("endpoint", "ip").applyInPandasWithState(run, COLUMNS, "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if event_time else GroupStateTimeout.NoTimeout
+    marked = calls.withWatermark(event_time, late) if event_time else calls
+    return marked.groupBy("endpoint", "ip").applyInPandasWithState(run, COLUMNS, "kept array<double>", "append", timeout)
 
 
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
