@@ -14,6 +14,9 @@ a finding for each place. Rows that share a key are scanned each.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -36,18 +39,19 @@ _CHARS = "A-Za-z0-9_+/=-"
 _PREFIX = "AKIA|ASIA|gh[pousr]_|github_pat_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-"
 _SECRET = "|".join(sorted(SECRET_WORDS, key=len, reverse=True))
 _PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
-_RUN = rf"(?<![A-Za-z0-9_+/-])(?![A-Za-z0-9_+/-]{{1,40}}=[^=\s])"  # at a name before an assignment no run begins
-CANDIDATE = "|".join(
-    [
-        rf"{_PEM}(?:[\s\S]{{0,8000}}?-----END [A-Z ]{{0,20}}PRIVATE KEY-----|[A-Za-z0-9+/=\s]{{16,}})",
-        r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]{3,}(?=@)",
-        rf"(?<=[=:>\s\"'`])(?<=(?:[=:>]|\bis)\s{{0,3}}[\"'`]?)(?<=(?i:{_SECRET})[\"'`]?\s{{0,3}}(?::=|=>|=|:|is\b)\s{{0,3}}[\"'`]?)[^\s\"'`=:>][^\s\"'`]{{5,}}",
-        rf"(?<=[\s\"'`])(?<=(?i:{_SECRET})\s{{1,3}}[\"'`]?)(?=[^\s\"'`]*[0-9])[^\s\"'`=:>][^\s\"'`]{{7,}}",
-        rf"(?<![{_CHARS}])(?:{_PREFIX})[A-Za-z0-9_-][.{_CHARS}]{{7,}}",
-        rf"{_RUN}(?=[A-Za-z_+/=-]*[0-9])[{_CHARS}]{{16,}}",
-        rf"{_RUN}[{_CHARS}]{{20,}}",
-    ]
-)
+_RUN = rf"(?<![A-Za-z0-9_+/-])(?=[{_CHARS}]{{16}})(?![A-Za-z0-9_+/-]{{1,40}}+=[^=\s])"  # long enough; at a name before an assignment no run begins
+_SHAPES = [
+    rf"{_PEM}(?:[\s\S]{{0,8000}}?-----END [A-Z ]{{0,20}}PRIVATE KEY-----|[A-Za-z0-9+/=\s]{{16,}})",
+    r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/@]{3,}(?=@)",
+    rf"(?<=[=:>\s\"'`])(?<=(?:[=:>]|\bis)\s{{0,3}}[\"'`]?)(?<=(?i:{_SECRET})[\"'`]?\s{{0,3}}(?::=|=>|=|:|is\b)\s{{0,3}}[\"'`]?)[^\s\"'`=:>][^\s\"'`]{{5,}}",
+    rf"(?<=[\s\"'`])(?<=(?i:{_SECRET})\s{{1,3}}[\"'`]?)(?=[^\s\"'`]*[0-9])[^\s\"'`=:>][^\s\"'`]{{7,}}",
+    rf"(?<![{_CHARS}])(?:{_PREFIX})[A-Za-z0-9_-][.{_CHARS}]{{7,}}",
+    rf"{_RUN}(?=[A-Za-z_+/=-]*+[0-9])[{_CHARS}]{{16,}}",
+    rf"{_RUN}[{_CHARS}]{{20,}}",
+]
+CANDIDATE = "|".join(_SHAPES)
+#: What can match in a text without a secret word: all but the third and fourth shape, which look back at every word. And what secret words have in common.
+PLAIN_CANDIDATE, WORD_PARTS = "|".join(_SHAPES[:2] + _SHAPES[4:]), ["token", "secret", "passw", "pwd", "key", "auth", "bearer", "credential"]
 FEATURES = ["length", "digits", "uppers", "signs", "kinds", "changes", "hex", "pairs", "words", "path", "near_secret", "near_other", "assigned", "quoted", "prefix", "others", "url", "pem", "placeholder"]
 
 
@@ -154,7 +158,9 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, finding (from 0), start (in code points), value, before, after for each candidate."""
     t = F.coalesce(F.col(text), F.lit(""))
-    cut = docs.select(F.col(key).alias("key"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)).alias("found"), t.alias("t")).where(F.size("found") > 0)
+    worded = reduce(or_, (F.contains(F.lower(t), F.lit(w)) for w in WORD_PARTS))
+    found = F.when(worded, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit(PLAIN_CANDIDATE), F.lit(0)))
+    cut = docs.select(F.col(key).alias("key"), found.alias("found"), t.alias("t")).where(F.size("found") > 0)
     cut = cut.select("key", "found", F.split("t", CANDIDATE, -1).alias("rest"), F.monotonically_increasing_id().alias("row"))
     one = F.transform(
         F.sequence(F.lit(0), F.size("found") - 1),
