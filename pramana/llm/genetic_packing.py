@@ -27,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ ADDED = {"<|endoftext|>": 50256}
 #: Pieces of a block, islands of a block, packings of an island, epochs, and generations of an epoch: all of them always run.
 BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 2000, 3, 6, 2, 30
 LOOSE, MOST_ROUNDS = 0.985, 60
+#: A run of as much white space is cut by hand.
+LONG_BLANKS = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -48,9 +51,24 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+_BLANKS = regex.compile(rf"\p{{White_Space}}{{{LONG_BLANKS},}}")
+_ONE_MATCH = r"[\s\S]+"
+
+
 def encode_text(text: str, path: str, pattern: str) -> list[int]:
-    """Ids of a text; the text between added tokens is encoded by itself."""
-    return _encoding(path, pattern).encode(text, allowed_special="all")
+    """Ids of a text; the text between added tokens is encoded by itself.
+
+    The library's pattern looks ahead behind each run of white space, which fails on
+    very long ones. The pattern makes all but the last blank of a run one match (all
+    of them at the end of the text or before an added token); long runs are cut so by hand.
+    """
+    encoding, ids, at = _encoding(path, pattern), [], 0
+    for run in _BLANKS.finditer(text):
+        last = run.end() == len(text) or any(text.startswith(token, run.end()) for token in ADDED)
+        ids += encoding.encode(text[at : run.start()], allowed_special="all")
+        at = run.end() - (not last)
+        ids += _encoding(path, _ONE_MATCH).encode(text[run.start() : at], disallowed_special=())
+    return ids + encoding.encode(text[at:], allowed_special="all")
 
 
 def piece_bounds(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
