@@ -9,7 +9,9 @@ path, and the words beside it. The forest is trained on labelled findings:
 a table of (before, value, after, label); `labelled_findings` makes one by rule.
 
 Null and empty texts have no findings. A value that occurs several times gives
-a finding for each place. Rows that share a key are scanned each.
+a finding for each place, and each is judged by itself. Rows that share a key, or
+have none, are scanned each. Texts are scanned whole, whatever their length. An
+empty table gives an empty result. Other columns, of any name, are not looked at.
 """
 
 from __future__ import annotations
@@ -155,13 +157,22 @@ def train(labelled: DataFrame) -> RandomForestClassificationModel:
     return RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows.select("features", "label"))
 
 
+def _found(t: Column) -> Column:
+    """All candidates of a text, in order."""
+    worded = reduce(or_, (F.contains(F.lower(t), F.lit(w)) for w in WORD_PARTS))
+    return F.when(worded, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit(PLAIN_CANDIDATE), F.lit(0)))
+
+
+def _rest(t: Column) -> Column:
+    """What stands before, between and behind the candidates of a text that has some."""
+    return F.split(t, CANDIDATE, -1)
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, finding (from 0), start (in code points), value, before, after for each candidate."""
     t = F.coalesce(F.col(text), F.lit(""))
-    worded = reduce(or_, (F.contains(F.lower(t), F.lit(w)) for w in WORD_PARTS))
-    found = F.when(worded, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all(t, F.lit(PLAIN_CANDIDATE), F.lit(0)))
-    cut = docs.select(F.col(key).alias("key"), found.alias("found"), t.alias("t")).where(F.size("found") > 0)
-    cut = cut.select("key", "found", F.split("t", CANDIDATE, -1).alias("rest"), F.monotonically_increasing_id().alias("row"))
+    cut = docs.select(F.col(key).alias("key"), _found(t).alias("found"), t.alias("t")).where(F.size("found") > 0)
+    cut = cut.select("key", "found", _rest(F.col("t")).alias("rest"), F.monotonically_increasing_id().alias("row"))
     one = F.transform(
         F.sequence(F.lit(0), F.size("found") - 1),
         lambda i: F.struct(
@@ -184,10 +195,19 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with every secret in its text replaced by MASK; all rows and columns stay."""
-    k, values = unused(docs, "k", "values")
-    secrets = scan(docs, model, key, text).where("is_secret").groupBy(F.col(key).alias(k)).agg(F.collect_set("value").alias(values))
-    longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
-    joined = docs.join(secrets, F.col(key).eqNullSafe(F.col(k)), "left")
-    clean = F.when(F.col(values).isNull(), F.col(text)).otherwise(F.aggregate(longest_first, F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))))
+    """`docs` with every accepted finding in its text replaced by MASK, at its own place only; all rows and columns stay.
+
+    What is found depends on the text alone, so a row is told by two hashes of its text,
+    not by its key: rows that share a key, or have none, do not meet. Only the numbers of
+    accepted findings come back to the text, which is cut at its candidates once more.
+    """
+    name, hidden = unused(docs, "text_name", "hidden")
+    of = F.struct(F.xxhash64(text), F.xxhash64(F.lit("text"), text))
+    named = docs.select(of.alias("of"), F.col(text).alias("text"))
+    secrets = scan(named, model, "of", "text").where("is_secret").groupBy(F.col("of").alias(name)).agg(F.collect_set("finding").alias(hidden))
+    joined = docs.withColumn(unused(docs, "of")[0], of)
+    joined = joined.join(secrets, joined[unused(docs, "of")[0]] == secrets[name], "left")
+    value = lambda x, i: F.when(F.array_contains(F.col(hidden), i), MASK).otherwise(x)
+    pieces = F.zip_with(_rest(F.col(text)), F.transform(_found(F.col(text)), value), lambda r, f: F.concat(r, F.coalesce(f, F.lit(""))))
+    clean = F.when(F.col(hidden).isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
     return joined.withColumn(text, clean).select(*docs.columns)
