@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, fold_evidence_digits
+from ..sources.pdf import file_state
 from .admission import contact_valid, email_valid
 
 
@@ -102,6 +103,12 @@ def upload_kind(content: Column, mime: Column) -> Column:
     return F.when(F.length(content) == 0, "empty").when(fits, "ok").otherwise("bad_magic")
 
 
+def opened_upload_kind(content: Column, mime: Column) -> Column:
+    """As upload_kind, and pdf_unopenable for a PDF without a page tree; a protected file counts as ok."""
+    kind = upload_kind(content, mime)
+    return F.when((kind == "ok") & (mime == "application/pdf") & (file_state(content) == "unreadable"), "pdf_unopenable").otherwise(kind)
+
+
 def source_kind(pages: DataFrame, has_pdf: Column) -> DataFrame:
     """photo, scanned_pdf (under 50 characters) or text_pdf for each document."""
     n = F.sum(F.length(F.regexp_replace("text", r"(?U)\s+", "")))
