@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of an Arrow batch, about, where the session sets no bound of its own: a batch of long texts stays small.
 BATCH_BYTES = 4 << 20
+#: Bits of what stands for the members of a table in `likely_in`: 8 MB.
+MEMBER_BITS = 1 << 26
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -52,6 +54,16 @@ def materialise(df: DataFrame, label: str, *spent: DataFrame) -> DataFrame:
     return found
 
 
+def likely_in(rows: DataFrame, members: DataFrame, by: list[str], bits: int = MEMBER_BITS) -> DataFrame:
+    """The rows whose columns `by` may be those of a member: all that are, and few others. What goes to the tasks are `bits` bits at most, so their join is left with few rows."""
+    bit = F.pmod(F.xxhash64(*by), F.lit(bits))
+    bucket, place = F.floor(bit / 32768), F.pmod(bit, F.lit(32768))
+    maps = members.select(bucket.alias("bucket"), place.alias("place")).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("bitmap"))
+    marked = rows.withColumns({"bucket": bucket, "place": place}).join(F.broadcast(maps), "bucket")  # a row of 4 KB for each 32,768 bits
+    byte = F.conv(F.hex(F.substring("bitmap", F.floor(F.col("place") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return marked.where(byte.bitwiseAND(F.element_at(F.lit([1 << i for i in range(8)]), (F.pmod("place", F.lit(8)) + 1).cast("int"))) != 0).select(*rows.columns)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores behind it until `df` has no such column."""
     taken, out = {c.lower() for c in df.columns}, []

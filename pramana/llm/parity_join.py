@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialise
+from .common import in_arrow, likely_in, materialise
 from .components import components
 
 SHINGLE = 3
@@ -232,6 +232,7 @@ def _linked(docs: DataFrame, distinct: DataFrame, key: str, text: str, width: in
     found = found.withColumn("units", F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), unit_of))
     chosen = materialise(found.select("id", "units", F.col("rep.key").alias("of"), F.col("rep.tie").alias("of_tie")), "chosen", groups)
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("tie"), F.col(text).cast("binary").alias("text"))
+    rows = likely_in(rows, chosen.select(F.col("of").alias("key"), F.col("of_tie").alias("tie")), ["key", "tie"])
     rows = rows.join(chosen, rows["key"].eqNullSafe(chosen["of"]) & (rows["tie"] == chosen["of_tie"])).select("id", "units", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

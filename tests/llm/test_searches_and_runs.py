@@ -251,3 +251,13 @@ def test_runs_query(spark, tmp_path):
     for d, t in given:
         if len(planted(d, t)) < 1500:
             assert rows[d] == plain_digest(d, t)
+
+
+def test_rows_that_may_be_members(spark):
+    from pramana.llm.common import likely_in
+
+    rows = spark.range(0, 20000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL ELSE id END AS key", "id AS tie", "'x' AS bucket_", "id")
+    members = rows.where("id % 37 = 0").select("key", "tie")
+    found = {r["id"] for r in likely_in(rows, members, ["key", "tie"], 1 << 22).collect()}
+    assert {i for i in range(20000) if i % 37 == 0} <= found and len(found) < 1000
+    assert likely_in(rows, members.limit(0), ["key", "tie"]).count() == 0 and likely_in(rows, members, ["key"]).columns == rows.columns
