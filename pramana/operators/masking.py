@@ -45,7 +45,7 @@ _LABEL = "|".join(x.replace(" ", r"\s+") for x in LABELS)
 # Spans that are masked, in order of priority, with the group that is the span (0 the match, 1 at its end or
 # behind it). Ids go before ten-digit phones, which would cut a card number.
 PATTERNS = [
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 0),
+    ("email", r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})?", 0),  # a run of address characters is walked once; it counts with an address behind it
     ("phone", r"(?a)(?:\+\d{1,2}[\s-]?)?(?:\(\d{3}\)|\d{3,5})[\s-]\d{3}[\s-]\d{4}", 0),
     ("id", r"(?a)\b[A-Z]{2,5}-\d{4}-\d{4,}\b|\b[A-Z]{5}\d{4}[A-Z]\b|\b\d{16}\b", 0),
     ("phone", rf"(?a)(?:\+91[\s-]?)?[6-9]\d{{4}}[\s-]?\d{{5}}\b|\b0\d{{2,4}}[\s-]?\d{{3,4}}[\s-]?\d{{4}}\b|\b\d{{5}}\s*\d{{5}}\b|(?<![{_NATIVE}])[{_NATIVE}]{{10}}(?![{_NATIVE}])", 0),
@@ -137,6 +137,8 @@ def spans_in(text: str, births: set[int] | None = None) -> list[tuple[int, str,
         if not _MAY[kind](text, low, other, digits) or (kind == "date" and not keys):
             continue
         for m in pattern.finditer(text):
+            if kind == "email" and not m[1]:
+                continue
             a, b = _name(kind, text, *m.span(group)) if kind in NAMES else m.span(group)
             if a == b or (kind == "date" and date_key(m[0]) not in keys):
                 continue
@@ -197,7 +199,20 @@ def mask(kind: Column, value: Column) -> Column:
     return F.when(kind == "phone", F.repeat(F.lit("*"), 10)).when(kind == "email", mask_email(value)).when(kind == "id", mask_id(value)).otherwise(other)
 
 
+@F.pandas_udf(ArrayType(_PIECES))
+def _pieces_each(texts: pd.Series, births: pd.Series) -> pd.Series:
+    return pd.Series([None if all_ is None else [_cut(t, set() if b is None else {*map(int, b)}) for t in all_] for all_, b in zip(texts, births, strict=True)])
+
+
+def masked_each(texts: Column, births: Column) -> Column:
+    """Every text of an array with all accepted spans replaced."""
+    return F.transform(_pieces_each(texts, births), _put_together)
+
+
+def _put_together(pieces: Column) -> Column:
+    return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], F.coalesce(mask(p["kind"], p["text"]), F.lit("")))), "")
+
+
 def masked(t: Column, births: Column | None = None) -> Column:
     """The text with all accepted spans replaced; it is cut at the spans once, so the work grows with its length."""
-    pieces = _pieces(t) if births is None else _pieces_knowing(t, births)
-    return F.array_join(F.transform(pieces, lambda p: F.concat(p["before"], F.coalesce(mask(p["kind"], p["text"]), F.lit("")))), "")
+    return _put_together(_pieces(t) if births is None else _pieces_knowing(t, births))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.terms import replaced, replaced_each, within
+from ..functions.text import bind
+
 # Words of roles, identifiers and amounts that tell personal fields.
 ROLES = ["patient", "customer", "policyholder", "owner", "pensioner", "insured", "attendee", "beneficiary"]
 TITLED = r"(?i)\b(dr\.|mr\.|mrs\.|ms\.|shri|smt\.|sri)\s+[A-Za-z\x{0900}-\x{0D7F}]"
@@ -81,12 +84,17 @@ def mask_name(t: Column) -> Column:
 
 
 def with_names_masked(t: Column, names: Column) -> Column:
-    """The text with every name masked, longest first."""
-    ordered = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(F.filter(ordered, lambda n: F.trim(n) != ""), t, lambda a, n: F.replace(a, n, mask_name(n)))
+    """The text with every name masked, longest first; the text is walked once for all names."""
+    return replaced(t, F.filter(names, lambda n: F.trim(n) != ""), lambda p: mask_name(p["term"]))
+
+
+def with_all_names_masked(texts: Column, names: Column) -> Column:
+    """Every text of an array with every name masked."""
+    return replaced_each(texts, F.filter(names, lambda n: F.trim(n) != ""), lambda p: mask_name(p["term"]))
 
 
-def leaks(secrets: DataFrame, channels: DataFrame, by: str) -> DataFrame:
-    """Secrets (by, secret) that stand in a channel (by, channel, text): a join on the document, not all pairs."""
-    found = secrets.join(channels, by).where(F.contains("text", F.col("secret")))
-    return found.groupBy(by).agg(F.count(F.lit(1)).alias("leaks"))
+def leaks(secrets: Column, *channels: Column) -> Column:
+    """How many of a document's secrets (an array) stand in its channels (texts), counted for each channel: one pass a text, within the row."""
+    there = {f"c{i}": within(text, secrets) for i, text in enumerate(channels)}
+    one = lambda x, c: F.size(F.filter(x["all"], lambda s: F.array_contains(x[c], s)))
+    return bind(lambda x: reduce(add, (one(x, c) for c in there)), all=secrets, **there)

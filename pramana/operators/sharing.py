@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
 from ..functions.languages import HIDDEN, REMOVED, by_language, document_title
+from ..functions.terms import replaced
 from ..functions.text import bind, mask_email, mask_id
-from .masking import birth_keys, masked
-from .privacy import dates_and_amounts, mask_name, with_names_masked
+from .masking import birth_keys, masked_each
+from .privacy import dates_and_amounts, mask_name, with_all_names_masked
 from .results import SPAN_TYPES
 
 PHONE_MASK = "**********"
@@ -26,28 +27,15 @@ def mask_span(text: Column, kind: Column, lang: Column) -> Column:
 def with_spans_masked(t: Column, spans: Column, lang: Column) -> Column:
     """The text with every place of the given spans (text, type) masked, longer ones first; a place within another is left to that one.
 
-    The text is walked once: it is cut at the longest span, what is left is cut at the next one, and so on.
+    The text is walked once for all spans.
     """
-    fine = F.filter(spans, lambda s: s["type"].isin(SPAN_TYPES) & (F.length(s["text"]) >= 2))
-    ordered = F.array_sort(F.array_distinct(fine), lambda a, b: F.length(b["text"]) - F.length(a["text"]))
-    piece = lambda text, done: F.struct(text.alias("text"), done.alias("done"))
-
-    def cut(pieces: Column, s: Column) -> Column:
-        def split(p: Column) -> Column:
-            parts = F.split(p["text"], F.concat(F.lit("\\Q"), s["text"], F.lit("\\E")), -1)
-            opened = F.flatten(F.transform(parts, lambda x, i: F.when(i > 0, F.array(piece(mask_span(s["text"], s["type"], lang), F.lit(True)), piece(x, F.lit(False)))).otherwise(F.array(piece(x, F.lit(False))))))
-            return F.when(p["done"], F.array(p)).otherwise(opened)
-
-        return F.flatten(F.transform(pieces, split))
-
-    whole = F.array(piece(F.coalesce(t, F.lit("")), F.lit(False)))
-    return F.aggregate(ordered, whole, cut, lambda pieces: F.array_join(F.transform(pieces, lambda p: p["text"]), ""))
+    fine = F.filter(F.coalesce(spans, F.array().cast("array<struct<text:string,type:string>>")), lambda s: s["type"].isin(SPAN_TYPES) & (F.length(s["text"]) >= 2))
+    return replaced(F.coalesce(t, F.lit("")), F.transform(fine, lambda s: s["text"]), lambda p: mask_span(p["term"], F.get(fine, p["which"])["type"], lang))
 
 
 def masked_texts(texts: Column, terms: Column) -> Column:
     """Every text of a result masked alike: its names, all general rules, and each date equal to a birth date given in any of them."""
-    joined = F.array_join(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), "\u0001")
-    return F.split(with_names_masked(masked(joined, birth_keys(texts)), terms), "\u0001")
+    return with_all_names_masked(masked_each(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), birth_keys(texts)), terms)
 
 
 def redacted(summary: Column, actions: Column, facts: Column, terms: Column, fallback: Column, lang: Column) -> Column:

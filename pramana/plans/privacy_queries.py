@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import masking, privacy
+from ..operators.terms import occurrences
 from ..sources.tables import table
 from .registry import query
 from .text_queries import EMAIL
@@ -40,6 +41,16 @@ def masked_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", privacy.with_names_masked(text, F.array(F.lit("Rao"), F.concat(F.lit("Dr. A. "), "c_name"))).alias("masked"))
 
 
+_PHRASE = r"regexp_extract(text, '^\s*(\S+\s+\S+\s+\S+)', 1)"
+
+
+@query(f"SELECT doc_id, term FROM documents, (SELECT DISTINCT {_PHRASE} AS term FROM benchmark) WHERE term <> '' AND contains(text, term)")
+def term_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold the first three words of an item: one pass over the texts for all phrases."""
+    phrases = table(spark, sf_dir, "benchmark").select(F.regexp_extract("text", r"^\s*(\S+\s+\S+\s+\S+)", 1).alias("term"))
+    return occurrences(table(spark, sf_dir, "documents"), phrases).select("doc_id", "term")
+
+
 # Secrets of a document by its id, and the sentence that holds them.
 _SENTENCE = ["'. Call '", "planted[0]", "' or '", "planted[1]", "' of '", "planted[2]", "', case '", "planted[3]", "', date of birth: '", "planted[4]", "', born '", "planted[5]", "'. Mrs. '", "planted[6]", "', applicant: '", "planted[7]"]
 
@@ -59,7 +70,6 @@ def leaks_after_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets planted in every text, and long numbers and addresses found by other patterns: how many there are, and how many still stand in the masked text (none may)."""
     docs = table(spark, sf_dir, "documents").withColumn("planted", _planted(F.col("doc_id")))
     text = F.concat_ws(" ", "text", F.expr(f"concat({', '.join(_SENTENCE)})"))
-    secrets = docs.select("doc_id", F.explode(F.concat("planted", *(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)) for p in (EMAIL, r"\b\d{16}\b")))).alias("secret"))
-    found = privacy.leaks(secrets, docs.select("doc_id", F.lit("share").alias("channel"), masking.masked(text).alias("text")), "doc_id")
-    sums = secrets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("secrets"))
-    return sums.join(found, "doc_id", "left").select("doc_id", "secrets", F.coalesce("leaks", F.lit(0)).cast("long").alias("leaks"))
+    secrets = F.concat("planted", *(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)) for p in (EMAIL, r"\b\d{16}\b")))
+    rows = docs.select("doc_id", secrets.alias("secrets"), masking.masked(text).alias("shared"))
+    return rows.select("doc_id", F.size("secrets").cast("long").alias("secrets"), privacy.leaks(F.col("secrets"), F.col("shared")).cast("long").alias("leaks"))

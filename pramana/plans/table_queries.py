@@ -150,11 +150,21 @@ def appended_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, CAST(2 AS INTEGER) AS wrongly_matched FROM documents WHERE text IS NOT NULL AND length(text) > 60")
+_WORDS = r"regexp_extract(text, '^\s*((?:\S+\s+){3}\S+)', 1)"
+_NORMAL = r"trim(lower(regexp_replace(regexp_replace(regexp_replace({0}, '\s+', ' ', 'g'), '\b([Ll][Aa][Cc][Ss]?|[Ll][Aa][Kk][Hh][Ss]?)\b', 'lakh', 'g'), '(\d)[,](\d)', '\1\2', 'g')))"
+
+
+@query(
+    f"WITH own AS (SELECT doc_id, {_NORMAL.format('text')} AS t, {_NORMAL.format(_WORDS)} AS first FROM documents WHERE length(text) > 60), asked AS (SELECT own.doc_id, own.t, own.first, other.first AS foreign_words FROM own LEFT JOIN own other ON other.doc_id = own.doc_id + 1) "
+    "SELECT doc_id, CAST(CASE WHEN contains(t, 'never said 918273645') THEN 0 ELSE 1 END + CASE WHEN first = '' OR contains(t, first) THEN 0 ELSE 1 END + CASE WHEN coalesce(foreign_words, '') = '' OR contains(t, foreign_words) THEN 0 ELSE 1 END AS INTEGER) AS wrongly_matched FROM asked"
+)
 def wrongly_matched_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of four items of each document, two called matched have quotes that it lacks; one quotes it; one is not called matched."""
+    """Items called matched: a number that is nowhere, the first four words of the document, and those of the next one, which only copies hold; besides one that is not called so."""
     docs = table(spark, sf_dir, "documents").where("length(text) > 60").select("doc_id", "text")
-    items = docs.select("doc_id", F.explode(F.array(F.lit("never said 918273645"), F.lit("nor this 546372819"), F.substring("text", 1, 20), F.lit("unmatched"))).alias("quote"))
+    own = docs.select("doc_id", F.regexp_extract("text", r"^\s*((?:\S+\s+){3}\S+)", 1).alias("first"))
+    following = own.select((F.col("doc_id") - 1).alias("doc_id"), F.col("first").alias("next_first"))
+    quotes = F.array(F.lit("never said 918273645"), F.col("first"), F.coalesce("next_first", F.lit("")), F.lit("unmatched"))
+    items = own.join(following, "doc_id", "left").select("doc_id", F.explode(quotes).alias("quote"))
     items = items.withColumn("evidence", F.when(F.col("quote") == "unmatched", "check_original").otherwise("matched"))
     pages = docs.select("doc_id", F.lit(1).alias("page"), "text")
     return evals.wrongly_matched(items, pages, unicode_forms=False)

@@ -9,15 +9,18 @@ from ..functions import text as T
 from ..sources.tables import AMOUNT_TEXT, GROUPED, LETTER, TITLE, WHOLE, table
 from .registry import query
 
-EMAIL, PHONE, LONG_NUMBER = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\d{16}"
+# An address begins where a run of its characters does, or where the last one ended: so a long run is not tried from each of its characters.
+_ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+-])|\G){_ADDRESS}"
+PHONE, LONG_NUMBER = r"\+1 \(\d{3}\) \d{3}-\d{4}", r"\d{16}"
 
 
 @query(
     f"""SELECT lang, count(*) AS docs,
-  CAST(sum(len(regexp_extract_all(text, '{EMAIL}'))) AS BIGINT) AS emails,
+  CAST(sum(len(regexp_extract_all(text, '{_ADDRESS}'))) AS BIGINT) AS emails,
   CAST(sum(len(regexp_extract_all(text, '{PHONE.replace(chr(92), chr(92))}'))) AS BIGINT) AS phones,
   CAST(sum(len(regexp_extract_all(text, '{LONG_NUMBER}'))) AS BIGINT) AS long_numbers,
-  CAST(sum(length(regexp_replace(regexp_replace(text, '{EMAIL}', '*', 'g'), '{LONG_NUMBER}', '**', 'g'))) AS BIGINT) AS masked_chars
+  CAST(sum(length(regexp_replace(regexp_replace(text, '{_ADDRESS}', '*', 'g'), '{LONG_NUMBER}', '**', 'g'))) AS BIGINT) AS masked_chars
 FROM documents GROUP BY lang"""
 )
 def contact_spans_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +187,7 @@ def mask_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT doc_id, e AS email, substr(e, 1, 1) || '***@****.' || regexp_extract(e, '([^.]*)$', 1) AS masked
-FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{EMAIL}')) AS e FROM documents)"""
+FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{_ADDRESS}')) AS e FROM documents)"""
 )
 def mask_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(EMAIL), F.lit(0)))).alias("email"))
