@@ -1,8 +1,8 @@
 """Evidence: does a quoted item, with its numbers, stand on the cited page?
 
-Pages are normalised once and joined by document and page. The whole document is
-joined only for items that their page does not settle: the others go round that
-join, so document text is not copied to them.
+Pages are normalised once, into an index with a row for each document. Items meet
+it in one join by document, which keeps the verdict only; where the index is saved
+in buckets, only the items are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bind, critical_tokens, evidence_form, guard_form
+from ..sources.shared import unused
 
 
 def document_text(pages: DataFrame) -> DataFrame:
@@ -23,29 +24,49 @@ def _all_in(tokens: Column, text: Column) -> Column:
     return F.forall(tokens, lambda t: (t == "") | F.contains(text, t))
 
 
-def verify(items: DataFrame, pages: DataFrame, unicode_forms: bool = True) -> DataFrame:
-    """`items` (doc_id, pos, quote, text, page, is_calculated) with `evidence`.
+def page_index(pages: DataFrame, unicode_forms: bool = True) -> DataFrame:
+    """doc_id, its pages (page, form) in the form of evidence, and the form of the whole text: what items are looked up in.
+
+    Texts are shuffled once, by document. Written with `write_index`, they are not shuffled at all when items come.
+    """
+    form = lambda c: evidence_form(c, unicode_forms)
+    each = pages.select("doc_id", "page", "text", form(F.col("text")).alias("form"))
+    gathered = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text", "form"))).alias("pages"))
+    whole = F.array_join(F.transform("pages", lambda p: p["text"]), " ")
+    return gathered.select("doc_id", F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["form"].alias("form"))).alias("pages"), form(whole).alias("whole"))
+
+
+def write_index(pages: DataFrame, name: str, path: str, buckets: int, unicode_forms: bool = True) -> DataFrame:
+    """The page index as a saved table, bucketed by document: a join with items leaves its texts where they are."""
+    page_index(pages, unicode_forms).write.bucketBy(buckets, "doc_id").sortBy("doc_id").option("path", path).mode("overwrite").saveAsTable(name)
+    return pages.sparkSession.table(name)
+
+
+def verify_by(items: DataFrame, index: DataFrame, unicode_forms: bool = True) -> DataFrame:
+    """`items` (doc_id, pos, quote, text, page, is_calculated) with `evidence`, looked up in a page index.
 
     calculated; matched if the quote stands on its page (else in the document)
     and so does every amount, date and phone number of quote and item; otherwise
-    check_original. Documents without pages give check_original.
+    check_original. Documents without pages give check_original. One join by
+    document: the verdict is all that leaves it.
     """
     form = lambda c: evidence_form(c, unicode_forms)
-    by_page = pages.select("doc_id", "page", form(F.col("text")).alias("page_text"))
-    by_doc = document_text(pages).select("doc_id", form(F.col("text")).alias("doc_text"))
     tokens = F.concat(critical_tokens(F.col("quote")), critical_tokens(F.col("text")))
-    joined_tokens = form(F.array_join(tokens, "\u0001"))
-    known = by_doc.select("doc_id", F.lit(True).alias("has_pages"))
-    asked = items.withColumn("q", form(F.col("quote"))).withColumn("tokens", F.split(joined_tokens, "\\s?\u0001\\s?"))
-    asked = asked.join(by_page, ["doc_id", "page"], "left").join(known, "doc_id", "left")
-    blank = F.col("has_pages").isNull() | (F.trim(F.coalesce("quote", F.lit(""))) == "") | (F.col("q") == "")
-    on_page = F.coalesce(F.contains("page_text", F.col("q")), F.lit(False))
-    verdict = lambda text: F.when(_all_in(F.col("tokens"), text), "matched").otherwise("check_original")
-    settled = F.coalesce(F.col("is_calculated"), F.lit(False)) | blank | on_page
-    first = asked.where(settled).select(*items.columns, F.when(F.col("is_calculated"), "calculated").when(blank, "check_original").otherwise(verdict(F.col("page_text"))).alias("evidence"))
-    rest = asked.where(~settled).join(by_doc, "doc_id")
-    rest = rest.select(*items.columns, F.when(F.contains("doc_text", F.col("q")), verdict(F.col("doc_text"))).otherwise("check_original").alias("evidence"))
-    return first.unionByName(rest)
+    known, q, wanted, own, whole = unused(items, "known", "q", "tokens", "pages", "whole")
+    asked = items.select(*items.columns, form(F.col("quote")).alias(q), F.split(form(F.array_join(tokens, "\u0001")), "\\s?\u0001\\s?").alias(wanted))
+    there = index.select("doc_id", F.col("pages").alias(own), F.col("whole").alias(whole), F.lit(True).alias(known))
+    joined = asked.join(there, "doc_id", "left")
+    blank = F.col(known).isNull() | (F.trim(F.coalesce("quote", F.lit(""))) == "") | (F.col(q) == "")
+    here = lambda p: (p["page"] == F.col("page")) & F.contains(p["form"], F.col(q))
+    on_page = F.coalesce(F.exists(own, here), F.lit(False))
+    fine = F.when(on_page, F.exists(own, lambda p: here(p) & _all_in(F.col(wanted), p["form"]))).otherwise(F.contains(whole, F.col(q)) & _all_in(F.col(wanted), F.col(whole)))
+    label = F.when(F.col("is_calculated"), "calculated").when(blank, "check_original").when(fine, "matched").otherwise("check_original")
+    return joined.select(*items.columns, label.alias("evidence"))
+
+
+def verify(items: DataFrame, pages: DataFrame, unicode_forms: bool = True) -> DataFrame:
+    """`items` with `evidence`, looked up in pages (doc_id, page, text); see verify_by."""
+    return verify_by(items, page_index(pages, unicode_forms), unicode_forms)
 
 
 def summary(checked: DataFrame, *by: str) -> DataFrame:

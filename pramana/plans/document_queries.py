@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import critical_tokens as tokens_of
 from ..operators import decoders, evidence, guards
+from ..sources.shared import scratch
 from ..sources.tables import FREQUENCY, KIND, LAB_FLAG, LAB_RANGE, LAB_VALUE, LETTER, TITLE, TRANSLATED, table
-from .registry import query
+from .registry import SQL, query
 
 
 def _letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -39,6 +40,15 @@ def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.verify(items, pages).select("doc_id", "pos", "evidence")
 
 
+@query(SQL["evidence_labels"])
+def indexed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a saved index: the join moves the items to the buckets of their documents, and no text."""
+    items, pages = _letters(spark, sf_dir)
+    path = scratch(spark, "page-index")
+    index = evidence.write_index(pages, "page_index_" + path.rsplit("-", 1)[-1], path, 8)
+    return evidence.verify_by(items, index).select("doc_id", "pos", "evidence")
+
+
 @query(
     """SELECT o_custkey AS doc_id, CAST(count_if(e = 'matched') AS BIGINT) AS matched, CAST(count_if(e = 'calculated') AS BIGINT) AS calculated, CAST(count_if(e = 'check_original') AS BIGINT) AS check_original
 FROM (SELECT o_custkey, CASE WHEN o_orderkey % 11 = 0 THEN 'calculated' WHEN o_orderkey % 3 = 0 THEN 'matched' ELSE 'check_original' END AS e FROM orders) GROUP BY o_custkey"""

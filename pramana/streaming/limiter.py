@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 COLUMNS = "endpoint string, ip long, id long, t double, allowed boolean"
 
@@ -45,6 +46,52 @@ def limit_stream(calls: DataFrame, limit: int, seconds: int, event_time: str | N
     return marked.groupBy("endpoint", "ip").applyInPandasWithState(run, COLUMNS, "kept array<double>", "append", timeout)
 
 
+class _Calls(StatefulProcessor):
+    """The times of a caller's allowed calls as a list in the state store, and a timer that clears it."""
+
+    def __init__(self, limit: int, seconds: int):
+        self.limit, self.seconds = limit, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("kept", "t double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        kept = [t for (t,) in self.kept.get()]
+        for frame in rows:  # one Arrow batch at a time, however many calls there are
+            frame, allowed = frame.sort_values(["t", "id"]), []
+            for t in frame["t"]:
+                kept = [x for x in kept if t - x < self.seconds]
+                allowed.append(len(kept) < self.limit)
+                if allowed[-1]:
+                    kept.append(t)
+            yield frame[["endpoint", "ip", "id", "t"]].assign(allowed=allowed)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if kept:
+            self.kept.put([(t,) for t in kept])
+            self.handle.registerTimer(max(int((kept[-1] + self.seconds) * 1000), timerValues.getCurrentWatermarkInMs() + 1))
+        else:
+            self.kept.clear()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.kept.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def limit_calls(calls: DataFrame, limit: int, seconds: int, event_time: str, late: str = "1 day") -> DataFrame:
+    """As limit_stream, with list state and timers: the calls of a caller pass in Arrow batches, never gathered.
+
+    Calls are judged in the order of their batches, and by time within one; a source
+    in order of time gives the result of the batch form. Needs the RocksDB state store.
+    """
+    grouped = calls.withWatermark(event_time, late).groupBy("endpoint", "ip")
+    return grouped.transformWithStateInPandas(_Calls(limit, seconds), COLUMNS, "Append", "EventTime")
+
+
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "2 days") -> DataFrame:
     """Events of each type in windows of event time; rows later than `late` are dropped (our own rule)."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
