@@ -56,10 +56,10 @@ def guard_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{LETTER} AS t").select("o_orderkey", T.guard_form(F.col("t")).alias("form"))
 
 
-_EVIDENCE = rf"lower(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({_GUARD}, '₹ +', '₹', 'g'), '(\d)\.00', '\1', 'g'), '(\d)/(\d)', '\1-\2', 'g'), 'lacs', 'lakh'), '\s+', ' ', 'g'))"
+EVIDENCE = rf"lower(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace({_GUARD}, '₹ +', '₹', 'g'), '(\d)\.00', '\1', 'g'), '(\d)/(\d)', '\1-\2', 'g'), 'lacs', 'lakh'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT o_orderkey, {_EVIDENCE} AS form FROM (SELECT o_orderkey, {LETTER} AS t FROM orders)")
+@query(f"SELECT o_orderkey, {EVIDENCE} AS form FROM (SELECT o_orderkey, {LETTER} AS t FROM orders)")
 def evidence_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{LETTER} AS t").select("o_orderkey", T.evidence_form(F.col("t")).alias("form"))
 
