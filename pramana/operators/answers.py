@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import bind, collapse, digit_runs
 from .guards import spoken_numbers_missing
@@ -53,17 +57,35 @@ def answer_evidence(answered_from: Column, not_found: Column, quote: Column, quo
     )
 
 
+HIDDEN_FIELDS = ("source_text", "protected_terms_rendered")
+_CONTEXT = StructType([StructField("context", StringType()), StructField("kind", StringType())])
+
+
+def _context(result: str | None) -> tuple[str, str]:
+    try:
+        found = json.loads(result or "{}")
+    except ValueError:
+        found = None
+    if not isinstance(found, dict):
+        return (result or "")[:MOST_CONTEXT], ""
+    kind = next((str(found[k]) for k in ("document_kind", "doc_type") if found.get(k)), "")
+    kept = {k: v for k, v in found.items() if k not in HIDDEN_FIELDS}
+    if isinstance(kept.get("parts"), list):
+        kept["parts"] = [{k: v for k, v in p.items() if k != "source_text"} if isinstance(p, dict) else p for p in kept["parts"]]
+    return json.dumps(kept, ensure_ascii=False)[:MOST_CONTEXT], kind
+
+
+@F.pandas_udf(_CONTEXT)
+def _contexts(results: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_context(r) for r in results], columns=["context", "kind"])
+
+
 def ask_context(result: Column) -> Column:
-    """(context, kind) of a result in JSON: without its source text and renderings, its parts without theirs, 8,000 characters; text that is no object as it is."""
-    result = F.coalesce(F.nullif(result, F.lit("")), F.lit("{}"))
-    fields = F.from_json(result, "map<string,variant>")
-    kept = F.map_filter(fields, lambda k, v: ~k.isin("source_text", "protected_terms_rendered", "parts"))
-    parts = F.transform(F.from_json(F.get_json_object(result, "$.parts"), "array<map<string,variant>>"), lambda p: F.map_filter(p, lambda k, v: k != "source_text"))
-    kind = F.coalesce(F.nullif(F.get_json_object(result, "$.document_kind"), F.lit("")), F.get_json_object(result, "$.doc_type"), F.lit(""))
-    is_object = F.schema_of_variant(F.try_parse_json(result)).startswith("OBJECT")
-    text = F.concat_ws(" ", F.to_json(kept), F.when(F.size(parts) > 0, F.to_json(parts)))
-    as_it_is = F.struct(F.left(result, F.lit(MOST_CONTEXT)).alias("context"), F.lit("").alias("kind"))
-    return F.when(F.coalesce(is_object, F.lit(False)), F.struct(F.left(text, F.lit(MOST_CONTEXT)).alias("context"), kind.alias("kind"))).otherwise(as_it_is)
+    """(context, kind) of a result in JSON: without its source text and renderings, its parts without theirs, 8,000 characters; text that is no object as it is.
+
+    Byte for byte as Python writes JSON: fields in their order, a blank behind commas and colons.
+    """
+    return _contexts(result)
 
 
 def keyed_payload(raw: Column) -> Column:

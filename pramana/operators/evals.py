@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence_form
+from ..sources.shared import written
 from .evidence import document_text
 
 
@@ -39,6 +40,33 @@ def report_lines(cases: DataFrame) -> DataFrame:
     return cases.select("name", line.alias("line"))
 
 
+REPORT_HEAD = ["| Case | Document Type | Source Kind | Explain (s) | Translate (s) | Wrongly Matched | Status | Notes |", "|---|---|---|---|---|---|---|---|"]
+
+
+def report_file(cases: DataFrame, title: str, made: str, base_url: str) -> DataFrame:
+    """(place, line): a whole report in Markdown. Heading, time and address, then a line for each case in order of its id, and a blank one.
+
+    cases: id, name, document_type, source_kind, explain_sec, translate_sec, wrongly_matched, passed, notes.
+    """
+    spark = cases.sparkSession
+    head = [f"# {title}", "", f"Generated on: {made}", f"Base URL: `{base_url}`", "", *REPORT_HEAD]
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    seconds = lambda c: F.format_string("%.2f", F.bround(F.coalesce(F.col(c), F.lit(0.0)), 2))
+    status = F.when(F.coalesce("passed", F.lit(False)), "**PASS**").otherwise("**FAIL**")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", text("name"), text("document_type"), text("source_kind"), seconds("explain_sec"), seconds("translate_sec"), F.coalesce("wrongly_matched", F.lit(0)).cast("string"), status, text("notes")), F.lit(" |"))
+    # Cases are numbered by counts of ranges, not in one task.
+    ranged = cases.select("id", line.alias("line")).repartitionByRange("id").sortWithinPartitions("id").select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"), "line")
+    ranged = written(ranged, "report")
+    before = {r["part"]: (r["least"], r["n"]) for r in ranged.groupBy("part").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("n")).collect()}
+    offsets, seen = [], len(head)
+    for part in sorted(before):
+        offsets.append((part, seen - before[part][0]))
+        seen += before[part][1]
+    numbered = ranged.join(F.broadcast(spark.createDataFrame(offsets, "part int, shift long")), "part").select((F.col("n") + F.col("shift")).alias("place"), "line")  # a row for each range
+    rest = spark.createDataFrame([*enumerate(head), (seen, "")], "place long, line string")
+    return numbered.unionByName(rest)
+
+
 def words_missing(words: DataFrame, languages: list[str], used: DataFrame | None = None, default: str = "en") -> DataFrame:
     """(lang, key) of keys of the default language, or used ones, that a language's dictionary (lang, key) lacks."""
     keys = words.where(F.col("lang") == default).select("key")

@@ -94,14 +94,17 @@ def place(address: Column, quote: Column, text: Column) -> Column:
 def glance(value: Column, kind: Column, text: Column, unicode_forms: bool = True) -> Column:
     """matched if a value stands in the text; an amount also by the digits of one of its tokens, a date also inside one."""
 
-    def decide(x: Column) -> Column:
-        amount = (kind == "amount") & (x["digits"] != "") & F.exists(x["tokens"], lambda t: F.regexp_replace(guard_form(t), r"\D", "") == x["digits"])
-        day = (kind == "date") & (x["v"] != "") & F.exists(x["tokens"], lambda t: F.contains(evidence_form(t, False), x["v"]))
-        fine = ((x["v"] != "") & F.contains(x["t"], x["v"])) | amount | day
-        return F.when(F.coalesce(fine, F.lit(False)), "matched").otherwise("check_original")
-
     forms = {"v": evidence_form(value, unicode_forms), "t": evidence_form(text, unicode_forms)}
-    return bind(decide, **forms, digits=F.regexp_replace(guard_form(value), r"\D", ""), tokens=critical_tokens(text))
+    return bind(lambda x: glance_in(x["v"], value, kind, x["t"], x["tokens"]), **forms, tokens=critical_tokens(text))
+
+
+def glance_in(form: Column, value: Column, kind: Column, text_form: Column, tokens: Column) -> Column:
+    """The same for a text whose form and tokens are known."""
+    digits = F.regexp_replace(guard_form(value), r"\D", "")
+    amount = (kind == "amount") & (digits != "") & F.exists(tokens, lambda t: F.regexp_replace(guard_form(t), r"\D", "") == digits)
+    day = (kind == "date") & (form != "") & F.exists(tokens, lambda t: F.contains(evidence_form(t, False), form))
+    fine = ((form != "") & F.contains(text_form, form)) | amount | day
+    return F.when(F.coalesce(fine, F.lit(False)), "matched").otherwise("check_original")
 
 
 def part_glance(value: Column, text: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import SHORT_MONTHS, is_passed
-from ..functions.text import digit_runs
+from ..functions.text import bind, critical_tokens, digit_runs, evidence_form
+from . import evidence
 
 # Span types, languages and reasons that payloads may hold.
 SPAN_TYPES = ["person", "phone", "id", "address", "dob", "email"]
@@ -42,6 +43,23 @@ def glance(parts: Column, lab_values: Column, amounts: Column, kind: Column, upc
     )
 
 
+#: Values of the first screen, and names asked for at a time.
+MOST_VALUES, MOST_NAMES = 6, 12
+
+
+def glance_values(values: Column, text: Column) -> Column:
+    """The first values (label, value, kind) of the first screen with their evidence in the text; kinds that are not known are texts."""
+    kind = lambda v: F.when(v["kind"].isin("amount", "date", "text"), v["kind"]).otherwise("text")
+    first = F.slice(F.coalesce(values, F.array().cast("array<struct<label:string,value:string,kind:string>>")), 1, MOST_VALUES)
+    made = lambda x: F.transform(x["first"], lambda v: F.struct(v["label"].alias("label"), v["value"].alias("value"), kind(v).alias("kind"), evidence.glance_in(evidence_form(v["value"], False), v["value"], kind(v), x["form"], x["tokens"]).alias("evidence")))
+    return bind(made, first=first, form=evidence_form(text), tokens=critical_tokens(text))
+
+
+def names_to_ask(missing: Column) -> Column:
+    """The names whose renderings are asked for: the first ones, each on a line."""
+    return F.array_join(F.transform(F.slice(missing, 1, MOST_NAMES), lambda n: F.concat(F.lit("- "), n)), "\n")
+
+
 def expected_seconds(photos: Column, pages: Column) -> Column:
     """How long a reading is expected to take."""
     return F.when(photos > 0, F.greatest(photos, F.lit(1)) * 9).otherwise(F.greatest(pages, F.lit(1)) * 6 + 8)
@@ -112,11 +130,25 @@ def chunk_of(page: Column) -> Column:
     return F.floor((page - 1) / PAGE_CHUNK).cast("int")
 
 
-def merged_chunks(items: DataFrame) -> DataFrame:
-    """Items (doc_id, chunk, pos, page, length) of the chunks of long documents as one list: pages shifted, by page (none first), chunk and place."""
+#: Kinds of items that the reference keeps from later chunks.
+KEPT_FROM_ALL = ["section", "part"]
+
+
+def merged_chunks(items: DataFrame, parity: bool = False) -> DataFrame:
+    """Items (doc_id, chunk, pos, page, length) of the chunks of long documents as one list: pages shifted, by page (none first), chunk and place.
+
+    parity: as the reference merges them. Of items (with `kind`) only sections and parts come from later
+    chunks than a document's first; parts stay where there are two of them at least, in the order of chunks.
+    """
+    if parity:
+        whole = Window.partitionBy("doc_id")
+        items = items.withColumn("first_chunk", F.min("chunk").over(whole))
+        items = items.where(F.col("kind").isin(KEPT_FROM_ALL) | (F.col("chunk") == F.col("first_chunk"))).drop("first_chunk")
+        items = items.withColumn("n_parts", F.count_if(F.col("kind") == "part").over(whole)).where("kind <> 'part' OR n_parts >= 2").drop("n_parts")
     page = shifted_page(F.col("page"), F.col("chunk") * PAGE_CHUNK + 1, F.col("length"))
     rows = items.withColumn("page", page)
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce("page", F.lit(0)), "chunk", "pos"))
+    order = [F.when(F.col("kind") == "part", 0).otherwise(F.coalesce("page", F.lit(0))), "chunk", "pos", F.coalesce("page", F.lit(0))] if parity else [F.coalesce("page", F.lit(0)), "chunk", "pos"]
+    place = F.row_number().over(Window.partitionBy("doc_id", *(["kind"] if parity else [])).orderBy(*order))
     return rows.withColumn("place", place)
 
 

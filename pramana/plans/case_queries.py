@@ -35,8 +35,6 @@ _UP = ["rating", "lang", "docType", "sample", "appVersion", "createdAt"]
 # Names
 
 # Guards
-cases("ask_contexts", "raw string", [('{"document_kind": "loan", "source_text": "secret", "title": "T"}', 'loan|{"document_kind":"loan","title":"T"}'), ('{"doc_type": "bank", "parts": [{"source_text": "s", "title": "P"}]}', 'bank|{"doc_type":"bank"} [{"title":"P"}]'), ("not json", "|not json"), ("[1]", "|[1]"), (None, "|{}")],
-      lambda r: bind(lambda x: F.concat_ws("|", x["c"]["kind"], x["c"]["context"]), c=answers.ask_context(r)))
 
 # Evidence
 

@@ -316,6 +316,19 @@ rule(
     "coalesce(marked, false) OR (t IS NOT NULL AND c_custkey % 9 IN (0, 2, 3, 5)) OR (c_custkey % 9 IN (1, 7) AND regexp_matches(t, '\\d{8,}'))",
 )
 
+rule(
+    "glance_value_lists", "orders", "o_orderkey", {"t": f"'Rs. ' || {WHOLE} || ' for ' || {_C}", "w": WHOLE, "c": _C, "n": "CAST(o_orderkey % 9 AS INT)"},
+    lambda t, w, c, n: F.array_join(F.transform(results.glance_values(F.slice(F.array(*(F.struct(F.lit(f"v{i}").alias("label"), v.alias("value"), F.lit(k).alias("kind")) for i, (v, k) in enumerate([(w, "amount"), (c, "other"), (F.concat(w, F.lit("9")), "amount"), (F.lit("none"), "text"), (c, "text"), (w, "date"), (c, "amount"), (w, "text")]))), 1, n), t), lambda v: F.concat_ws("=", v["label"], v["kind"], v["evidence"])), "|"),
+    "array_to_string(list_slice(['v0=amount=matched', 'v1=text=matched', 'v2=amount=check_original', 'v3=text=check_original', 'v4=text=matched', 'v5=date=matched'], 1, least(n, 6)), '|')",
+)
+rule("names_to_ask", "part", "p_partkey", {"n": "p_size % 20", "name": "p_name"}, lambda n, name: results.names_to_ask(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.concat(name, F.lit(" "), i.cast("string")))),
+     "array_to_string(list_transform(range(1, least(n + 1, 12) + 1), lambda i: '- ' || name || ' ' || i), chr(10))")
+rule(
+    "ask_contexts", "part", "p_partkey", {"name": "p_name", "kind": "p_type", "k": "p_size % 6", "raw": """CASE p_size % 6 WHEN 0 THEN '{"title":"' || p_name || '","source_text":"secret","document_kind":"' || p_type || '","parts":[{"source_text":"s","title":"é"},7]}' WHEN 1 THEN '{"doc_type": "' || p_type || '", "n": 1.50, "protected_terms_rendered": {"a": []}}' WHEN 2 THEN p_name WHEN 3 THEN '["' || p_name || '"]' WHEN 4 THEN '' END"""},
+    lambda n, t, k, r: _joined(k=answers.ask_context(r)["kind"], c=answers.ask_context(r)["context"]),
+    """CASE k WHEN 0 THEN kind || '|{"title": "' || name || '", "document_kind": "' || kind || '", "parts": [{"title": "é"}, 7]}' WHEN 1 THEN kind || '|{"doc_type": "' || kind || '", "n": 1.5}' WHEN 2 THEN '|' || name WHEN 3 THEN '|["' || name || '"]' ELSE '|{}' END""",
+)
+
 # Admission, layout and names, once more by rule
 rule("photo_uploads", "part", "p_partkey", {"a": "p_name || CASE p_size % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.pdf' END", "mime": "CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' WHEN 2 THEN '' END", "none": "p_size % 7 = 0"},
      lambda a, m, none: admission.photo_upload(F.when(~none, F.array(F.struct(a.alias("name"), F.lit("").alias("mime")), F.struct(F.lit("b").alias("name"), m.alias("mime"))))),

@@ -312,6 +312,30 @@ def merged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.merged_chunks(items).select("doc_id", "chunk", "pos", "page", "place")
 
 
+_CHUNKED = ["l_orderkey AS doc_id", "CAST(l_linenumber % 2 AS INT) AS chunk", "CAST(l_linenumber AS INT) AS pos", "CAST(nullif(l_partkey % 7, 0) AS INT) AS page", "CASE l_suppkey % 4 WHEN 0 THEN 'section' WHEN 1 THEN 'part' WHEN 2 THEN 'action' ELSE 'fact' END AS kind"]
+
+
+@query(
+    f"""WITH i AS (SELECT {', '.join(_CHUNKED)}, min(l_linenumber % 2) OVER (PARTITION BY l_orderkey) AS first_chunk FROM lineitem), k AS (SELECT *, count(*) FILTER (kind = 'part') OVER (PARTITION BY doc_id) AS parts FROM i WHERE kind IN ('section', 'part') OR chunk = first_chunk),
+s AS (SELECT doc_id, chunk, pos, kind, CASE WHEN chunk = 1 AND page <= 5 THEN page + 5 ELSE page END AS page FROM k WHERE kind <> 'part' OR parts >= 2)
+SELECT doc_id, chunk, pos, kind, page, CAST(row_number() OVER (PARTITION BY doc_id, kind ORDER BY CASE WHEN kind = 'part' THEN 0 ELSE coalesce(page, 0) END, chunk, pos, coalesce(page, 0)) AS INTEGER) AS place FROM s"""
+)
+def merged_chunks_in_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks merged as the reference does: only sections and parts of later ones stay."""
+    items = table(spark, sf_dir, "lineitem").selectExpr(*_CHUNKED, "5 AS length")
+    return results.merged_chunks(items, parity=True).select("doc_id", "chunk", "pos", "kind", "page", "place")
+
+
+@query(
+    """SELECT CAST(row_number() OVER (ORDER BY p_partkey) + 6 AS BIGINT) AS place, '| ' || p_name || ' | ' || CASE WHEN p_size % 5 = 0 THEN 'None' ELSE p_type END || ' | text_pdf | ' || printf('%.2f', p_size / 8.0) || ' | 0.00 | ' || (p_size % 3) || ' | ' || CASE WHEN p_size % 2 = 0 THEN '**PASS**' ELSE '**FAIL**' END || ' | All checks passed |' AS line FROM part
+UNION ALL SELECT unnest([0, 1, 2, 3, 4, 5, 6, (SELECT count(*) + 7 FROM part)]), unnest(['# Evaluation', '', 'Generated on: 2026-10-06', 'Base URL: `http://localhost`', '', '| Case | Document Type | Source Kind | Explain (s) | Translate (s) | Wrongly Matched | Status | Notes |', '|---|---|---|---|---|---|---|---|', ''])"""
+)
+def eval_report_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole report, line by line."""
+    cases = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "p_name AS name", "CASE WHEN p_size % 5 > 0 THEN p_type END AS document_type", "'text_pdf' AS source_kind", "p_size / 8.0D AS explain_sec", "CAST(NULL AS DOUBLE) AS translate_sec", "CAST(p_size % 3 AS INT) AS wrongly_matched", "p_size % 2 = 0 AS passed", "'All checks passed' AS notes")
+    return evals.report_file(cases, "Evaluation", "2026-10-06", "http://localhost")
+
+
 @query(
     """SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN '0-night' ELSE '1-morning' END AS key, CASE o_orderkey % 3 WHEN 0 THEN 'Take A, Take B' WHEN 1 THEN 'Take A' ELSE 'Take B' END AS summary,
   CASE o_orderkey % 3 WHEN 2 THEN DATE '2026-10-07' ELSE DATE '2026-10-06' END AS date, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '22:15' ELSE '08:00' END AS time FROM orders"""

@@ -151,3 +151,5 @@ cases("translations_put", "lang string", [("ta", "hi=a,ta=new"), ("hi", "hi=new"
 cases("starter_questions", "kind string", [("lab_report", "askLab1,askLab2,askLab3"), ("school", "askGeneric1,askGeneric2,askGeneric3"), ("loan", "askMoney1,askMoney2,askMoney3")], lambda k: F.array_join(blocks.starter_chips(k), ","))
 cases("reading_variants", "photo boolean, files int, lang string, before string, forced string", [(True, 1, "en", None, None, "B"), (False, 3, "en", "B", None, "C"), (False, 1, "ta", None, None, "C"), (False, 1, "en", "A", None, "D"), (False, 1, "auto", None, None, "A"), (False, 1, "en", "D", "B", "B"), (False, 1, None, "D", "x", "A")], blocks.reading_variant)
 cases("document_names", "name string, title string", [(" Mine ", "T", "Mine|Mine"), ("", " T ", "T| T "), (None, None, "|"), ("x" * 70, "T", "x" * 60 + "|" + "x" * 60)], lambda n, t: F.concat_ws("|", results.renamed(n, t), results.visible_title(n, t)))
+cases("ask_contexts", "raw string", [('{"document_kind": "loan", "source_text": "secret", "title": "T"}', 'loan|{"document_kind": "loan", "title": "T"}'), ('{"doc_type": "bank", "parts": [{"source_text": "s", "title": "é"}, "x"]}', 'bank|{"doc_type": "bank", "parts": [{"title": "é"}, "x"]}'), ("not json", "|not json"), ("[1]", "|[1]"), (None, "|{}"), ("", "|{}"), ("null", "|null"), ('{"document_kind": "", "doc_type": 5}', '5|{"document_kind": "", "doc_type": 5}')],
+      lambda r: bind(lambda x: F.concat_ws("|", x["c"]["kind"], x["c"]["context"]), c=answers.ask_context(r)))
