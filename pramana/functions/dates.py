@@ -15,30 +15,37 @@ SHORT_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 
 
-def _month_number(name: Column) -> Column:
-    name = F.lower(name)
-    found = F.array_position(F.array(*map(F.lit, MONTHS)), name)
-    short = F.array_position(F.array(*(F.lit(m.lower()) for m in SHORT_MONTHS)), F.when(name == "sept", "sep").otherwise(name))
-    return F.when(found > 0, found).when(short > 0, short)
+# The shapes of dates (ISO, day-month-year, and the two orders with month names).
+_ISO, _DMY = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$"
+_NAMED, _AMERICAN = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
 
 
-def _day(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
+def _month_number(name: Column) -> Column:
+    """The number of a month by its full or short name (and sept) as two digits; null for other words."""
+    numbers = {name: i for names in (MONTHS, [m.lower() for m in SHORT_MONTHS]) for i, name in enumerate(names, 1)} | {"sept": 9}
+    known = F.create_map(*(F.lit(x) for name, i in numbers.items() for x in (name, f"{i:02d}")))
+    return F.try_element_at(known, F.lower(name))
 
 
 def parse_date(t: Column) -> Column:
-    """ISO, day-month-year, and the two orders with month names; null for anything else and for days that do not exist."""
-    t = F.trim(t)
-    # The shapes of dates.
-    part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
-    iso, dmy = r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4})$"
-    named, american = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", r"^([A-Za-z]+)\s+(\d{1,2}),?\s+(\d{4})$"
-    return F.coalesce(
-        _day(part(iso, 1), part(iso, 2), part(iso, 3)),
-        _day(part(dmy, 3), part(dmy, 2), part(dmy, 1)),
-        _day(part(named, 3), _month_number(part(named, 2)), part(named, 1)),
-        _day(part(american, 3), _month_number(part(american, 1)), part(american, 2)),
-    )
+    """ISO, day-month-year, and the two orders with month names; null for anything else and for days that do not exist.
+
+    The text is looked at once for each shape, and taken apart for the one that fits.
+    """
+
+    def decide(x: Column) -> Column:
+        part = lambda pattern, i: F.regexp_extract(x["t"], pattern, i)
+        two = lambda n: F.lpad(n, 2, "0")
+        shapes = [
+            (_ISO, part(_ISO, 1), two(part(_ISO, 2)), two(part(_ISO, 3))), (_DMY, part(_DMY, 3), two(part(_DMY, 2)), two(part(_DMY, 1))),
+            (_NAMED, part(_NAMED, 3), _month_number(part(_NAMED, 2)), two(part(_NAMED, 1))), (_AMERICAN, part(_AMERICAN, 3), _month_number(part(_AMERICAN, 1)), two(part(_AMERICAN, 2))),
+        ]
+        found = F.lit(None).cast("string")
+        for pattern, year, month, day in reversed(shapes):
+            found = F.when(x["t"].rlike(pattern), F.concat(year, F.lit("-"), month, F.lit("-"), day)).otherwise(found)
+        return F.try_to_date(found, "yyyy-MM-dd")
+
+    return bind(decide, t=F.trim(t))
 
 
 def human_date(d: Column) -> Column:
@@ -58,21 +65,24 @@ def english_span(t: Column) -> Column:
     for i, word in enumerate(NUMBER_WORDS):
         low = F.regexp_replace(low, rf"\b{word}\b", str(i + 1))
     pattern = r"\bwithin\b[^.;]{0,24}?\b(\d+)\s*(hour|day|week|month)s?\b"
-    count, unit = F.regexp_extract(low, pattern, 1).try_cast("int"), F.regexp_extract(low, pattern, 2)
-    return F.when(count > 0, F.struct(count.alias("count"), unit.alias("unit")))
+    found = lambda x: F.struct(F.regexp_extract(x["low"], pattern, 1).try_cast("int").alias("count"), F.regexp_extract(x["low"], pattern, 2).alias("unit"))
+    return bind(lambda x: F.when(x["r"]["count"] > 0, x["r"]), r=bind(found, low=low))
 
 
 def due_date(anchor: Column, span: Column) -> Column:
     """(due, days) of a span counted from an anchor day; hours are rounded up to days; months stop at month ends."""
-    count, unit = span["count"], span["unit"]
-    due = (
-        F.when(unit == "hour", F.date_add(anchor, F.ceil(count / 24).cast("int")))
-        .when(unit == "week", F.date_add(anchor, count * 7))
-        .when(unit == "month", F.add_months(anchor, count))
-        .otherwise(F.date_add(anchor, count))
-    )
-    days = F.datediff(due, anchor)
-    return F.when(anchor.isNotNull() & span.isNotNull() & (days > 0), F.struct(due.alias("due"), days.alias("days")))
+
+    def counted(x: Column) -> Column:
+        count, unit = x["span"]["count"], x["span"]["unit"]
+        due = (
+            F.when(unit == "hour", F.date_add(x["anchor"], F.ceil(count / 24).cast("int")))
+            .when(unit == "week", F.date_add(x["anchor"], count * 7))
+            .when(unit == "month", F.add_months(x["anchor"], count))
+            .otherwise(F.date_add(x["anchor"], count))
+        )
+        return F.struct(due.alias("due"), F.datediff(due, x["anchor"]).alias("days"))
+
+    return bind(lambda x: F.when(x["r"]["days"] > 0, x["r"]), r=bind(counted, anchor=anchor, span=span))
 
 
 # Dates in running text, and words of payment beside them.
