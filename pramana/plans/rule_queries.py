@@ -402,3 +402,71 @@ rule(
     lambda r, l, x, v, s, m: admission.feedback_allowed(F.when(x.isNull(), F.array(*map(F.lit, _FORM))).otherwise(F.array(*map(F.lit, [*_FORM, "reasons"]))), r, l, F.lit("bank"), F.when(x.isNotNull(), F.array(x)), F.lit("boolean"), v, s, F.when(m > 0, 5).otherwise(6), F.lit(5)),
     "signed AND late > 0 AND lang <> 'fr' AND version <> 'a b' AND ((rating = 'up' AND reason IS NULL) OR (rating = 'down' AND coalesce(reason IN ('other', 'wrong_date'), false)))",
 )
+
+# Blocks and layouts: a field of each family is there or not by the number of the part; kinds take turns.
+_KINDS = ["government_notice", "tax_notice", "challan", "court_legal", "invoice", "lab_report", "prescription", "discharge_summary", "hospital_bill", "loan", "agreement", "form", "other", "insurance", "school", "receipt", "utility_bill", "pension_notice", "bank_statement", "telecom_bill"]
+_PROFILE = ["directions", "how_to_pay", "consequence", "line_items", "warranty_until", "diagnosis_as_written", "medicines", "advice_lines", "charges", "emi_amount", "deposit", "end_date", "form_fields", "summary", "actions", "deduction_reasons", "contacts", "facts", "follow_up", "premium"]
+_TURN = f"CASE p_partkey % {len(_KINDS)} " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+_SHOWN = {
+    "kind": _TURN, "n": "CASE WHEN p_size % 3 = 0 THEN CAST(p_size % 8 AS INT) ELSE 0 END", "dated": "p_size % 4 = 0", "parts": "CAST(p_size % 5 % 3 AS INT)", "generic": "CASE p_size % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'E' ELSE 'F' END", "money": "p_size % 7 = 0", "due": "p_size % 2 = 0",
+    **{f: f"(p_partkey + p_size * {i + 3}) % {3 + i % 4} = 0" for i, f in enumerate(_PROFILE)},
+}
+
+
+def _has(fields: tuple[Column, ...]) -> Column:
+    return F.filter(F.array(*(F.when(c, F.lit(f)) for f, c in zip(_PROFILE, fields, strict=True))), lambda x: x.isNotNull())
+
+
+rule(
+    "shown_blocks", "part", "p_partkey", _SHOWN, lambda kind, n, dated, parts, generic, money, due, *fields: F.array_join(blocks.blocks(_has(fields), kind, n, dated), ","),
+    """concat_ws(',', CASE WHEN kind = 'government_notice' AND directions AND NOT dated THEN 'directions' END, CASE WHEN kind = 'tax_notice' AND how_to_pay THEN 'waysToPay' END, CASE WHEN kind = 'challan' AND how_to_pay THEN 'howToContest' END,
+      CASE WHEN kind = 'court_legal' AND consequence THEN 'consequence' END, CASE WHEN kind IN ('invoice', 'hospital_bill') AND line_items THEN 'items' END, CASE WHEN kind = 'invoice' AND warranty_until THEN 'warranty' END,
+      CASE WHEN kind = 'lab_report' AND n > 0 THEN 'sections' END, CASE WHEN kind = 'lab_report' THEN 'notADiagnosis' END, CASE WHEN kind = 'discharge_summary' AND diagnosis_as_written THEN 'diagnosis' END,
+      CASE WHEN kind IN ('prescription', 'discharge_summary') AND medicines THEN 'medicines' END, CASE WHEN kind = 'discharge_summary' AND advice_lines THEN 'advice' END, CASE WHEN kind = 'loan' AND emi_amount THEN 'nextEmi' END, CASE WHEN kind = 'loan' AND charges THEN 'loanTerms' END,
+      CASE WHEN kind = 'agreement' AND deposit THEN 'keyTerms' END, CASE WHEN kind = 'agreement' AND end_date THEN 'timeline' END, CASE WHEN kind = 'form' AND form_fields THEN 'formSteps' END,
+      CASE WHEN summary THEN 'simpleWords' END, CASE WHEN actions THEN 'actions' END, CASE WHEN deduction_reasons THEN 'watchOut' END, CASE WHEN contacts THEN 'places' END, CASE WHEN facts THEN 'facts' END)""",
+)
+rule(
+    "kind_layouts", "part", "p_partkey", _SHOWN, lambda kind, n, dated, parts, generic, money, due, *fields: blocks.layout(kind, parts, n, generic, _has(fields), dated, money, due),
+    """CASE WHEN parts > 1 THEN 'multi' ELSE CASE kind WHEN 'lab_report' THEN CASE WHEN n > 4 THEN 'Dplus' ELSE 'D' END WHEN 'prescription' THEN 'E' WHEN 'form' THEN 'E' WHEN 'agreement' THEN 'E' WHEN 'other' THEN 'E'
+      WHEN 'discharge_summary' THEN CASE WHEN follow_up THEN 'C' ELSE 'E' END WHEN 'hospital_bill' THEN 'F' WHEN 'bank_statement' THEN 'F' WHEN 'loan' THEN CASE WHEN emi_amount THEN 'B' ELSE 'F' END WHEN 'invoice' THEN CASE WHEN due THEN 'B' ELSE 'F' END
+      WHEN 'insurance' THEN CASE WHEN premium THEN 'B' WHEN generic = 'A' THEN 'A' ELSE 'F' END WHEN 'challan' THEN 'B' WHEN 'tax_notice' THEN 'B' WHEN 'school' THEN CASE WHEN dated AND NOT money THEN 'C' ELSE 'B' END WHEN 'court_legal' THEN 'C' WHEN 'pension_notice' THEN 'C'
+      WHEN 'government_notice' THEN CASE WHEN dated THEN 'C' ELSE 'E' END WHEN 'utility_bill' THEN CASE WHEN generic = 'A' THEN 'A' ELSE 'B' END WHEN 'receipt' THEN CASE WHEN generic = 'B' THEN 'B' ELSE 'F' END ELSE generic END END""",
+)
+_MEDICINE = "CASE p_size % 5 WHEN 0 THEN '1-0-1' WHEN 1 THEN '0-0-1 x ' || CAST(p_partkey % 3 + 2 AS STRING) || ' weeks' WHEN 2 THEN 'BD before food' WHEN 3 THEN '' ELSE 'OD' END"
+rule(
+    "printed_medicine_times", "part", "p_partkey", {"k": "p_size % 5", "raw": _MEDICINE, "food": "CASE p_size % 5 WHEN 0 THEN 'after_food' WHEN 1 THEN 'At Bedtime' WHEN 2 THEN 'unknown' END", "days": "CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 4 + 1 AS INT) END", "weeks": "p_partkey % 3 + 2"},
+    lambda k, r, f, d, w: bind(lambda x: F.concat_ws("|", F.array_join(x["m"]["slots"], ","), x["m"]["food"], x["m"]["days"].cast("string")), m=decoders.medicine_frequency(r, f, d)),
+    "CASE k WHEN 0 THEN concat_ws('|', 'morning,night', 'after_food', days) WHEN 1 THEN 'bedtime|at_bedtime|' || 7 * weeks WHEN 2 THEN concat_ws('|', 'morning,night', 'before_food', days) WHEN 3 THEN concat_ws('|', '', days) ELSE concat_ws('|', 'morning', days) END",
+)
+
+
+def _activity(key: Column, done: bool, rating: Column, lang: Column, report: Column) -> Column:
+    some = lambda kind: F.create_map(key, F.lit(done).cast(kind))
+    flags = [some("boolean").alias(n) for n in ("done", "added", "slots")]
+    return F.struct(*flags, some("string").alias("times"), some("int").alias("durations"), rating.alias("rating"), lang.alias("lang"), report.alias("report"))
+
+
+rule(
+    "activity_patches", "part", "p_partkey", {"name": "p_name", "kind": "p_type", "size": "CAST(p_size AS INT)", "a": "p_size % 2 = 0", "b": "p_size % 3 = 0", "c": "p_partkey % 2 = 0", "d": "p_partkey % 3 = 0"},
+    lambda name, kind, size, a, b, c, d: bind(
+        lambda x: F.concat_ws("|", F.array_join(F.transform(F.map_entries(x["r"]["done"]), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","), F.array_join(F.map_keys(x["r"]["slots"]), ","), x["r"]["rating"], x["r"]["lang"], F.coalesce(x["r"]["report"].cast("string"), F.lit(""))),
+        r=dues.activity_with(_activity(name, True, F.lit("up"), F.lit("en"), size), _activity(kind, False, F.lit(None).cast("string"), kind, F.lit(None).cast("int")), F.filter(F.array(F.when(a, "done"), F.when(b, "medicine"), F.when(c, "rating"), F.when(d, "report"), F.when(a & b, "lang")), lambda x: x.isNotNull())),
+    ),
+    "concat_ws('|', CASE WHEN a THEN kind || '=false' ELSE name || '=true' END, CASE WHEN b THEN kind ELSE name END, CASE WHEN c THEN '' ELSE 'up' END, CASE WHEN a AND b THEN kind ELSE 'en' END, CASE WHEN d THEN '' ELSE CAST(size AS VARCHAR) END)",
+)
+
+
+@query(
+    f"""WITH given AS (SELECT c_custkey, {_BORN} AS born, {_STARS} AS stars, c_custkey % 2 = 0 AS told FROM customer)
+SELECT c_custkey, stars || '|7|' || CASE WHEN told THEN 'DOB: [hidden]' ELSE 'no date' END || '|on ' || CASE WHEN told THEN '[hidden]' ELSE replace(born, '/', '.') END || ', call **********|kept' AS result FROM given"""
+)
+def masked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested results: a birth date that a heading states is hidden in other lines too, also in another form."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", f"{_BORN_SPARK} AS born")
+    heading = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("DOB: "), "born")).otherwise("no date")
+    line = F.concat(F.lit("on "), F.replace(F.col("born"), F.lit("/"), F.lit(".")), F.lit(", call 9876543210"))
+    result = F.struct(F.col("c_name").alias("title"), F.lit(7).alias("n"), F.array(F.struct(heading.alias("heading"), F.array(line).alias("lines"))).alias("parts"), F.create_map(F.lit("k"), F.lit("kept")).alias("notes"))
+    given = rows.select("c_custkey", "c_name", result.alias("result"))
+    made = given.select("c_custkey", sharing.masked_result(F.col("result"), given.schema["result"].dataType, F.array("c_name")).alias("r"))
+    return made.select("c_custkey", F.concat_ws("|", "r.title", F.col("r.n").cast("string"), F.col("r.parts")[0]["heading"], F.col("r.parts")[0]["lines"][0], F.col("r.notes")["k"]).alias("result"))
