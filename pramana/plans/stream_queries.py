@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.saved import SavedResults
 from ..sources.shared import scratch
 from ..sources.tables import table
 from ..streaming import limiter
@@ -70,6 +71,21 @@ def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("owner", "id", "at", "title", F.col("fields")["even"].alias("even"), F.col("fields")["odd"].alias("odd"))
 
 
+@query(
+    """WITH n AS (SELECT CAST(user_id AS VARCHAR) AS owner, CAST(event_id AS VARCHAR) AS id, event_id AS "at", event_type AS title, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events)
+SELECT owner, id, n."at", title, 'newest' AS read_as FROM n WHERE k <= 3 UNION ALL SELECT owner, id, n."at", title, 'one owner' FROM n WHERE owner = '7' AND k <= 20"""
+)
+def newest_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three newest results of each owner, and all of one owner, through the data source of the store."""
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("owner"), F.col("event_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.lit("upsert").alias("op"), F.col("event_type").alias("title"), F.create_map().cast("map<string,string>").alias("fields"))
+    place = scratch(spark, "saved")
+    ResultStore(spark, place, keep=20, buckets=8).apply(changes, 0)
+    spark.dataSource.register(SavedResults)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    saved = lambda **more: spark.read.format("saved_results").options(path=place, buckets=8, **more).load().select("owner", "id", "at", "title")
+    return saved(newest=3).withColumn("read_as", F.lit("newest")).unionByName(saved().where("owner = '7'").withColumn("read_as", F.lit("one owner")))
+
+
 @query(
     """WITH d AS (SELECT date_trunc('day', ts) AS start, event_type, value FROM events), m AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM events)
 SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM d, m WHERE start + INTERVAL 1 DAY <= mark GROUP BY ALL"""

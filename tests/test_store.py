@@ -99,3 +99,27 @@ def test_of_two_writers_none_is_lost(spark, tmp_path):
     store._commit = late
     assert store.apply(row("a"), 0, "mine")
     assert set(state(store)) == {("o", "a"), ("o", "b")} and store.manifest()["version"] == 2
+
+
+def test_the_store_as_a_data_source(spark, tmp_path):
+    from pramana.sources.saved import SavedResults, bucket_of
+
+    store = ResultStore(spark, f"{tmp_path}/s", keep=9, buckets=5)
+    spark.dataSource.register(SavedResults)
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = lambda **more: spark.read.format("saved_results").options(path=f"{tmp_path}/s", buckets=5, **more).load()
+        assert read().count() == 0
+        rows = [(f"ö{o}", f"i{i}", 10 * o + i, "upsert", f"t{i}", {"k": str(i)}) for o in range(12) for i in range(9)]
+        store.apply(spark.createDataFrame(rows, CHANGES), 0)
+        assert {(r["owner"], r["id"]): (r["at"], r["title"], r["fields"]) for r in read().collect()} == state(store)
+        assert all(bucket_of(r["owner"], 5) == r["bucket"] for r in store.read().select("owner", "bucket").distinct().collect())
+        one = read().where("owner = 'ö3' AND id = 'i4'")
+        assert one.rdd.getNumPartitions() == 1 and [r["at"] for r in one.collect()] == [34]
+        newest = read(newest=2).where("owner = 'ö3'")
+        assert newest.rdd.getNumPartitions() == 1 and [r["id"] for r in newest.collect()] == ["i8", "i7"]
+        assert read(newest=2).where("id = 'i8'").count() == 12 and read(newest=2).where("id = 'i4'").count() == 0
+        assert read().where("owner = 'nobody'").count() == 0 and read().where("at > 115").count() == 3
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
