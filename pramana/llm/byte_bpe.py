@@ -7,7 +7,8 @@ at most three leaves (the pair itself, the right part, the left neighbour), each
 a logarithmic update; dead positions hold no pair.
 
 Null and empty texts give no ids. Repeated rows and extra columns are kept as
-they are; a piece of any length costs n log n.
+they are, rows without an id too; a piece of any length costs n log n. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,7 +8,10 @@ slot only if they share its k-mers in the same order, so moving parts around
 lowers the likeness where a plain MinHash would not notice.
 
 A text shorter than a k-mer is one k-mer. A null or empty text has only empty
-slots. Equal texts have equal fingerprints, so their likeness is 1.
+slots. Equal texts have equal fingerprints, so their likeness is 1. Repeated rows
+and rows that share an id follow each other in the order of their texts' hashes;
+rows without an id come first. Texts are taken whole, whatever their length. An
+empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations

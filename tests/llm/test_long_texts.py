@@ -47,6 +47,16 @@ def test_pipeline_takes_long_texts(spark, place):
     assert {r["doc_id"] for r in rows} >= {6, 9} and 1 not in {r["doc_id"] for r in rows}
 
 
+def test_of_several_labels_toxic_counts(spark):
+    from pramana.llm import toxicity_cnn
+
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 3 == 0 else 'good'} words {i} here", "en") for i in range(120)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 3 = 0 AS INT) AS toxic")
+    more = labels.unionByName(labels.selectExpr("doc_id", "0 AS toxic")).unionByName(labels.limit(0).selectExpr("doc_id", "toxic"))
+    scores = [sorted((r["doc_id"], r["score"]) for r in toxicity_cnn.score(docs, toxicity_cnn.fit(docs, x)).collect()) for x in (labels, more, more.repartition(3))]
+    assert scores[0] == scores[1] == scores[2] and len({s for _, s in scores[0]}) > 2
+
+
 def test_secrets_are_cut_by_place_and_row(spark):
     model = secret_forest.train(secret_forest.labelled_findings(spark))
     token, other = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff for the change"
