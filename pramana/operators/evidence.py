@@ -30,7 +30,7 @@ def page_index(pages: DataFrame, unicode_forms: bool = True) -> DataFrame:
     Texts are shuffled once, by document. Written with `write_index`, they are not shuffled at all when items come.
     """
     form = lambda c: evidence_form(c, unicode_forms)
-    each = pages.select("doc_id", "page", "text", form(F.col("text")).alias("form"))
+    each = pages.where("doc_id IS NOT NULL").select("doc_id", "page", "text", form(F.col("text")).alias("form"))  # no item meets a page without a document
     gathered = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text", "form"))).alias("pages"))
     whole = F.array_join(F.transform("pages", lambda p: p["text"]), " ")
     return gathered.select("doc_id", F.transform("pages", lambda p: F.struct(p["page"].alias("page"), p["form"].alias("form"))).alias("pages"), form(whole).alias("whole"))

@@ -130,7 +130,7 @@ rule(
     lambda q, t, a, r, n, c, p: bind(lambda x: F.concat_ws(" ", x["d"]["due"], x["d"]["status"], x["d"]["days"].cast("string")), d=dates.action_day(r, q, t, n, c, p, a, _today())),
     _DEADLINE + f""" SELECT o_orderkey, CASE WHEN rec IS NOT NULL THEN concat_ws(' ', 'recurring', CAST(n AS VARCHAR)) WHEN verdict = 'computed' THEN concat_ws(' ', CAST(due AS VARCHAR), 'calculated', CAST(days AS VARCHAR)) WHEN verdict = 'drop' THEN 'none'
       WHEN coalesce(counts_from, 'letter_date') = 'letter_date' AND day + n IS NOT NULL THEN concat_ws(' ', CAST(CAST(day + n AS DATE) AS VARCHAR), 'calculated', CAST(n AS VARCHAR))
-      ELSE concat_ws(' ', printed, CASE WHEN TRY_CAST(printed AS DATE) IS NULL THEN 'none' WHEN CAST(printed AS DATE) < DATE '{TODAY}' THEN 'passed' ELSE 'upcoming' END, CAST(n AS VARCHAR)) END AS result FROM (SELECT * REPLACE (CASE WHEN printed = 'soon' THEN 'soon' ELSE printed END AS printed) FROM verdicts)""",
+      ELSE concat_ws(' ', printed, CASE WHEN TRY_CAST(printed AS DATE) IS NULL THEN 'none' WHEN CAST(printed AS DATE) < DATE '{TODAY}' THEN 'passed' ELSE 'upcoming' END, CAST(n AS VARCHAR)) END AS result FROM verdicts""",
 )
 rule("letter_dates", "orders", "o_orderkey", {"given_day": f"CASE o_orderkey % 5 WHEN 0 THEN {_ISO} WHEN 1 THEN 'sometime' WHEN 2 THEN '' WHEN 3 THEN {_DMY} END", "pages": f"CASE o_custkey % 3 WHEN 0 THEN 'To you. Date: ' || {_DMY} || ' Re ' || {_K} WHEN 1 THEN 'DATE:  31.02.' || {_YEAR} ELSE 'no day' END"}, dates.letter_date,
      r"CASE WHEN o_orderkey % 5 = 0 THEN given_day WHEN o_orderkey % 5 = 1 THEN given_day WHEN o_orderkey % 5 = 3 THEN strftime(strptime(given_day, '%d/%m/%Y'), '%Y-%m-%d') WHEN contains(pages, 'To you') THEN strftime(strptime(regexp_extract(pages, 'Date: (\S+)', 1), '%d/%m/%Y'), '%Y-%m-%d') END")
@@ -329,7 +329,7 @@ rule(
     """CASE k WHEN 0 THEN kind || '|{"title": "' || name || '", "document_kind": "' || kind || '", "parts": [{"title": "é"}, 7]}' WHEN 1 THEN kind || '|{"doc_type": "' || kind || '", "n": 1.5}' WHEN 2 THEN '|' || name WHEN 3 THEN '|["' || name || '"]' ELSE '|{}' END""",
 )
 
-# Admission, layout and names, once more by rule
+# Uploads, threads, questions, names, spoken texts and kinds
 rule("photo_uploads", "part", "p_partkey", {"a": "p_name || CASE p_size % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.pdf' END", "mime": "CASE p_partkey % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'application/pdf' WHEN 2 THEN '' END", "none": "p_size % 7 = 0"},
      lambda a, m, none: admission.photo_upload(F.when(~none, F.array(F.struct(a.alias("name"), F.lit("").alias("mime")), F.struct(F.lit("b").alias("name"), m.alias("mime"))))),
      r"NOT none AND regexp_matches(lower(a), '\.(jpe?g|png|heic|webp)$') AND coalesce(mime, '') LIKE 'image/%'")

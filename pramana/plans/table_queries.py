@@ -206,6 +206,30 @@ def results_to_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evals.still_to_build(files, ["ta", "en", "hi"], files.where("file % 2 = 0").select("file", F.lit("en").alias("lang")))
 
 
+_WHOLE_RESULT = [
+    "doc_id", "'Title ' || CAST(doc_id AS STRING) AS title", "CASE WHEN doc_id % 2 = 0 THEN lang END AS report_title", "CASE WHEN doc_id % 5 = 0 THEN source END AS unreadable_reason", "substr(text, 1, 9) AS glance_headline", "CASE WHEN doc_id % 4 > 0 THEN substr(text, 5, 9) ELSE '' END AS spoken_summary",
+    "array(substr(text, 1, 20), NULL) AS summary", "array(named_struct('text', 'act', 'deadline_rule', CASE WHEN doc_id % 3 = 0 THEN 'rule' END, 'recurrence', ''), named_struct('text', NULL, 'deadline_rule', '', 'recurrence', lang)) AS actions", "array(lang, NULL) AS warnings", "array(source) AS facts",
+    "CASE WHEN doc_id % 2 = 0 THEN array('c', '') END AS conflicts", "array(lang, source) AS key_labels", "array('') AS places", "array(NULL, 'phone') AS contacts", "array('', lang) AS instructions", "array(named_struct('name', source, 'instruction', ''), named_struct('name', '', 'instruction', lang)) AS form_fields",
+    "array(named_struct('heading', lang, 'labels', array('a', '')), named_struct('heading', '', 'labels', array(source))) AS sections", "array(named_struct('title', source, 'summary_lines', array('l', NULL), 'headings', array('', lang))) AS parts",
+]
+# Keys of that result with their texts in DuckDB, and whether a blank text has a key.
+_WHOLE_KEYS = [
+    ("title", "'Title ' || doc_id", True), ("report_title", "CASE WHEN doc_id % 2 = 0 THEN lang END", False), ("unreadable_reason", "CASE WHEN doc_id % 5 = 0 THEN source END", False), ("glance_headline", "substr(text, 1, 9)", True), ("spoken_summary", "CASE WHEN doc_id % 4 > 0 THEN substr(text, 5, 9) END", False),
+    ("summary_0", "substr(text, 1, 20)", True), ("summary_1", "''", True), ("action_0_text", "'act'", True), ("action_1_text", "''", True), ("action_0_rule", "CASE WHEN doc_id % 3 = 0 THEN 'rule' END", False), ("action_1_recurrence", "lang", False), ("warning_0_text", "lang", True), ("warning_1_text", "''", True),
+    ("fact_0_text", "source", True), ("glance_kv_0_label", "lang", True), ("glance_kv_1_label", "source", True), ("place_0_label", "''", True), ("contact_0_label", "''", True), ("contact_1_label", "'phone'", True), ("med_1_instruction", "lang", False), ("form_0_name", "source", False),
+    ("form_1_instruction", "lang", False), ("section_0_heading", "lang", False), ("section_0_value_0_label", "'a'", False), ("section_1_value_0_label", "source", False), ("part_0_title", "source", False), ("part_0_summary_0", "'l'", True), ("part_0_summary_1", "''", True), ("part_0_section_1", "lang", False),
+]
+
+
+@query(
+    "SELECT * FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{key}' AS key, coalesce({value}, '') AS value FROM documents" + ("" if always else f" WHERE coalesce({value}, '') <> ''") for key, value, always in _WHOLE_KEYS)
+    + " UNION ALL SELECT doc_id, unnest(['conflict_0', 'conflict_1']), unnest(['c', '']) FROM documents WHERE doc_id % 2 = 0)"
+)
+def all_translatable_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results that have every kind of text, some of them blank: every key there is."""
+    return guards.all_keyed_strings(table(spark, sf_dir, "documents").selectExpr(*_WHOLE_RESULT))
+
+
 _RESULT = "doc_id, 'Title ' || CAST(doc_id AS STRING) AS title, CASE WHEN doc_id % 2 = 0 THEN 'R' END AS report_title, array(substr(text, 1, 20), 'two') AS summary, array(named_struct('text', 'act', 'deadline_rule', CASE WHEN doc_id % 3 = 0 THEN 'rule' END)) AS actions, array(named_struct('title', '', 'summary_lines', array('l'), 'headings', array('h', '')) ) AS parts"
 
 
