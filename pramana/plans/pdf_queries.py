@@ -34,7 +34,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(F.col("text"), PAGE * (p - 1) + 1, F.lit(PAGE)))).otherwise(F.array().cast("array<string>"))
     style = F.when(F.col("text").rlike(r"[^\x00-\x7E\xA0-\xFF]"), 2).otherwise(F.pmod("doc_id", F.lit(5)).cast("int"))
     word = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("top"), "doc_id"))
-    made = docs.select("doc_id", _file(pages, style, word).alias("content"))
+    made = docs.select("doc_id", style.alias("style"), word.alias("word"), pages.alias("pages")).repartition(spark.sparkContext.defaultParallelism, "doc_id")  # files are dealt out as in a folder
+    made = made.select("doc_id", _file(F.col("pages"), F.col("style"), F.col("word")).alias("content"))
     cut = F.when(F.expr(_BROKEN), F.substring("content", F.lit(1), F.floor(F.length("content") * 0.6).cast("int"))).otherwise(F.col("content"))
     given = F.when(F.col("doc_id") % 20 == 4, F.concat(F.lit("top"), "doc_id")).when(F.col("doc_id") % 2 == 0, "wrong")
     return made.select("doc_id", F.col("doc_id").cast("string").alias("path"), cut.alias("content"), given.alias("password"))

@@ -326,6 +326,25 @@ def unicode_map(stream: bytes) -> tuple[dict[int, str], int]:
         stack = []
 
 
+class _Characters(dict):
+    """Characters by code, for str.translate; a code without one shows as unknown."""
+
+    def __missing__(self, code: int) -> str:
+        return "�"
+
+
+_NO_SURROGATES = bytes(i for i in range(256) if not 0xD8 <= i <= 0xDF)
+
+
+def characters(item: bytes, codes: _Characters, width: int) -> str:
+    """The characters of a shown string, whose codes have `width` bytes."""
+    if width == 1:
+        return item.decode("latin-1").translate(codes)
+    if width == 2 and len(item) % 2 == 0 and not item[::2].translate(None, _NO_SURROGATES):
+        return item.decode("utf-16-be").translate(codes)
+    return "".join(codes[int.from_bytes(item[i : i + width], "big")] for i in range(0, len(item), width))
+
+
 #: Thousandths of an em that a show operator moves to the right at least to leave a blank.
 GAP = 180
 
@@ -333,10 +352,12 @@ GAP = 180
 def shown_text(content: bytes, fonts: dict[str, tuple[dict[int, str], int]]) -> str:
     """What the text operators of a page show: a line for each new line position, a blank for a gap."""
     out: list[str] = []
-    codes, width, at, stack, height = {}, 1, 0, [], None
+    known = {name: (_Characters(codes), width) for name, (codes, width) in fonts.items()}
+    usual = (_Characters(enumerate(bytes([i]).decode("cp1252", "replace") for i in range(256))), 1)
+    (codes, width), at, stack, height = (_Characters(), 1), 0, [], None
 
     def show(item: bytes) -> None:
-        out.append("".join(codes.get(int.from_bytes(item[i : i + width], "big"), "�") for i in range(0, len(item), width)))
+        out.append(characters(item, codes, width))
 
     def line() -> None:
         out.append("\n")
@@ -353,7 +374,7 @@ def shown_text(content: bytes, fonts: dict[str, tuple[dict[int, str], int]]) ->
         if item == "":
             return "".join(out).strip("\n")
         if item == "Tf" and len(stack) > 1:
-            codes, width = fonts.get(str(stack[-2]), ({i: bytes([i]).decode("cp1252", "replace") for i in range(256)}, 1))
+            codes, width = known.get(str(stack[-2]), usual)
         elif item == "Tj" and stack and isinstance(stack[-1], bytes):
             show(stack[-1])
         elif item in ("'", '"') and stack:
