@@ -195,7 +195,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel, key: str = "do
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with every accepted finding in its text replaced by MASK, at its own place only; all rows and columns stay.
+    """`docs` with every accepted finding in its text replaced by MASK at its place, and so are findings of the same text with the same value; all rows and columns stay.
 
     What is found depends on the text alone, so a row is told by two hashes of its text,
     not by its key: rows that share a key, or have none, do not meet. Only the numbers of
@@ -207,7 +207,10 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, key: str = "
     secrets = scan(named, model, "of", "text").where("is_secret").groupBy(F.col("of").alias(name)).agg(F.collect_set("finding").alias(hidden))
     joined = docs.withColumn(unused(docs, "of")[0], of)
     joined = joined.join(secrets, joined[unused(docs, "of")[0]] == secrets[name], "left")
-    value = lambda x, i: F.when(F.array_contains(F.col(hidden), i), MASK).otherwise(x)
-    pieces = F.zip_with(_rest(F.col(text)), F.transform(_found(F.col(text)), value), lambda r, f: F.concat(r, F.coalesce(f, F.lit(""))))
+    accepted = lambda found: F.filter(found, lambda x, i: F.array_contains(F.col(hidden), i))
+    once = lambda value, make: F.get(F.transform(F.array(value), make), 0)
+    both = once(_found(F.col(text)), lambda found: F.struct(found.alias("all"), accepted(found).alias("accepted")))
+    shown = once(both, lambda b: F.transform(b["all"], lambda x: F.when(F.array_contains(b["accepted"], x), MASK).otherwise(x)))
+    pieces = F.zip_with(_rest(F.col(text)), shown, lambda r, f: F.concat(r, F.coalesce(f, F.lit(""))))
     clean = F.when(F.col(hidden).isNull(), F.col(text)).otherwise(F.array_join(pieces, ""))
     return joined.withColumn(text, clean).select(*docs.columns)
