@@ -16,9 +16,9 @@ def newest(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataF
     return rows.withColumn("__n", place).where(F.col("__n") <= n).drop("__n")
 
 
-def within_bytes(rows: DataFrame, by: list[str], order: list[Column], size: str, most: float) -> DataFrame:
-    """The newest rows of each group as long as their sizes add up to at most `most`; a row larger than that is left out by itself."""
-    rows = rows.where(F.col(size) <= most)
+def within_bytes(rows: DataFrame, by: list[str], order: list[Column], size: str, most: float, pass_over: bool = True) -> DataFrame:
+    """The newest rows of each group as long as their sizes add up to at most `most`; a row larger than that is left out by itself, or (pass_over=False) ends its group's list."""
+    rows = rows.where(F.col(size) <= most) if pass_over else rows
     total = F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__s", total).where(F.col("__s") <= most).drop("__s")
 

@@ -215,6 +215,12 @@ def test_oversize_rows_are_left_out(spark):
     assert [r["t"] for r in feed.within_bytes(rows, ["k"], [F.col("t").desc()], "b", 10).orderBy("t").collect()] == [1, 2]
 
 
+def test_oversize_rows_end_the_list(spark):
+    rows = spark.createDataFrame([("a", 3, 4), ("a", 2, 50), ("a", 1, 5), ("b", 1, 3), ("b", 0, None)], "k string, t int, b int")
+    kept = feed.within_bytes(rows, ["k"], [F.col("t").desc()], "b", 10, pass_over=False)
+    assert sorted((r["k"], r["t"]) for r in kept.collect()) == [("a", 3), ("b", 0), ("b", 1)]
+
+
 def test_part_of_any_range(spark):
     pages = spark.createDataFrame([(1, p) for p in (1, 2, 3)], "doc_id long, page int")
     parts = spark.createDataFrame([(1, 0, 2, 2**31 - 1), (1, 1, 1, 1)], "doc_id long, pos int, first int, last int")
