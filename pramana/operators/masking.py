@@ -48,7 +48,7 @@ PATTERNS = [
     ("email", r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9.-]+\.[A-Za-z]{2,})?", 0),  # a run of address characters is walked once; it counts with an address behind it
     ("phone", r"(?a)(?:\+\d{1,2}[\s-]?)?(?:\(\d{3}\)|\d{3,5})[\s-]\d{3}[\s-]\d{4}", 0),
     ("id", r"(?a)\b[A-Z]{2,5}-\d{4}-\d{4,}\b|\b[A-Z]{5}\d{4}[A-Z]\b|\b\d{16}\b", 0),
-    ("phone", rf"(?a)(?:\+91[\s-]?)?[6-9]\d{{4}}[\s-]?\d{{5}}\b|\b0\d{{2,4}}[\s-]?\d{{3,4}}[\s-]?\d{{4}}\b|\b\d{{5}}\s*\d{{5}}\b|(?<![{_NATIVE}])[{_NATIVE}]{{10}}(?![{_NATIVE}])", 0),
+    ("mobile", rf"(?a)(?:\+91[\s-]?)?[6-9]\d{{4}}[\s-]?\d{{5}}\b|\b0\d{{2,4}}[\s-]?\d{{3,4}}[\s-]?\d{{4}}\b|\b\d{{5}}\s*\d{{5}}\b|(?<![{_NATIVE}])[{_NATIVE}]{{10}}(?![{_NATIVE}])", 0),
     ("id", r"(?ai)\b[A-Z]{2}\s*\d{1,2}\s*[A-Z]{1,2}\s*\d{4}\b", 0),
     ("case", r"(?ai)\bO\.?S\.?\s*(?:No\.?)?\s*\d+\s*/\s*\d{4}\b", 0),
     ("age", r"(?ai)\b\d{2}\s*(?:Y\s*)?/\s*[MF]\b", 0),
@@ -68,6 +68,7 @@ _INDIC, _DIGITS = re.compile(r"[\u0900-\u0D7F]"), re.compile(rf"[0-9]{{4}}|[{_NA
 _MAY = {
     "email": lambda t, low, other, digits: "@" in t,
     "phone": lambda t, low, other, digits: digits,
+    "mobile": lambda t, low, other, digits: digits,  # a phone, unless it ends a key
     "id": lambda t, low, other, digits: digits,
     "case": lambda t, low, other, digits: digits and "/" in t,
     "age": lambda t, low, other, digits: "/" in t,
@@ -129,6 +130,15 @@ def _name(kind: str, text: str, start: int, end: int) -> tuple[int, int]:
     return (a, a) if b - a < 2 or any(x in text[a:b].lower() for x in INSTITUTIONS) else (a, b)
 
 
+def _within_key(text: str, start: int) -> bool:
+    """Whether what starts there is the end of a key of letters and digits, or of a number that is too long for a phone."""
+    at = start
+    while at and text[at - 1].isascii() and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    before = text[at:start]
+    return any(c.isdigit() for c in before) and (len(before) > 5 or not before.isdigit())
+
+
 def spans_in(text: str, births: set[int] | None = None) -> list[tuple[int, str, str]]:
     """Accepted spans (start, text, kind), in order of start. births: keys of birth dates known from other texts."""
     low, other, digits = text.lower(), _INDIC.search(text) is not None, _DIGITS.search(text) is not None
@@ -140,13 +150,13 @@ def spans_in(text: str, births: set[int] | None = None) -> list[tuple[int, str,
             if kind == "email" and not m[1]:
                 continue
             a, b = _name(kind, text, *m.span(group)) if kind in NAMES else m.span(group)
-            if a == b or (kind == "date" and date_key(m[0]) not in keys):
+            if a == b or (kind == "date" and date_key(m[0]) not in keys) or (kind == "mobile" and _within_key(text, a)):
                 continue
             at = bisect_right(taken, (a, a))
             if (at and taken[at - 1][1] > a) or (at < len(taken) and taken[at][0] < b):
                 continue
             taken.insert(at, (a, b))
-            kinds[a] = "name" if kind in NAMES else "birth" if kind == "date" else kind
+            kinds[a] = "name" if kind in NAMES else {"date": "birth", "mobile": "phone"}.get(kind, kind)
     return [(a, text[a:b], kinds[a]) for a, b in taken]
 
 

@@ -221,6 +221,14 @@ def test_oversize_rows_end_the_list(spark):
     assert sorted((r["k"], r["t"]) for r in kept.collect()) == [("a", 3), ("b", 0), ("b", 1)]
 
 
+@pytest.mark.parametrize(
+    ("given", "phones"),
+    [('token = "be8a8e7152a5c568b612dc7f4042dd9566113270"', []), ("password=0198f9bf6994701899 x", []), ("no 123456789566113270", []), ("919566113270", ["9566113270"]), ("Tel9566113270", ["9566113270"]), ("x+91 95661 13270", ["+91 95661 13270"]), ("a1-9566113270", ["9566113270"]), ("a1 98765 43210", ["98765 43210"])],
+)
+def test_phones_are_not_the_ends_of_keys(given, phones):
+    assert [x for _, x, kind in masking.spans_in(given) if kind == "phone"] == phones
+
+
 def test_part_of_any_range(spark):
     pages = spark.createDataFrame([(1, p) for p in (1, 2, 3)], "doc_id long, page int")
     parts = spark.createDataFrame([(1, 0, 2, 2**31 - 1), (1, 1, 1, 1)], "doc_id long, pos int, first int, last int")
