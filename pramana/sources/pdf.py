@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .pdf_syntax import File, Ref, font_codes, shown_text, unicode_map
-from .shared import written
+from .shared import bounded_batches, written
 
 OBJECTS = "path string, number int, kind string, kids array<int>, contents array<int>, fonts map<string,int>, codes map<int,string>, characters int, stream binary"
 _ARROW = pa.schema(
@@ -34,8 +34,8 @@ def _refs(item: object) -> list[int]:
     return [x.number for x in (item if isinstance(item, list) else [item]) if isinstance(x, Ref)]
 
 
-def _rows(path: str, content: bytes, password: str | None) -> list[dict]:
-    """The objects of a file that its pages need."""
+def _rows(path: str, content: bytes, password: str | None, whole: bool = True) -> list[dict]:
+    """The objects of a file that its pages need; its tree alone, if not `whole`."""
     file = File(content)
     if file.state(password).startswith("password"):
         return [{"path": path, "number": 0, "kind": "locked"}]
@@ -49,7 +49,7 @@ def _rows(path: str, content: bytes, password: str | None) -> list[dict]:
         if not isinstance(item, dict) or not (item.get("Type") in ("Pages", "Page") or "Kids" in item):
             continue
         row = {"path": path, "number": number, "kind": "Pages" if "Kids" in item else "Page"}
-        resources = file.get(item.get("Resources"))
+        resources = file.get(item.get("Resources")) if whole else None
         if isinstance(resources, dict):
             named = file.get(resources.get("Font")) or {}
             row["fonts"] = {}
@@ -64,7 +64,7 @@ def _rows(path: str, content: bytes, password: str | None) -> list[dict]:
         else:
             contents = item.get("Contents")
             row["contents"] = _refs(file.get(contents)) if isinstance(file.get(contents), list) else _refs(contents)
-            streams |= set(row["contents"])
+            streams |= set(row["contents"]) if whole else set()
         rows.append(row)
     for number, font in fonts.items():
         if isinstance(font, dict):
@@ -79,20 +79,20 @@ def _rows(path: str, content: bytes, password: str | None) -> list[dict]:
     return rows
 
 
-def objects(files: DataFrame, password: Column | None = None) -> DataFrame:
-    """Rows of OBJECTS for files (path, content); a file that can't be read has one row, of kind broken or locked."""
+def objects(files: DataFrame, password: Column | None = None, whole: bool = True) -> DataFrame:
+    """Rows of OBJECTS for files (path, content); a file that can't be read has one row, of kind broken or locked. Not `whole`: without streams and fonts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content, word in zip(*(c for c in batch.columns), strict=True):
                 try:
-                    rows = _rows(path.as_py(), content.as_py() or b"", word.as_py())
+                    rows = _rows(path.as_py(), content.as_py() or b"", word.as_py(), whole)
                 except Exception:  # whatever is wrong with a file, it has no pages
                     rows = [{"path": path.as_py(), "number": 0, "kind": "broken"}]
                 yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     word = F.lit(None).cast("string") if password is None else password.cast("string")
-    return files.select("path", "content", word.alias("password")).mapInArrow(run, OBJECTS)
+    return bounded_batches(files).select("path", "content", word.alias("password")).mapInArrow(run, OBJECTS)
 
 
 def leaves(found: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def leaves(found: DataFrame) -> DataFrame:
 
 def page_counts(files: DataFrame, password: Column | None = None) -> DataFrame:
     """path and the number of its pages; 1 for a file that can't be read."""
-    found = written(objects(files, password), "pdf-objects")
+    found = written(objects(files, password, whole=False), "pdf-objects")
     counted = leaves(found).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n"))
     unread = F.max(F.col("kind").isin("broken", "locked"))
     return found.groupBy("path").agg(unread.alias("unread")).join(counted, "path", "left").select("path", F.when(F.col("unread"), 1).otherwise(F.coalesce("n", F.lit(0))).alias("pages"))

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from pramana.sources import pdf, tables
+from pramana.sources import pdf, pdf_syntax, tables
 from pramana.sources.pdf_syntax import File, Ref, decoded, rc4, shown_text, unicode_map, value_at
 from pramana.sources.pdf_writer import MAPPED, NESTED, PACKED, PLAIN, PROTECTED, pdf_of
 
@@ -104,3 +104,18 @@ def test_lengths_by_reference_and_wrong_ones():
     for length in (b"9 0 R", b"99999", b"1"):
         data = built({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Kids [] >>", 4: b"<< /Length %s >>\nstream\n%s\nendstream" % (length, body), 9: b"%d" % len(body)})
         assert File(data).stream(4).strip() == body
+
+
+def test_a_tree_without_its_streams():
+    content = pdf_of(["one", "two"], PROTECTED, "secret")
+    kinds = lambda whole: sorted(r["kind"] for r in pdf._rows("a", content, "secret", whole))
+    assert kinds(False) == ["Page", "Page", "Pages", "root"] and kinds(True) == ["Font", "Page", "Page", "Pages", "root", "stream", "stream"]
+
+
+def test_keystreams_of_a_password_are_made_once():
+    content = pdf_of(["one"], PROTECTED, "secret")
+    pdf_syntax._short_keystream.cache_clear()
+    assert pdf_syntax.File(content).state("wrong") == "password_wrong"
+    before = pdf_syntax._short_keystream.cache_info()
+    assert pdf_syntax.File(content).state("wrong") == "password_wrong"
+    assert pdf_syntax._short_keystream.cache_info().misses == before.misses
