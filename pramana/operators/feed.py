@@ -103,10 +103,10 @@ def upload_kind(content: Column, mime: Column) -> Column:
     return F.when(F.length(content) == 0, "empty").when(fits, "ok").otherwise("bad_magic")
 
 
-def opened_upload_kind(content: Column, mime: Column) -> Column:
-    """As upload_kind, and pdf_unopenable for a PDF without a page tree; a protected file counts as ok."""
+def opened_upload_kind(content: Column, mime: Column, state: Column | None = None) -> Column:
+    """As upload_kind, and pdf_unopenable for a PDF without a page tree; a protected file counts as ok. state: of file_state, where it is known."""
     kind = upload_kind(content, mime)
-    return F.when((kind == "ok") & (mime == "application/pdf") & (file_state(content) == "unreadable"), "pdf_unopenable").otherwise(kind)
+    return F.when((kind == "ok") & (mime == "application/pdf") & ((file_state(content) if state is None else state) == "unreadable"), "pdf_unopenable").otherwise(kind)
 
 
 def source_kind(pages: DataFrame, has_pdf: Column) -> DataFrame:

@@ -119,3 +119,10 @@ def test_keystreams_of_a_password_are_made_once():
     before = pdf_syntax._short_keystream.cache_info()
     assert pdf_syntax.File(content).state("wrong") == "password_wrong"
     assert pdf_syntax._short_keystream.cache_info().misses == before.misses
+
+
+def test_files_go_to_python_a_few_at_a_time(spark):
+    from pramana.plans import pdf_queries
+
+    pdf_queries.files(spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
