@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import dates, languages, names, speech
 from ..functions.text import bind, evidence_form
 from ..operators import admission, answers, blocks, calendar, decoders, dues, evidence, guards, masking, overview, privacy, results, sharing, stores
-from ..sources.tables import AMOUNT_TEXT, LETTER, WHOLE, table
+from ..sources.tables import AMOUNT_TEXT, LETTER, WHOLE, spread, table
 from .registry import query
 from .text_queries import EVIDENCE
 
@@ -34,7 +34,7 @@ def rule(name: str, source: str, key: str, fields: dict[str, str], make: Callabl
     given, keys = [f"{expression} AS {field}" for field, expression in fields.items()], key.split(", ")
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        asked = table(spark, sf_dir, source).selectExpr(*keys, *given)
+        asked = spread(table(spark, sf_dir, source).selectExpr(*keys, *given), keys[0])
         return asked.select(*keys, make(*(F.col(f) for f in fields)).cast("string").alias("result"))
 
     run.__name__, run.__doc__ = name, f"The rule of {name} over values of {source}."
@@ -220,7 +220,7 @@ SELECT c_custkey, CASE WHEN closed THEN 'Some details were removed to protect pr
 )
 def redacted_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results with a birth date that other lines repeat, and a customer's name; every third without its names told apart."""
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_BORN_SPARK} AS born", "c_name", "c_custkey % 3 = 0 AS closed")
+    rows = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", f"{_BORN_SPARK} AS born", "c_name", "c_custkey % 3 = 0 AS closed"), "c_custkey")
     summary, action = F.concat(F.lit("bill; born "), "born"), F.concat(F.lit("Pay Rs. 500 to "), "c_name")
     fact = F.concat(F.lit("on "), F.replace(F.col("born"), F.lit("/"), F.lit(".")), F.lit(" and 15/05/1980"))
     made = sharing.redacted(F.array(summary), F.array(action), F.array(fact), F.array("c_name"), F.col("closed"), F.lit("en"))
@@ -463,7 +463,7 @@ SELECT c_custkey, stars || '|7|' || CASE WHEN told THEN 'DOB: [hidden]' ELSE 'no
 )
 def masked_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested results: a birth date that a heading states is hidden in other lines too, also in another form."""
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", f"{_BORN_SPARK} AS born")
+    rows = spread(table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", f"{_BORN_SPARK} AS born"), "c_custkey")
     heading = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("DOB: "), "born")).otherwise("no date")
     line = F.concat(F.lit("on "), F.replace(F.col("born"), F.lit("/"), F.lit(".")), F.lit(", call 9876543210"))
     result = F.struct(F.col("c_name").alias("title"), F.lit(7).alias("n"), F.array(F.struct(heading.alias("heading"), F.array(line).alias("lines"))).alias("parts"), F.create_map(F.lit("k"), F.lit("kept")).alias("notes"))

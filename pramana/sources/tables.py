@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tasks for a core, where rows are dealt out.
+SPREAD = 4
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` dealt out to all cores by a key: the file of a narrow table is few tasks, however many rows it has, and work on a row may be slow."""
+    return rows.repartition(SPREAD * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """PDF, JPEG and PNG files below a folder: path, length and content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
