@@ -101,7 +101,7 @@ def glance(value: Column, kind: Column, text: Column, unicode_forms: bool = True
 def glance_in(form: Column, value: Column, kind: Column, text_form: Column, tokens: Column) -> Column:
     """The same for a text whose form and tokens are known."""
     digits = F.regexp_replace(guard_form(value), r"\D", "")
-    amount = (kind == "amount") & (digits != "") & F.exists(tokens, lambda t: F.regexp_replace(guard_form(t), r"\D", "") == digits)
+    amount = (kind == "amount") & bind(lambda x: (x["digits"] != "") & F.exists(tokens, lambda t: F.regexp_replace(guard_form(t), r"\D", "") == x["digits"]), digits=digits)
     day = (kind == "date") & (form != "") & F.exists(tokens, lambda t: F.contains(evidence_form(t, False), form))
     fine = ((form != "") & F.contains(text_form, form)) | amount | day
     return F.when(F.coalesce(fine, F.lit(False)), "matched").otherwise("check_original")

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import critical_tokens as tokens_of
 from ..operators import decoders, evidence, guards
 from ..sources.shared import scratch
-from ..sources.tables import FREQUENCY, KIND, LAB_FLAG, LAB_RANGE, LAB_VALUE, LETTER, TITLE, TRANSLATED, table
+from ..sources.tables import FREQUENCY, KIND, LAB_FLAG, LAB_RANGE, LAB_VALUE, LETTER, TITLE, TRANSLATED, spread, table
 from .registry import SQL, query
 
 
+#: Tasks for a partition of the lines of packets.
+PACKET_PARTS = 24
+
+
 def _letters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Pages (three of each customer's letters a page) and quoted items: own, cut, foreign, blank and with another amount."""
-    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "CAST(o_orderkey % 3 + 1 AS INT) AS page", f"{LETTER} AS letter", "o_orderkey", "o_custkey")
+    orders = spread(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice"), "o_custkey")  # pages and items meet by customer
+    orders = orders.selectExpr("o_custkey AS doc_id", "CAST(o_orderkey % 3 + 1 AS INT) AS page", f"{LETTER} AS letter", "o_orderkey", "o_custkey")
     pages = orders.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "letter"))), lambda x: x["letter"]), "\n").alias("text"))
     items = orders.selectExpr(
         "doc_id",
@@ -95,6 +100,7 @@ FROM (SELECT DISTINCT l_orderkey FROM lineitem) l, (SELECT CAST(unnest(range(1,
 def page_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which part of a packet owns each page: ranges may overlap, the first one wins."""
     lines = table(spark, sf_dir, "lineitem")
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity").repartition(PACKET_PARTS * lines.rdd.getNumPartitions(), "l_orderkey")  # ranges are opened into pages: a task stays small
     parts = lines.selectExpr("l_orderkey AS doc_id", "l_linenumber AS pos", "l_linenumber * 2 AS first", "CAST(l_linenumber * 2 + l_quantity % 5 AS INT) - 1 AS last")
     pages = lines.select(F.col("l_orderkey").alias("doc_id")).distinct().withColumn("page", F.explode(F.sequence(F.lit(1), F.lit(10))))
     return evidence.owning_part(pages, parts)

@@ -11,3 +11,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", ["glance_evidence", "masked_results", "name_renderings", "redacted_results"])
 def test_rows_are_dealt_out(spark, name):
     assert plans.QUERIES[name](spark, DATA).rdd.getNumPartitions() == SPREAD * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.parametrize("name", ["evidence_labels", "page_owners"])
+def test_rows_are_dealt_out_before_they_grow(spark, name):
+    assert "REPARTITION_BY_NUM" in plans.QUERIES[name](spark, DATA)._jdf.queryExecution().toString()
