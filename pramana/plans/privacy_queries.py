@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import masking, privacy
 from ..operators.terms import occurrences
-from ..sources.tables import table
+from ..sources.shared import bounded_batches
+from ..sources.tables import spread, table
 from .registry import query
 from .text_queries import EMAIL
 
@@ -68,7 +69,7 @@ def _planted(k: Column) -> Column:
 )
 def leaks_after_masking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets planted in every text, and long numbers and addresses found by other patterns: how many there are, and how many still stand in the masked text (none may)."""
-    docs = table(spark, sf_dir, "documents").withColumn("planted", _planted(F.col("doc_id")))
+    docs = spread(bounded_batches(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id").withColumn("planted", _planted(F.col("doc_id")))
     text = F.concat_ws(" ", "text", F.expr(f"concat({', '.join(_SENTENCE)})"))
     secrets = F.concat("planted", *(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(p), F.lit(0)) for p in (EMAIL, r"\b\d{16}\b")))
     rows = docs.select("doc_id", secrets.alias("secrets"), masking.masked(text).alias("shared"))

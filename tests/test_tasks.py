@@ -8,7 +8,7 @@ from pramana.sources.tables import SPREAD
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["glance_evidence", "masked_results", "name_renderings", "redacted_results"])
+@pytest.mark.parametrize("name", ["glance_evidence", "leaks_after_masking", "masked_results", "name_renderings", "redacted_results"])
 def test_rows_are_dealt_out(spark, name):
     assert plans.QUERIES[name](spark, DATA).rdd.getNumPartitions() == SPREAD * spark.sparkContext.defaultParallelism
 
