@@ -189,6 +189,37 @@ def test_token_files_round_trip():
         token_codec.decode_file(bytes(broken))
 
 
+def test_token_blocks_are_coded_side_by_side(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = np.zeros(1 << 20, np.int64)
+    for lane in np.split(ids, 64):  # each id is one of eight that may follow the one before
+        steps = rng.integers(0, 8, len(lane))
+        for i in range(1, len(lane)):
+            lane[i] = (lane[i - 1] * 37 + steps[i] * 11) % 1000
+    calls, step = [], token_codec._Coder.step
+    monkeypatch.setattr(token_codec._Coder, "step", lambda *args: (calls.append(1), step(*args))[1])
+    data = token_codec.encode_file(np.array([1]), np.array([len(ids)]), ids, 0)
+    assert (token_codec.decode_file(data)[2] == ids).all()
+    assert len(calls) <= len(ids) // 1000  # a call of numpy serves thousands of ids, writing and reading
+    counts = np.bincount(ids) / len(ids)
+    assert 8 * len(data) / len(ids) < 0.8 * -(counts * np.log2(counts)).sum()  # contexts tell more than order 0 does
+    for block, given in ((1000, ids[:4001]), (4096, np.r_[ids[:9000], [1 << 30, (1 << 32) - 1, 0]]), (1, ids[:3])):
+        monkeypatch.setattr(token_codec, "BLOCK", block)
+        data = token_codec.encode_file(np.array([1, 2]), np.array([3, len(given) - 3]), given, 0)
+        assert (token_codec.decode_file(data)[2] == given).all()
+
+
+def test_token_words_and_parts_against_the_library(monkeypatch):
+    tokenizer, rng = Tokenizer.from_file(WORDS), np.random.default_rng(4)
+    monkeypatch.setattr(token_codec, "MEMO_WORDS", 50)  # full again and again
+    chars = list("abcXYZ'sS't'TlLrReEdDmMvV09 \t\n\r\x0b\x0c.,-_<>|¡«»¿ÀÖßéèÿĀįıňŊžŸĲ\u0130\u0149\u0301²½µª\x1c\x85\u200dकई１")
+    texts = ["".join(rng.choice(chars, rng.integers(0, 30))) for _ in range(3000)] + [f"x{chr(c)}y {chr(c)}{chr(c)}Z{chr(c)}'s" for c in range(1, 0x500)]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        for text, found in zip(part, token_codec.encode_texts(part, WORDS), strict=True):
+            assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_query(spark, tiny):
     tokenizer = Tokenizer.from_file(WORDS)
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
