@@ -105,3 +105,32 @@ def test_index_in_buckets_leaves_texts_where_they_are(spark, tmp_path):
     assert labels == {(1, 0): m, (1, 1): m, (1, 2): c, (1, 3): m, (1, 4): c, (1, 5): "calculated", (3, 0): c, (None, 0): c, (2, 0): m}
     assert {(r["doc_id"], r["pos"]): r["evidence"] for r in evidence.verify(items, pages).collect()} == labels
     spark.sql("DROP TABLE page_index_of_tests")
+
+
+@pytest.mark.parametrize("by_timers", [False, True])
+def test_callers_share_entries_of_the_state(spark, tmp_path, by_timers):
+    schema = "endpoint string, ip long, id long, t double"
+    big = 1 << 60  # no float holds these ids
+    callers = [(e, ip) for e in ("e", "f", None) for ip in (*range(40), None, big + 1, big + 2)]
+    rows = [(e, ip, None if n == 3 and ip == 5 else big + 100 * i + n, 1000.0 + 400.0 * batch + 9.0 * n + i % 7) for batch in (0, 1) for i, (e, ip) in enumerate(callers) for n in range(6)]
+    for batch in (0, 1):
+        spark.createDataFrame([r for r in rows if (r[3] >= 1300) == bool(batch)], schema).orderBy(F.desc("t")).coalesce(1).write.parquet(f"{tmp_path}/in/{batch}")
+    calls = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.timestamp_seconds("t"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS if by_timers else before)
+    try:
+        judged = limiter.limit_calls(calls, 2, 25, "ts", "1 hour", buckets=4) if by_timers else limiter.limit_stream(calls, 2, 25, "ts", "1 hour", buckets=4)
+        assert judged.columns == ["endpoint", "ip", "id", "t", "allowed"]
+        judged.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        state = spark.read.format("statestore").option("path", f"{tmp_path}/c")
+        state = state.option("stateVarName", "kept").load() if by_timers else state.load()
+        assert 0 < state.select("key").distinct().count() <= 4  # one for each of 129 callers before
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    wanted, held = [], {}
+    for e, ip, i, t in sorted(rows, key=lambda r: (r[3], r[2] is not None, r[2] or 0)):
+        kept = held[e, ip] = [x for x in held.get((e, ip), []) if t - x < 25]
+        wanted.append((e, ip, i, t, len(kept) < 2))
+        if len(kept) < 2:
+            kept.append(t)
+    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect()), key=str) == sorted(wanted, key=str)
