@@ -39,13 +39,13 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 @query(SQL[rate_limits.__name__])
 def rate_limits_by_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The limiter with list state in RocksDB, cleared by timers of event time."""
+    """The limiter with list state of buckets of callers in RocksDB, cleared by timers of event time."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     events = _events(spark, sf_dir)
     calls = events.select(F.col("event_type").alias("endpoint"), F.col("user_id").alias("ip"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("t"), "ts")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     try:
-        return _finished(spark, limiter.limit_calls(calls, 2, 86400, "ts")).select("endpoint", "ip", "id", "allowed")
+        return _finished(spark, limiter.limit_calls(calls, 2, 86400, "ts", buckets=limiter.BUCKETS)).select("endpoint", "ip", "id", "allowed")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
