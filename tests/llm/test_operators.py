@@ -214,6 +214,7 @@ def test_token_words_and_parts_against_the_library(monkeypatch):
     monkeypatch.setattr(token_codec, "MEMO_WORDS", 50)  # full again and again
     chars = list("abcXYZ'sS't'TlLrReEdDmMvV09 \t\n\r\x0b\x0c.,-_<>|¡«»¿ÀÖßéèÿĀįıňŊžŸĲ\u0130\u0149\u0301²½µª\x1c\x85\u200dकई１")
     texts = ["".join(rng.choice(chars, rng.integers(0, 30))) for _ in range(3000)] + [f"x{chr(c)}y {chr(c)}{chr(c)}Z{chr(c)}'s" for c in range(1, 0x500)]
+    texts += ["".join(rng.choice(list("aBé,. \n"), rng.integers(0, 12))) for _ in range(1000)]  # prose and all but prose
     for at in range(0, len(texts), 100):
         part = texts[at : at + 100]
         for text, found in zip(part, token_codec.encode_texts(part, WORDS), strict=True):
