@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import public_tokenizers as P
@@ -221,6 +222,33 @@ def test_token_words_and_parts_against_the_library(monkeypatch):
             assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_parts_are_looked_up_once_a_batch(monkeypatch):
+    looked = []
+
+    class Counted(dict):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+        def get(self, word):
+            looked.append(word)
+            return super().get(word)
+
+    tokenizer, texts = Tokenizer.from_file(WORDS), ["The house, Été 7. it's the cat's " * 200, "", "the Cat's house. " * 300]
+    made = tuple(Counted() if isinstance(x, dict) else x for x in token_codec._tokenizer(WORDS))
+    monkeypatch.setattr(token_codec, "_tokenizer", lambda path: made)
+    for text, found in zip(texts, token_codec.encode_texts(texts, WORDS), strict=True):
+        assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert 0 < len(looked) <= 2 * 9  # nine different parts, some 4,000 in all
+
+
+def test_token_apostrophes_against_the_library():
+    tokenizer = Tokenizer.from_file(WORDS)
+    texts = ["".join(x) for n in range(5) for x in product("'sLé1\" ", repeat=n)] + ["".join(x) for n in range(5) for x in product("'rve", repeat=n)]
+    for text, found in zip(texts, token_codec.encode_texts(texts, WORDS), strict=True):
+        assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_token_query(spark, tiny):
     tokenizer = Tokenizer.from_file(WORDS)
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").collect()
