@@ -95,6 +95,11 @@ def objects(files: DataFrame, password: Column | None = None, whole: bool = True
     return bounded_batches(files).select("path", "content", word.alias("password")).mapInArrow(run, OBJECTS)
 
 
+def _shuffled(table: DataFrame) -> DataFrame:
+    """`table`, never sent whole through the driver to a join: files of objects pack so well that Spark takes large ones for small."""
+    return table.hint("merge")
+
+
 def leaves(found: DataFrame) -> DataFrame:
     """path, page (from 1), contents and fonts of the pages of each file, in the order of its tree.
 
@@ -105,7 +110,7 @@ def leaves(found: DataFrame) -> DataFrame:
     level = start.select("path", "number", F.array("pos").alias("place"), F.array().cast("array<int>").alias("seen"), F.lit(None).cast("map<string,int>").alias("above"))
     done = []
     while True:
-        here = written(level.join(nodes, ["path", "number"]).withColumn("fonts", F.coalesce("fonts", "above")), "pdf-level")
+        here = written(level.join(_shuffled(nodes), ["path", "number"]).withColumn("fonts", F.coalesce("fonts", "above")), "pdf-level")
         done.append(here.where("kind = 'Page'").select("path", "place", "contents", "fonts"))
         inner = here.where(F.col("kind") == "Pages").select("path", "place", F.concat("seen", F.array("number")).alias("seen"), F.col("fonts").alias("above"), F.posexplode("kids").alias("pos", "number"))
         inner = inner.where(~F.array_contains("seen", F.col("number")))
@@ -131,16 +136,16 @@ def page_texts(files: DataFrame, password: Column | None = None) -> DataFrame:
     found = written(objects(files, password), "pdf-objects")
     every = written(leaves(found), "pdf-pages")
     streams = found.where(F.col("kind").isin("stream", "damaged")).select("path", F.col("number").alias("of"), "kind", "stream")
-    parts = every.select("path", "page", F.posexplode("contents").alias("pos", "of")).join(streams, ["path", "of"], "left")
+    parts = every.select("path", "page", F.posexplode("contents").alias("pos", "of")).join(_shuffled(streams), ["path", "of"], "left")
     contents = parts.groupBy("path", "page").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("stream", F.lit(b"")).alias("stream")))).alias("parts"), F.max(F.coalesce(F.col("kind") == "damaged", F.lit(False))).alias("damaged"))
     fonts = found.where("kind = 'Font'").select("path", F.col("number").alias("font"), "codes", F.col("characters").alias("of"))
-    fonts = fonts.join(streams, ["path", "of"], "left").select("path", "font", "codes", F.col("stream").alias("characters"))
-    used = every.select("path", "page", F.explode("fonts").alias("name", "font")).join(fonts, ["path", "font"])
+    fonts = fonts.join(_shuffled(streams), ["path", "of"], "left").select("path", "font", "codes", F.col("stream").alias("characters"))
+    used = every.select("path", "page", F.explode("fonts").alias("name", "font")).join(_shuffled(fonts), ["path", "font"])
     used = used.groupBy("path", "page").agg(F.collect_list(F.struct("name", "codes", "characters")).alias("fonts"))
-    whole = every.select("path", "page").join(contents, ["path", "page"], "left").join(used, ["path", "page"], "left")
+    whole = every.select("path", "page").join(_shuffled(contents), ["path", "page"], "left").join(_shuffled(used), ["path", "page"], "left")
     broken = whole.where("damaged").select("path").distinct()
     streams_of = F.transform("parts", lambda p: p["stream"])
-    return whole.join(broken, "path", "left_anti").select("path", "page", _shown(streams_of, F.col("fonts")).alias("text"))
+    return whole.join(_shuffled(broken), "path", "left_anti").select("path", "page", _shown(streams_of, F.col("fonts")).alias("text"))
 
 
 @F.pandas_udf(StringType())

@@ -126,3 +126,20 @@ def test_files_go_to_python_a_few_at_a_time(spark):
 
     pdf_queries.files(spark, "/root/testdata/sf0.001")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+@pytest.mark.parametrize("read", [pdf.page_texts])
+def test_no_table_of_a_files_parts_goes_through_the_driver(spark, monkeypatch, read):
+    plans, written = [], pdf.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(pdf, "written", lambda df, label: (plans.append(plan(df)), written(df, label))[1])
+    table = spark.createDataFrame([("a", pdf_of(PAGES, NESTED)), ("b", pdf_of(PAGES, PLAIN))], "path string, content binary")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = read(table)
+        assert found.count() == (2 if read is pdf.page_counts else 6)
+        plans.append(plan(found))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(plans) > 3 and not [p for p in plans if "Broadcast" in p]
