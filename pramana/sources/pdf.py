@@ -128,7 +128,7 @@ def page_counts(files: DataFrame, password: Column | None = None) -> DataFrame:
     found = written(objects(files, password, whole=False), "pdf-objects")
     counted = leaves(found).groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n"))
     unread = F.max(F.col("kind").isin("broken", "locked"))
-    return found.groupBy("path").agg(unread.alias("unread")).join(counted, "path", "left").select("path", F.when(F.col("unread"), 1).otherwise(F.coalesce("n", F.lit(0))).alias("pages"))
+    return found.groupBy("path").agg(unread.alias("unread")).join(_shuffled(counted), "path", "left").select("path", F.when(F.col("unread"), 1).otherwise(F.coalesce("n", F.lit(0))).alias("pages"))
 
 
 def page_texts(files: DataFrame, password: Column | None = None) -> DataFrame:

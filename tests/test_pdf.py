@@ -128,7 +128,7 @@ def test_files_go_to_python_a_few_at_a_time(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
 
 
-@pytest.mark.parametrize("read", [pdf.page_texts])
+@pytest.mark.parametrize("read", [pdf.page_texts, pdf.page_counts])
 def test_no_table_of_a_files_parts_goes_through_the_driver(spark, monkeypatch, read):
     plans, written = [], pdf.written
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
