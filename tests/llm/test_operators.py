@@ -592,3 +592,18 @@ def test_top_k_like_brute_force(spark):
 def test_ranks_file():
     ranks = byte_bpe.load_ranks(RANKS)
     assert len(ranks) == 50256 and base64.b64encode(b"a") and ranks[b"a"] >= 0
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Words of toxic rows that only a few of 12,000 rows have are learnt by every shard that has them; no row is left out."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity_cnn, "EPOCHS", 2)
+    docs = spark.range(12000).selectExpr("id AS doc_id", "concat('some plain words here ', CASE WHEN id % 4 = 0 THEN 'nasty' ELSE 'kind' END, ' and more') AS text", "'en' AS lang")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 4 = 0 AS INT) AS toxic")
+    seen, whole = [], toxicity_cnn._epoch
+    monkeypatch.setattr(toxicity_cnn, "_epoch", lambda shards, start: (seen.append(shards.agg(F.count(F.lit(1)), F.count_distinct("part")).first()), whole(shards, start))[1])
+    model = toxicity_cnn.fit(docs, labels, shard_rows=4096)
+    aside = sum(zlib.crc32(f"aside {i}".encode()) % 5 == 0 for i in range(12000))
+    assert [tuple(x) for x in seen] == [(12000 - aside, 3)] * 2
+    assert float(model.scores([toxicity_cnn.word_rows("a nasty one")], model.taps())[0]) > 0.5 > float(model.scores([toxicity_cnn.word_rows("a kind one")], model.taps())[0])
