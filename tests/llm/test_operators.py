@@ -607,3 +607,17 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     aside = sum(zlib.crc32(f"aside {i}".encode()) % 5 == 0 for i in range(12000))
     assert [tuple(x) for x in seen] == [(12000 - aside, 3)] * 2
     assert float(model.scores([toxicity_cnn.word_rows("a nasty one")], model.taps())[0]) > 0.5 > float(model.scores([toxicity_cnn.word_rows("a kind one")], model.taps())[0])
+
+
+@pytest.mark.parametrize("size", [100_000, 300_000])
+def test_models_take_in_a_block_to_its_end(monkeypatch, size):
+    """What a lane has coded is learnt from before it codes STRIDE ids more, to the end of the block."""
+    learnt, learn = [], token_codec._Models.learn
+    monkeypatch.setattr(token_codec._Models, "learn", lambda self, rows, ids: (learnt.append(len(ids)), learn(self, rows, ids))[1])
+    monkeypatch.setattr(token_codec, "LANES", 500)
+    ids = np.random.default_rng(3).integers(0, 50, size).astype(np.int64)
+    data = token_codec._encode_block(ids)
+    lanes = min(500, size // token_codec.LANE)
+    assert size - sum(learnt) <= lanes * token_codec.STRIDE
+    back, end = token_codec._decode_block(data, 0, 0)
+    assert end == len(data) and (back == ids).all()
