@@ -304,8 +304,12 @@ rule("translations_put", "part", "p_partkey", {"lang": "CASE p_size % 3 WHEN 0 T
 
 # Names and speech
 _SEGMENT = "upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2))"
-rule("role_names", "customer", "c_custkey", {"t": f"CASE c_custkey % 5 WHEN 0 THEN 'Patient Ravi ' || {_SEGMENT} || ' shall pay' WHEN 1 THEN 'Registered Owner: Smt. Lakshmi ' || substr('ABCDEFGHIJ', CAST(c_nationkey % 10 + 1 AS INT), 1) || 'devi is here' WHEN 2 THEN 'the patient is fine' WHEN 3 THEN c_name END", "seg": _SEGMENT},
-     lambda t, s: F.array_join(names.after_roles(t), ","), "CASE c_custkey % 5 WHEN 0 THEN 'Ravi ' || seg WHEN 1 THEN regexp_extract(t, '(Lakshmi \\w+)', 1) ELSE '' END")
+rule(
+    "role_names", "customer", "c_custkey",
+    {"t": f"CASE c_custkey % 10 WHEN 0 THEN 'Patient Ravi ' || {_SEGMENT} || ' shall pay' WHEN 1 THEN 'Registered Owner: Smt. Lakshmi ' || substr('ABCDEFGHIJ', CAST(c_nationkey % 10 + 1 AS INT), 1) || 'devi is here' WHEN 2 THEN 'the patient is fine' WHEN 3 THEN c_name WHEN 5 THEN 'Patient Ravi Kumar ' || {_SEGMENT} || ' Gupta' WHEN 6 THEN 'शिकायतकर्ता रवि ने कहा ' || c_name WHEN 7 THEN 'Respondent The ' || {_SEGMENT} WHEN 8 THEN 'Owner Notice ' || {_SEGMENT} WHEN 9 THEN 'Registered Owner: Smt. Lakshmi Devi shall pay ' || c_name END", "seg": _SEGMENT},
+    lambda t, s: F.array_join(names.after_roles(t), ","),
+    "CASE c_custkey % 10 WHEN 0 THEN 'Ravi ' || seg WHEN 1 THEN regexp_extract(t, '(Lakshmi \\w+)', 1) WHEN 5 THEN 'Ravi Kumar ' || seg WHEN 6 THEN 'रवि' WHEN 9 THEN 'Lakshmi Devi' ELSE '' END",
+)
 rule("spoken_capitals", "part", "p_partkey", {"t": "'PAY ' || upper(p_name) || ' for ' || p_brand || ' GST AB' || CAST(p_partkey AS STRING)", "name": "p_name", "brand": "p_brand"}, lambda t, n, b: languages.spoken_capitals(t),
      "'Pay ' || array_to_string(list_transform(string_split(name, ' '), lambda w: CASE WHEN length(w) < 3 THEN upper(w) ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') || ' for ' || brand || ' GST AB ' || p_partkey")
 rule("spoken_texts", "orders", "o_orderkey", {"w": WHOLE, "day": _ISO, "t": f"'Dr. Rao paid Rs. ' || {WHOLE} || ' on ' || {_DAY} || '.' || {_MONTH} || '.' || {_YEAR} || ' and owes ' || {_C} || ' INR by ' || {_ISO}", "c": _C}, lambda w, d, t, c: speech.spoken(t),

@@ -53,3 +53,12 @@ def test_masked_spans_like_plain_python(spark):
 def test_queries_without_sql():
     """All others are compared with SQL above."""
     assert set(plans.QUERIES) - set(plans.SQL) == {"masked_spans"}
+
+
+def test_role_names_reach_every_case_of_the_rule(spark):
+    """Three words of four, another script with a particle, stop words and a title are met in the table."""
+    from pramana import plans
+
+    found = {r["c_custkey"] % 10: r["result"] for r in plans.QUERIES["role_names"](spark, "/root/testdata/sf0.001").where("c_custkey < 50").collect()}
+    assert found[5].startswith("Ravi Kumar ") and len(found[5].split(" ")) == 3
+    assert (found[6], found[9]) == ("रवि", "Lakshmi Devi") and {found[i] for i in (2, 3, 4, 7, 8)} == {""}
